@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op10_entropy_mixing as op10
 from .op2_rans_tokens import op2_rans_tokens
+from .op8_ngram_jaccard import op8_ngram_jaccard
 from .op10_entropy_mixing import op10_entropy_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans_tokens": op2_rans_tokens,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
