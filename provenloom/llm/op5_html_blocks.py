@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -188,7 +189,7 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(b.text for b, keep in zip(found, good, strict=True) if keep)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract(html: pd.Series) -> pd.Series:
     return html.map(main_text, na_action=None)
 
