@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op3_simhash_decontam as op3
 from . import op4_line_spread as op4
 from . import op10_entropy_mixing as op10
 from .op1_ordinal_toxicity import op1_ordinal_toxicity
 from .op2_rans_tokens import op2_rans_tokens
+from .op3_simhash_decontam import op3_simhash_decontam
 from .op4_line_spread import op4_line_spread
 from .op5_html_blocks import op5_html_blocks
 from .op6_language_evidence import op6_language_evidence
@@ -19,6 +21,7 @@ from .op10_entropy_mixing import op10_entropy_mixing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_rans_tokens": op2_rans_tokens,
+    "op3_simhash_decontam": op3_simhash_decontam,
     "op4_line_spread": op4_line_spread,
     "op5_html_blocks": op5_html_blocks,
     "op6_language_evidence": op6_language_evidence,
@@ -26,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
-ORACLES = {"op4_line_spread": op4.ORACLE, "op10_entropy_mixing": op10.ORACLE}
+ORACLES = {"op3_simhash_decontam": op3.ORACLE, "op4_line_spread": op4.ORACLE, "op10_entropy_mixing": op10.ORACLE}
