@@ -17,11 +17,13 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,7 +39,10 @@ LOW = np.uint64(1 << 32)
 MAGIC = b"rANS"
 VOCABULARY = 49408
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+CACHED_PIECES = 500_000
+#: Marks of which a run behind letters is one piece by itself.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -78,31 +83,55 @@ class WordTokenizer:
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def split(self, word: str) -> tuple[str, ...] | list[str]:
+        """Pieces of a plain word in lower case; the usual letters-then-marks words need no pattern."""
+        head = word.rstrip(MARKS)
+        if head.isalpha():
+            return (head, word[len(head) :]) if len(head) < len(word) else (head,)
+        return self.PIECES.findall(word)
+
     def learn(self, new: list[str]) -> None:
         plain, odd = [], []
         for w in new:
-            (odd if max(w) >= self.PLAIN or "<|" in w or len(w.split()) != 1 else plain).append(w)
-        found = list(map(self.PIECES.findall, map(str.lower, plain)))
-        unseen = list(set().union(*found).difference(self.pieces)) if found else []
-        if len(self.pieces) + len(unseen) > CACHED_WORDS:
+            (plain if w.isascii() and w.isprintable() and "<|" not in w or max(w) < self.PLAIN and "<|" not in w and len(w.split()) == 1 else odd).append(w)
+        found = [self.split(w.lower()) for w in plain]
+        unseen = set().union(*found).difference(self.pieces)
+        if len(self.pieces) + len(unseen) > CACHED_PIECES:
             self.pieces = {}
-            unseen = list(set().union(*found))
+            unseen = set().union(*found)
         model = self.library.model.tokenize
         for x in unseen:
-            self.pieces[x] = np.array([t.id for t in model(x.encode().decode("latin-1").translate(BYTE_LETTERS))], np.uint16).tobytes()
+            self.pieces[x] = array("H", [t.id for t in model(x.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         get = self.pieces.__getitem__
         self.words.update((w, b"".join(map(get, f))) for w, f in zip(plain, found, strict=True))
         self.words.update(zip(odd, self.encoded(odd), strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        met = set().union(*split)
-        new = list(met.difference(self.words))
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, each text closed by the end id, and the texts' lengths in ids."""
+        spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        new = [w for w in met if w not in self.words]
         if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {w: v for w, v in self.words.items() if w in met} | {"": b""}
+            self.words = {w: self.words[w] for w in met if w in self.words} | {"": b""}
         self.learn(new)
-        get, end = self.words.__getitem__, np.array([END_ID], np.uint16).tobytes()
-        return [np.frombuffer(b"".join(map(get, ws)) + end, np.uint16) for ws in split]
+        entries = list(map(self.words.__getitem__, met))
+        size = np.array(list(map(len, entries)), np.int64) // 2
+        flat = np.frombuffer(b"".join(entries) + array("H", [END_ID]).tobytes(), np.uint16)
+        # the end id as one more word after each text
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        closes = np.cumsum(counts + 1) - 1
+        at = np.full(int(counts.sum()) + len(counts), len(met), np.int32)
+        inner = np.ones(len(at), bool)
+        inner[closes] = False
+        at[inner] = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.append(size, 1)
+        begin = np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(ends[closes], prepend=0)
 
 
 @lru_cache(1)
@@ -110,16 +139,14 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _slices(texts: list, chars: int = 4_000_000) -> Iterator[slice]:
-    """Runs of texts of about so many characters, at least one text each."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= chars:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+def _slices(texts: pa.Array, chars: int = 12_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many bytes, at least one text each."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(held, (held[start - 1] if start else 0) + chars, "right")))
+        yield start, end
+        start = end
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -225,9 +252,10 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], COLUMNS)
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in _slices(texts):
-                for k, x in zip(keys[part], tok(texts[part]), strict=True):
+            keys = b.column(0).to_pylist()
+            for start, end in _slices(b.column(1)):
+                flat, lengths = tok(b.column(1).slice(start, end - start))
+                for k, x in zip(keys[start:end], np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
                     ids.append(k)
                     held.append(x)
                     size += len(x)
