@@ -16,6 +16,7 @@ from .op4_line_spread import op4_line_spread
 from .op5_html_blocks import op5_html_blocks
 from .op6_language_evidence import op6_language_evidence
 from .op8_ngram_jaccard import op8_ngram_jaccard
+from .op9_ppm_scoring import op9_ppm_scoring
 from .op10_entropy_mixing import op10_entropy_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_blocks": op5_html_blocks,
     "op6_language_evidence": op6_language_evidence,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_ppm_scoring": op9_ppm_scoring,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
