@@ -129,8 +129,8 @@ def op3_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH dw AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-iw AS (SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+WITH dw AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS (SELECT doc_id, text, unnest(range(greatest(len(w) - 4, 1))) AS pos, w FROM dw WHERE len(w) > 0),
 dh AS (SELECT doc_id, text, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS h FROM ds),
 ish AS (SELECT item_id, text AS item_text, len(w) AS n_words, greatest(len(w) - 4, 1) AS m, unnest(range(greatest(len(w) - 4, 1))) AS apos, w FROM iw WHERE len(w) > 0),
