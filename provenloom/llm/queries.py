@@ -15,6 +15,7 @@ from .op3_simhash_decontam import op3_simhash_decontam
 from .op4_line_spread import op4_line_spread
 from .op5_html_blocks import op5_html_blocks
 from .op6_language_evidence import op6_language_evidence
+from .op7_nn_descent import op7_nn_descent
 from .op8_ngram_jaccard import op8_ngram_jaccard
 from .op9_ppm_scoring import op9_ppm_scoring
 from .op10_entropy_mixing import op10_entropy_mixing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_spread": op4_line_spread,
     "op5_html_blocks": op5_html_blocks,
     "op6_language_evidence": op6_language_evidence,
+    "op7_nn_descent": op7_nn_descent,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_ppm_scoring": op9_ppm_scoring,
     "op10_entropy_mixing": op10_entropy_mixing,
