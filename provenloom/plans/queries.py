@@ -1,10 +1,479 @@
-"""Queries over the given tables and the SQL that says the same."""
+"""Queries over the given tables and the SQL that says the same.
+
+Some render notices from orders and recover the facts, so that the SQL reads them from the columns; the others apply an
+operator to the given texts and rows. Results are flat; arrays are joined into strings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, numbers, text
+from ..functions import vocab as V
+from ..operators import assemble, chunking, extract, merge, rules, verify
+from ..sources import documents as sources
+from .render import amount, in_words, notices, spelled, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.text_pages(table(spark, sf_dir, "documents"))
+
+
+LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS page_no FROM documents)"
+
+
+# --- numbers and dates
+
+
+@query("SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS amount FROM orders")
+def money_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.lit("Цена: "), spelled(amount("o_totalprice"), F.col("o_orderkey") % 3), F.lit(" (прописью) рублей"))
+    return table(s, d, "orders").select("o_orderkey", numbers.first_money(t)["amount"].cast("decimal(18,2)").alias("amount"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2) AS amount, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def amount_spellings(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.parse_amount(spelled(amount("l_extendedprice"), F.col("l_linenumber") % 3)).cast("decimal(18,2)").alias("amount"))
+    return x.groupBy("l_orderkey", "l_linenumber", "amount").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS value FROM orders")
+def date_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(in_words(F.col("o_orderdate")))
+    return table(s, d, "orders").select("o_orderkey", dates.parse_date(F.concat(F.lit("до "), t)).alias("value"))
+
+
+@query("SELECT o_orderkey, try_strptime((day(o_orderdate) + 20) || '.' || month(o_orderdate) || '.' || year(o_orderdate), '%-d.%-m.%Y')::DATE AS value FROM orders")
+def invalid_dates(s: SparkSession, d: str) -> DataFrame:
+    t = F.concat_ws(".", (F.dayofmonth("o_orderdate") + 20).cast("string"), F.month("o_orderdate").cast("string"), F.year("o_orderdate").cast("string"))
+    return table(s, d, "orders").select("o_orderkey", dates.from_digits(t).alias("value"))
+
+
+@query("SELECT o_orderkey, 2::BIGINT AS n_dates, o_orderdate::DATE AS in_words, (o_orderdate::DATE + 9) AS in_digits FROM orders")
+def date_hits(s: SparkSession, d: str) -> DataFrame:
+    x = rules.date_hits(notices(s, d)).groupBy(F.col("doc_id").alias("o_orderkey"))
+    return x.agg(F.count("*").alias("n_dates"), F.max(F.when(F.col("hit_no") == 1, F.col("value"))).alias("in_words"), F.max(F.when(F.col("hit_no") == 0, F.col("value"))).alias("in_digits"))
+
+
+@query("SELECT o_orderkey, 4::BIGINT AS n_amounts, o_totalprice::DECIMAL(18,2) AS largest FROM orders")
+def money_hits(s: SparkSession, d: str) -> DataFrame:
+    x = rules.money_hits(notices(s, d)).groupBy(F.col("doc_id").alias("o_orderkey"))
+    return x.agg(F.count("*").alias("n_amounts"), F.max("amount").cast("decimal(18,2)").alias("largest"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice::DECIMAL(18,2) END AS amount FROM orders")
+def raw_amounts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select("o_orderkey", numbers.to_decimal(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice"))).cast("decimal(18,2)").alias("amount"))
+
+
+# --- anchored facts
+
+
+@query("SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS price FROM orders")
+def anchored_price(s: SparkSession, d: str) -> DataFrame:
+    return rules.price(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), F.col("amount").cast("decimal(18,2)").alias("price"))
+
+
+@query("SELECT o_orderkey, (o_totalprice * 0.05)::DECIMAL(18,2) AS security FROM orders")
+def anchored_security(s: SparkSession, d: str) -> DataFrame:
+    return rules.security(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), F.col("amount").cast("decimal(18,2)").alias("security"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS deadline FROM orders")
+def anchored_deadline(s: SparkSession, d: str) -> DataFrame:
+    return rules.anchored_date(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), F.col("value").alias("deadline"))
+
+
+@query("""SELECT l_orderkey, count(DISTINCT l_extendedprice::DECIMAL(18,2))::BIGINT AS n,
+  string_agg(DISTINCT (l_extendedprice::DECIMAL(18,2))::VARCHAR, '; ' ORDER BY (l_extendedprice::DECIMAL(18,2))::VARCHAR) AS listed FROM lineitem GROUP BY l_orderkey""")
+def price_candidates(s: SparkSession, d: str) -> DataFrame:
+    page = F.concat(F.lit("Цена контракта составляет "), spelled(amount("l_extendedprice"), F.lit(0)), F.lit(" руб."))
+    found = rules.price_candidates(table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), page.alias("text")))
+    listed = F.array_join(F.array_sort(F.transform("amounts", lambda a: a.cast("decimal(18,2)").cast("string"))), "; ")
+    return found.select(F.col("doc_id").alias("l_orderkey"), F.size("amounts").cast("long").alias("n"), listed.alias("listed"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '44-ФЗ' WHEN 1 THEN '223-ФЗ' ELSE 'не определено' END AS law, lpad(o_orderkey::VARCHAR, 19, '0') AS number, 'включён' AS vat FROM orders")
+def law_and_number(s: SparkSession, d: str) -> DataFrame:
+    x = notices(s, d).where("page_no = 1")
+    t = F.col("text")
+    return x.select(F.col("doc_id").alias("o_orderkey"), rules.detect_law(t).alias("law"), rules.procurement_number(t).alias("number"), rules.vat_hint(t).alias("vat"))
+
+
+@query("SELECT o_orderkey, 'Учреждение номер ' || o_custkey || ' города' AS customer, 'Срок поставки товара: ' || (o_orderkey % 90 + 1) || ' дней.' AS duration FROM orders")
+def labels_and_terms(s: SparkSession, d: str) -> DataFrame:
+    x = notices(s, d)
+    both = rules.label_value(x, V.CUSTOMER_ANCHORS).withColumnRenamed("value", "customer").join(rules.duration_text(x).withColumnRenamed("value", "duration"), "doc_id")
+    return both.select(F.col("doc_id").alias("o_orderkey"), "customer", "duration")
+
+
+@query("""SELECT o_orderkey, 'штраф' AS kind, 'исполнитель' AS party, replace(replace(replace(format('{:,.2f}', (o_totalprice * 0.1)::DECIMAL(18,2)::DOUBLE), ',', ' '), '.', ','), ' ', ' ') || ' руб.' AS amount_text FROM orders""")
+def penalty_facts(s: SparkSession, d: str) -> DataFrame:
+    return rules.penalties(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), "kind", "party", "amount_text")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'штраф' WHEN 1 THEN 'пеня' WHEN 2 THEN 'пеня' ELSE 'штраф' END AS kind,
+  CASE l_linenumber % 4 WHEN 0 THEN 'исполнитель' WHEN 1 THEN 'заказчик' WHEN 2 THEN 'обе стороны' ELSE 'не указано' END AS party, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL""")
+def penalty_kinds(s: SparkSession, d: str) -> DataFrame:
+    texts = ("Подрядчик платит штраф", "Заказчик уплачивает пени за просрочку", "Поставщик и заказчик платят 1/300 ключевой ставки", "Неустойка взимается сразу")
+    t = F.element_at(F.array(*map(F.lit, texts)), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", rules.classify_penalty(t).alias("kind"), rules.party(t).alias("party"))
+    return x.groupBy("l_orderkey", "l_linenumber", "kind", "party").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'лицензии и допуски' WHEN 1 THEN 'опыт' WHEN 2 THEN 'квалификация персонала' WHEN 3 THEN 'материально-техническая база'
+  WHEN 4 THEN 'финансовые гарантии' WHEN 5 THEN 'требования к товару или работам' ELSE 'прочее' END AS category, p_partkey % 2 = 0 AS mandatory FROM part""")
+def requirement_categories(s: SparkSession, d: str) -> DataFrame:
+    texts = ("лицензия на работы", "опыт работ", "специалисты с дипломом", "оборудование и машины", "банковская гарантия", "товар по гост", "иное условие")
+    t = F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 7 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" рекомендуется"))
+    return table(s, d, "part").select("p_partkey", rules.categorize(t).alias("category"), rules.mandatory(t).alias("mandatory"))
+
+
+@query("SELECT o_orderkey, 1::BIGINT AS n, 'опыт' AS category FROM orders")
+def requirements_found(s: SparkSession, d: str) -> DataFrame:
+    return rules.requirements(notices(s, d)).groupBy(F.col("doc_id").alias("o_orderkey")).agg(F.count("*").alias("n"), F.min("category").alias("category"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'договор: 1/300 ставки' END AS calculation, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE (o_orderkey % 50) || '%' END AS amount_text FROM orders""")
+def penalty_formula(s: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("o_orderkey") % 2 == 0, "договор: 1/300  ставки").otherwise(F.concat(F.lit("договор: "), (F.col("o_orderkey") % 50).cast("string"), F.lit("% цены")))
+    return table(s, d, "orders").select("o_orderkey", rules.calculation(t).alias("calculation"), numbers.amount_text(t).alias("amount_text"))
+
+
+# --- text
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(173), ''),
+  '([\p{L}\p{N}\p{M}_])[-‐‑][\s]*\n[\s]*([\p{L}\p{N}\p{M}_])', '\1\2', 'g'), '[ \t\x{00A0}\x{202F}]{2,}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') AS text FROM documents""")
+def normalize_pages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.normalize_page(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(translate(text, '«»“”„‟‘’‚–—‐‑−ёЁ', '""""""' || '''''''' || '-----еЕ')), '\s+', ' ', 'g')) AS norm FROM documents""")
+def normalize_quotes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.normalize_quote(F.col("text")).alias("norm"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d[\d .,]*\d|\d')) AS m FROM documents), t AS (SELECT doc_id, regexp_replace(m, '\D', '', 'g') AS token FROM f)
+  SELECT DISTINCT doc_id, token FROM t WHERE length(token) >= 3""")
+def digit_tokens(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.explode(text.digit_tokens(F.col("text"))).alias("token"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), ' '), '([.;])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x FROM documents)
+  SELECT doc_id, count(*)::BIGINT AS n, max(length(trim(regexp_replace(x, '\s+', ' ', 'g'))))::BIGINT AS longest FROM p WHERE trim(x) <> '' GROUP BY doc_id""")
+def sentence_split(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").select("doc_id", F.explode(text.sentences(F.col("text"), V.SENTENCE_END_LATIN)).alias("x"))
+    return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("x")).cast("long").alias("longest"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_./-]+')) AS w FROM documents)
+  SELECT doc_id, count(*)::BIGINT AS n FROM w WHERE CASE WHEN regexp_matches(w, '[0-9]') THEN length(w) >= 3 ELSE length(w) >= 4 END GROUP BY doc_id""")
+def significant_words(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").select("doc_id", F.size(text.significant_words(F.col("text"))).cast("long").alias("n"))
+    return x.where("n > 0")
+
+
+@query(r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM documents), h AS (SELECT *, left(t, 200) AS h FROM s),
+  p AS (SELECT *, 200 - instr(reverse(h), ' ') AS apos, instr(reverse(h), ' ') AS sp FROM h)
+  SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(CASE WHEN sp > 0 AND apos > 100 THEN left(h, apos) ELSE h END, '[ ,;:-]+$', '') || '…' END AS short FROM p""")
+def cut_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.cut(F.col("text"), 200).alias("short"))
+
+
+@query("""SELECT o_orderkey, replace(replace(format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE), ',', ' '), '.', ',') || ' руб.' AS money FROM orders""")
+def money_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select("o_orderkey", text.money_text(amount("o_totalprice")).alias("money"))
+
+
+# --- pages, limits, chunks
+
+
+@query(f"WITH {LINES} SELECT doc_id, page_no, text, CASE WHEN trim(text) <> '' THEN 'text_layer' ELSE 'empty' END AS source FROM l")
+def page_rows(s: SparkSession, d: str) -> DataFrame:
+    return lines(s, d)
+
+
+@query(f"""WITH {LINES} SELECT doc_id, count(*)::BIGINT AS pages, sum(length(text))::BIGINT AS chars, CASE WHEN bool_or(trim(text) <> '') THEN 'text_layer' ELSE 'empty' END AS source_summary FROM l GROUP BY doc_id""")
+def document_stats(s: SparkSession, d: str) -> DataFrame:
+    return sources.document_stats(lines(s, d)).drop("ocr_pages")
+
+
+@query(f"""WITH {LINES}, r AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page_no) AS total FROM l)
+  SELECT doc_id, count(*)::BIGINT AS pages, sum(length(text))::BIGINT AS chars, min(CASE WHEN total > 2000 THEN page_no END) AS first_over,
+  CASE WHEN count(*) > 20 OR max(total) > 2000 THEN 'document_too_long' WHEN sum(length(text)) = 0 THEN 'empty_document' END AS error FROM r GROUP BY doc_id""")
+def document_limits(s: SparkSession, d: str) -> DataFrame:
+    return sources.limits(lines(s, d), 20, 2000)
+
+
+@query(f"""WITH RECURSIVE {LINES}, b AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i, length(text) + length('[СТРАНИЦА ' || page_no || ']') + 1 AS n FROM l WHERE trim(text) <> '' AND length(text) <= 1000),
+  f AS (SELECT doc_id, i, 0 AS chunk, n AS size FROM b WHERE i = 1 UNION ALL
+        SELECT b.doc_id, b.i, CASE WHEN f.size + b.n > 1000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size + b.n > 1000 THEN b.n ELSE f.size + b.n END FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1)
+  SELECT doc_id, chunk AS chunk_no, (sum(n) + 2 * (count(*) - 1))::BIGINT AS n_chars FROM (SELECT f.doc_id, f.chunk, b.n FROM f JOIN b ON f.doc_id = b.doc_id AND f.i = b.i) GROUP BY ALL""")
+def chunk_pack(s: SparkSession, d: str) -> DataFrame:
+    short = lines(s, d).where(F.length("text") <= 1000)
+    x = chunking.chunks(short, 1000, 0, 1_000_000)
+    return x.select("doc_id", F.col("chunk_no"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
+    x = chunking.chunks(lines(s, d), 2000, 200, 12)
+    return x.select("doc_id", "chunk_no", "text", text.pages_label(F.col("pages")).alias("pages"), "dropped")
+
+
+# --- merge
+
+
+@query("""WITH v AS (SELECT conv_id, trim(role) AS role, turn FROM conversations WHERE trim(role) <> ''), c AS (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM v GROUP BY ALL)
+  SELECT conv_id, arg_max(role, (n, length(role), -f)) AS role, max(n)::BIGINT AS votes FROM c GROUP BY conv_id""")
+def vote_text(s: SparkSession, d: str) -> DataFrame:
+    return merge.vote_text(table(s, d, "conversations"), ["conv_id"], "role", "turn")
+
+
+@query("SELECT conv_id, arg_max(text, (length(text), -turn)) AS text FROM conversations WHERE regexp_matches(text, '\\S') GROUP BY conv_id")
+def first_longest(s: SparkSession, d: str) -> DataFrame:
+    return merge.first_longest(table(s, d, "conversations"), ["conv_id"], "text", "turn")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_quantity::DECIMAL(18,2) AS v, count(*) AS n, min(l_partkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
+  SELECT l_orderkey, arg_max(v, (n, -f)) AS amount, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
+def merge_money(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "lineitem").select("l_orderkey", amount("l_quantity").alias("amount"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    x = merge.merge_values(x, ["l_orderkey"], "amount", "ord")
+    return x.select("l_orderkey", "amount", "n_distinct", F.array_join(F.transform("listed", lambda a: a.cast("string")), "; ").alias("listed"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_shipdate::DATE AS v, count(*) AS n, min(l_partkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
+  SELECT l_orderkey, arg_max(v, (n, -f)) AS value, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
+def merge_dates(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("value"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    x = merge.merge_values(x, ["l_orderkey"], "value", "ord")
+    return x.select("l_orderkey", "value", "n_distinct", F.array_join(F.transform("listed", lambda a: a.cast("string")), "; ").alias("listed"))
+
+
+@query("""WITH k AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source, lower(text)[:70] ORDER BY doc_id) AS n FROM documents),
+  r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM k WHERE n = 1) SELECT source, doc_id FROM r WHERE n <= 15""")
+def first_by_key(s: SparkSession, d: str) -> DataFrame:
+    return rules.first_by_key(table(s, d, "documents"), ["source"], "text", ["doc_id"], 15).select("source", "doc_id")
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def exact_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return sources.keyed(table(s, d, "documents"), F.lit("offline"), F.lit("rules")).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query()
+def fuzzy_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return merge.fuzzy_dedupe(table(s, d, "conversations"), ["conv_id"], "text", ["turn"]).select("conv_id", "kept_no", "turn")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, lower(text) AS t FROM conversations)
+  SELECT a.conv_id, a.turn AS first_turn, b.turn AS second_turn FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn < b.turn
+  AND (a.t = b.t OR (least(length(a.t), length(b.t)) >= 40 AND (starts_with(a.t, b.t) OR starts_with(b.t, a.t))))""")
+def similar_prefix(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
+    a, b = n.alias("a"), n.alias("b")
+    on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")) & merge.same_by_prefix(F.col("a.t"), F.col("b.t"))
+    return a.join(b, on).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("first_turn"), F.col("b.turn").alias("second_turn"))
+
+
+# --- verification
+
+
+def passages(s: SparkSession, d: str) -> DataFrame:
+    """Quotes (doc_id, quote_id, quote, page_no): the first sentence of each turn's text claimed one page too far."""
+    c = table(s, d, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("quote_id"), F.substring("text", 1, 60).alias("quote"), (F.col("turn") + 1).cast("int").alias("page_no"))
+
+
+def turns(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text")
+
+
+NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+QUOTES = f"q AS (SELECT conv_id AS doc_id, turn AS quote_id, (turn + 1)::INTEGER AS claimed, {NORM.format('substr(text, 1, 60)')} AS needle FROM conversations), p AS (SELECT conv_id AS doc_id, turn::INTEGER AS page_no, {NORM.format('text')} AS norm FROM conversations)"
+
+
+@query(f"""WITH {QUOTES} SELECT q.doc_id, q.quote_id, arg_min(p.page_no, (p.page_no <> q.claimed, p.page_no)) AS found_page FROM q JOIN p ON q.doc_id = p.doc_id AND contains(p.norm, q.needle)
+  WHERE length(q.needle) >= 8 GROUP BY q.doc_id, q.quote_id""")
+def quote_exact(s: SparkSession, d: str) -> DataFrame:
+    return verify.exact(passages(s, d).distinct(), turns(s, d))
+
+
+@query(f"""WITH {QUOTES}, f AS (SELECT q.doc_id, q.quote_id, any_value(q.claimed) AS claimed, arg_min(p.page_no, (p.page_no <> q.claimed, p.page_no)) AS page FROM q JOIN p ON q.doc_id = p.doc_id AND contains(p.norm, q.needle)
+  WHERE length(q.needle) >= 8 GROUP BY q.doc_id, q.quote_id) SELECT doc_id, count(*)::BIGINT AS found, count(*) FILTER (WHERE page <> claimed)::BIGINT AS page_fixes FROM f GROUP BY doc_id""")
+def quote_page_fixes(s: SparkSession, d: str) -> DataFrame:
+    q = passages(s, d)
+    x = verify.exact(q, turns(s, d)).join(q.select("doc_id", "quote_id", "page_no"), ["doc_id", "quote_id"])
+    return x.groupBy("doc_id").agg(F.count("*").alias("found"), F.count_if(F.col("found_page") != F.col("page_no")).alias("page_fixes"))
+
+
+@query()
+def quote_check(s: SparkSession, d: str) -> DataFrame:
+    """Quotes whose letters are partly mistaken (every 'th' read as 'ht' in odd turns), by the whole cascade."""
+    q = passages(s, d).withColumn("quote", F.when(F.col("quote_id") % 2 == 1, F.regexp_replace("quote", "th", "ht")).otherwise(F.col("quote")))
+    return verify.check(q, turns(s, d)).select("doc_id", "quote_id", "method", "verified", "page_no", F.round("score", 6).alias("score"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, [o_custkey::VARCHAR, (o_orderkey * 10)::VARCHAR] AS q, [(o_orderkey * 100)::VARCHAR, (o_custkey % 100)::VARCHAR] AS p FROM orders)
+  SELECT o_orderkey, list_bool_and(list_transform(q, lambda x: list_bool_or(list_transform(p, lambda y: contains(y, x) OR contains(x, y))))) AS supported FROM a""")
+def quote_numbers(s: SparkSession, d: str) -> DataFrame:
+    st = lambda c: c.cast("string")
+    q = F.array(st(F.col("o_custkey")), st(F.col("o_orderkey") * 10))
+    p = F.array(st(F.col("o_orderkey") * 100), st(F.col("o_custkey") % 100))
+    return table(s, d, "orders").select("o_orderkey", verify.numbers_supported(q, p).alias("supported"))
+
+
+# --- assembly
+
+
+@query("""WITH t AS (SELECT l_orderkey, sum((l_extendedprice * (1 + l_tax) * (1 - l_discount))::DECIMAL(18,2)) AS total, list(l_extendedprice::DECIMAL(18,2)) AS parts FROM lineitem GROUP BY l_orderkey)
+  SELECT o_orderkey, abs(o_totalprice::DECIMAL(18,2) - total) > 0.01 AS disagrees, coalesce(list_bool_or(list_transform(parts, lambda x: abs(x - o_totalprice::DECIMAL(18,2)) <= 0.01)), false) AS confirmed
+  FROM orders JOIN t ON o_orderkey = l_orderkey""")
+def price_agreement(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(amount(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount")))).alias("total"), F.collect_list(amount("l_extendedprice")).alias("parts")
+    )
+    x = table(s, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return x.select("o_orderkey", (~numbers.within(amount("o_totalprice"), F.col("total"))).alias("disagrees"), assemble.confirmed(amount("o_totalprice"), F.col("parts")).alias("confirmed"))
+
+
+FLAGS = """f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DECIMAL(38,2) END AS price, o_orderkey % 3 = 0 AS ok, o_orderkey % 5 = 0 AS failed, o_orderkey % 4 <> 0 AS dates,
+  o_orderkey % 6 AS req, o_orderkey % 2 AS pen, o_orderkey % 11 AS quotes, o_orderkey % 3 AS bad, CASE WHEN o_orderkey % 8 = 0 THEN (o_totalprice + 1)::DECIMAL(38,2) WHEN o_orderkey % 8 < 5 THEN o_totalprice::DECIMAL(38,2) END AS rule,
+  o_orderkey % 3 AS cand, o_orderkey % 5 AS conflicts, o_orderkey % 9 AS ocr, o_orderkey % 10 = 0 AS offline FROM orders)"""
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    return table(s, d, "orders").select(
+        "o_orderkey", F.when(k % 7 != 0, p.cast("decimal(38,2)")).alias("price"), (k % 3 == 0).alias("ok"), (k % 5 == 0).alias("failed"), (k % 4 != 0).alias("dates"), (k % 6).alias("req"), (k % 2).alias("pen"),
+        (k % 11).alias("quotes"), (k % 3).alias("bad"), F.when(k % 8 == 0, (p + 1).cast("decimal(38,2)")).when(k % 8 < 5, p.cast("decimal(38,2)")).alias("rule"), (k % 3).alias("cand"), (k % 5).alias("conflicts"),
+        (k % 9).alias("ocr"), (k % 10 == 0).alias("offline"),
+    )
+
+
+@query(f"""WITH {FLAGS}, c AS (SELECT k, offline, 1.0 - CASE WHEN price IS NULL THEN 0.25 ELSE 0 END - CASE WHEN price IS NOT NULL AND NOT ok THEN 0.10 ELSE 0 END - CASE WHEN price IS NOT NULL AND failed THEN 0.10 ELSE 0 END
+  - CASE WHEN NOT dates THEN 0.15 ELSE 0 END - CASE WHEN req = 0 THEN 0.10 ELSE 0 END - CASE WHEN pen = 0 THEN 0.10 ELSE 0 END - CASE WHEN price IS NOT NULL AND rule IS NOT NULL AND abs(price - rule) > 0.01 THEN 0.30 ELSE 0 END
+  - CASE WHEN cand > 1 THEN 0.10 ELSE 0 END - least(0.15, 0.05 * conflicts) - CASE WHEN ocr > 0 THEN 0.05 ELSE 0 END AS c FROM f),
+  z AS (SELECT k, greatest(0.0, least(1.0, CASE WHEN offline THEN least(c, 0.6) ELSE c END))::DOUBLE AS confidence FROM c)
+  SELECT k AS o_orderkey, round(confidence, 2) AS confidence, CASE WHEN round(confidence, 2) >= 0.8 THEN 'ok' WHEN round(confidence, 2) >= 0.55 THEN 'warn' ELSE 'bad' END AS band FROM z""")
+def confidence(s: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    x = _flags(s, d).withColumn(
+        "confidence", assemble.confidence(c("price"), c("ok"), c("failed"), c("dates"), c("req"), c("pen"), F.lit(0), F.lit(0), c("rule"), c("cand"), c("conflicts"), c("ocr"), c("offline"))
+    )
+    return x.select("o_orderkey", "confidence", assemble.band(c("confidence")).alias("band"))
+
+
+@query(f"""WITH {FLAGS} SELECT k AS o_orderkey, concat_ws(',', CASE WHEN price IS NULL THEN 'price_missing' END, CASE WHEN price IS NOT NULL AND NOT ok THEN 'price_unconfirmed' END,
+  CASE WHEN price IS NOT NULL AND rule IS NOT NULL AND abs(price - rule) > 0.01 THEN 'price_disagrees' END, CASE WHEN rule IS NOT NULL AND NOT failed THEN 'security_unconfirmed' END, CASE WHEN req = 0 THEN 'no_requirements' END,
+  CASE WHEN pen = 0 THEN 'no_penalties' END, CASE WHEN NOT dates THEN 'no_dates' END, CASE WHEN cand > 1 THEN 'several_prices' END, CASE WHEN bad > 0 THEN 'quotes_unverified' END, CASE WHEN conflicts > 0 THEN 'quotes_mismatched' END,
+  CASE WHEN ocr > 0 THEN 'pages_corrected' END) AS warnings FROM f""")
+def quality_warnings(s: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    codes = assemble.warning_codes(c("price"), c("ok"), c("rule"), c("rule"), c("failed"), c("req"), c("pen"), c("dates"), c("cand"), c("bad"), c("conflicts"), c("ocr"))
+    return _flags(s, d).select("o_orderkey", F.array_join(codes, ",").alias("warnings"))
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS total, count(*) FILTER (WHERE length(text) < 100)::BIGINT AS unverified, count(*) FILTER (WHERE role = 'user')::BIGINT AS mismatches FROM conversations GROUP BY conv_id")
+def evidence_counters(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "conversations").groupBy("conv_id")
+    return x.agg(F.count("*").alias("total"), F.count_if(F.length("text") < 100).alias("unverified"), F.count_if(F.col("role") == "user").alias("mismatches"))
+
+
+@query("""SELECT o_orderkey, 'Предмет закупки: заказ ' || o_orderkey || '. Заказчик: клиент ' || o_custkey || '. Закупка проводится по 44-ФЗ. Начальная (максимальная) цена контракта — '
+  || replace(replace(format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE), ',', ' '), '.', ',') || ' руб., НДС включён. Требований к участникам найдено: 3.' AS summary FROM orders""")
+def template_summary(s: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(s, d, "orders").select("o_orderkey", assemble.summary(
+        F.concat(F.lit("заказ "), F.col("o_orderkey").cast("string")), F.concat(F.lit("клиент "), F.col("o_custkey").cast("string")), F.lit("44-ФЗ"), none, amount("o_totalprice"), F.lit("включён"),
+        F.lit(0).cast("decimal(18,2)"), none, none, F.lit(3), F.lit(0),
+    ).alias("summary"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_returnflag = 'R')
+  SELECT l_orderkey, string_agg('Штраф для исполнителя: ' || l_partkey || ' руб. — строка ' || l_linenumber, ' | ' ORDER BY n) AS risks FROM r WHERE n <= 3 GROUP BY l_orderkey""")
+def top_risks(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "штраф").otherwise("пеня")
+    item = F.struct("l_linenumber", "l_partkey", kind.alias("kind"), F.lit("исполнитель").alias("party"), F.concat(F.col("l_partkey").cast("string"), F.lit(" руб.")).alias("amount_text"), F.concat(F.lit("строка "), F.col("l_linenumber").cast("string")).alias("trigger"))
+    x = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    return x.select("l_orderkey", F.array_join(assemble.risks(F.col("p"), F.lit(0).cast("decimal(18,2)"), F.lit(None).cast("string")), " | ").alias("risks")).where("risks <> ''")
+
+
+# --- payloads, store, choices
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN (json_extract_string(props, '$.k'))::BIGINT END AS k, event_id % 5 <> 0 AS valid FROM events")
+def json_payload(s: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.col("props"))
+    body = extract.payload(raw)
+    return table(s, d, "events").select("event_id", F.from_json(body, "k long")["k"].alias("k"), body.isNotNull().alias("valid"))
+
+
+@query("""SELECT doc_id, chunk_no, subject, error FROM (SELECT doc_id, 0 AS chunk_no, CASE WHEN doc_id % 3 = 0 THEN 'тема ' || doc_id END AS subject,
+  CASE doc_id % 3 WHEN 1 THEN 'timeout' WHEN 2 THEN 'llm_response_invalid' END AS error FROM documents)""")
+def replayed_answers(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").select("doc_id", F.lit(0).alias("chunk_no"))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("тема "), F.col("doc_id").cast("string")).alias("subject")))).when(F.col("doc_id") % 3 == 2, "no answer")
+    given = x.select("*", answer.alias("json"), F.when(F.col("doc_id") % 3 == 1, "timeout").alias("error"))
+    return extract.replay(x, given).select("doc_id", "chunk_no", F.col("facts.subject").alias("subject"), "error")
+
+
+@query("SELECT o_custkey, sum(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END)::BIGINT AS input_tokens, sum(CASE WHEN o_custkey % 2 = 0 THEN o_orderkey END)::BIGINT AS output_tokens FROM orders GROUP BY o_custkey")
+def usage_sums(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").groupBy("o_custkey").agg(F.sum(F.when(k % 3 == 0, k)).alias("input_tokens"), F.sum(F.when(F.col("o_custkey") % 2 == 0, k)).alias("output_tokens"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'v1-offline-rules_1-' || substr(sha256(text), 1, 32) AS key FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT key FROM d WHERE doc_id % 3 = 0 AND doc_id % 2 = 0)
+  SELECT (SELECT count(*) FROM d JOIN s USING (key))::BIGINT AS hits, (SELECT count(DISTINCT key) FROM d WHERE key NOT IN (SELECT key FROM s))::BIGINT AS misses""")
+def store_plan(s: SparkSession, d: str) -> DataFrame:
+    docs = sources.keyed(table(s, d, "documents"), F.lit("offline"), F.lit("rules/1"))
+    stored = docs.where("doc_id % 3 = 0").select("key", F.when(F.col("doc_id") % 2 == 0, '{"ok":1}').otherwise("{broken").alias("result"))
+    hits, misses = sources.plan_work(docs, stored)
+    return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'offline' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'openai' ELSE 'gemini' END AS provider,
+  CASE s_suppkey % 4 WHEN 0 THEN 'eng' WHEN 1 THEN 'rus' WHEN 2 THEN 'eng+rus' ELSE 'deu' END AS lang FROM supplier""")
+def choices(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    configured = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("gemini"), F.lit("anthropic"))).when(k == 2, F.array(F.lit("gemini"), F.lit("openai"))).otherwise(F.array(F.lit("gemini")))
+    asked = F.when(k == 0, "fra").when(k == 1, "rus+fra").when(k == 2, "eng+rus").otherwise("fra")
+    there = F.when(k == 3, F.array(F.lit("ita"), F.lit("deu"))).otherwise(F.array(F.lit("rus"), F.lit("eng")))
+    return table(s, d, "supplier").select("s_suppkey", extract.resolve_provider(configured).alias("provider"), extract.resolve_languages(asked, there).alias("lang"))
+
+
+@query("""SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS price, (o_totalprice * 0.05)::DECIMAL(18,2) AS security, o_orderdate::DATE AS deadline,
+  CASE o_orderkey % 3 WHEN 0 THEN '44-ФЗ' WHEN 1 THEN '223-ФЗ' ELSE 'не определено' END AS law, lpad(o_orderkey::VARCHAR, 19, '0') AS procurement_number, 1::BIGINT AS n_requirements, 1::BIGINT AS n_penalties FROM orders""")
+def offline_extraction(s: SparkSession, d: str) -> DataFrame:
+    x = extract.offline(notices(s, d))
+    return x.select(F.col("doc_id").alias("o_orderkey"), F.col("price").cast("decimal(18,2)").alias("price"), F.col("security").cast("decimal(18,2)").alias("security"), "deadline", "law", "procurement_number", "n_requirements", "n_penalties")
+
+
+@query("SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS price, true AS confirmed, 0.6::DOUBLE AS confidence, 'warn' AS band FROM orders")
+def offline_records(s: SparkSession, d: str) -> DataFrame:
+    """From pages to a scored record by rules alone."""
+    x = extract.offline(notices(s, d))
+    c, no = F.col, F.lit(False)
+    x = x.withColumn("confirmed", assemble.confirmed(c("price"), c("price_candidates")))
+    conf = assemble.confidence(c("price"), c("confirmed"), no, c("deadline").isNotNull(), c("n_requirements"), c("n_penalties"), F.lit(0), F.lit(0), c("price"), F.size("price_candidates"), F.lit(0), F.lit(0), F.lit(True))
+    x = x.withColumn("confidence", conf)
+    return x.select(c("doc_id").alias("o_orderkey"), c("price").cast("decimal(18,2)").alias("price"), "confirmed", "confidence", assemble.band(c("confidence")).alias("band"))
