@@ -71,7 +71,7 @@ def date_hits(s: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count("*").alias("n_dates"), F.max(F.when(F.col("hit_no") == 1, F.col("value"))).alias("in_words"), F.max(F.when(F.col("hit_no") == 0, F.col("value"))).alias("in_digits"))
 
 
-@query("SELECT o_orderkey, 4::BIGINT AS n_amounts, o_totalprice::DECIMAL(18,2) AS largest FROM orders")
+@query("SELECT o_orderkey, 4::BIGINT AS n_amounts, (o_totalprice::DECIMAL(18,2) + 3)::DECIMAL(18,2) AS largest FROM orders")
 def money_hits(s: SparkSession, d: str) -> DataFrame:
     x = rules.money_hits(notices(s, d)).groupBy(F.col("doc_id").alias("o_orderkey"))
     return x.agg(F.count("*").alias("n_amounts"), F.max("amount").cast("decimal(18,2)").alias("largest"))
@@ -90,7 +90,7 @@ def anchored_price(s: SparkSession, d: str) -> DataFrame:
     return rules.price(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), F.col("amount").cast("decimal(18,2)").alias("price"))
 
 
-@query("SELECT o_orderkey, (o_totalprice * 0.05)::DECIMAL(18,2) AS security FROM orders")
+@query("SELECT o_orderkey, (o_totalprice::DECIMAL(18,2) + 2)::DECIMAL(18,2) AS security FROM orders")
 def anchored_security(s: SparkSession, d: str) -> DataFrame:
     return rules.security(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), F.col("amount").cast("decimal(18,2)").alias("security"))
 
@@ -123,7 +123,7 @@ def labels_and_terms(s: SparkSession, d: str) -> DataFrame:
     return both.select(F.col("doc_id").alias("o_orderkey"), "customer", "duration")
 
 
-@query("""SELECT o_orderkey, 'штраф' AS kind, 'исполнитель' AS party, replace(replace(replace(format('{:,.2f}', (o_totalprice * 0.1)::DECIMAL(18,2)::DOUBLE), ',', ' '), '.', ','), ' ', ' ') || ' руб.' AS amount_text FROM orders""")
+@query("""SELECT o_orderkey, 'штраф' AS kind, 'исполнитель' AS party, replace(replace(replace(format('{:,.2f}', (o_totalprice::DECIMAL(18,2) + 3)::DOUBLE), ',', ' '), '.', ','), ' ', ' ') || ' руб.' AS amount_text FROM orders""")
 def penalty_facts(s: SparkSession, d: str) -> DataFrame:
     return rules.penalties(notices(s, d)).select(F.col("doc_id").alias("o_orderkey"), "kind", "party", "amount_text")
 
@@ -252,10 +252,10 @@ def first_longest(s: SparkSession, d: str) -> DataFrame:
     return merge.first_longest(table(s, d, "conversations"), ["conv_id"], "text", "turn")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_quantity::DECIMAL(18,2) AS v, count(*) AS n, min(l_partkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
+@query("""WITH c AS (SELECT l_orderkey, l_quantity::DECIMAL(18,2) AS v, count(*) AS n, min(round(l_extendedprice * 100)::BIGINT) AS f FROM lineitem GROUP BY ALL)
   SELECT l_orderkey, arg_max(v, (n, -f)) AS amount, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
 def merge_money(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "lineitem").select("l_orderkey", amount("l_quantity").alias("amount"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    x = table(s, d, "lineitem").select("l_orderkey", amount("l_quantity").alias("amount"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("ord"))
     x = merge.merge_values(x, ["l_orderkey"], "amount", "ord")
     return x.select("l_orderkey", "amount", "n_distinct", F.array_join(F.transform("listed", lambda a: a.cast("string")), "; ").alias("listed"))
 
@@ -461,7 +461,7 @@ def choices(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "supplier").select("s_suppkey", extract.resolve_provider(configured).alias("provider"), extract.resolve_languages(asked, there).alias("lang"))
 
 
-@query("""SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS price, (o_totalprice * 0.05)::DECIMAL(18,2) AS security, o_orderdate::DATE AS deadline,
+@query("""SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS price, (o_totalprice::DECIMAL(18,2) + 2)::DECIMAL(18,2) AS security, o_orderdate::DATE AS deadline,
   CASE o_orderkey % 3 WHEN 0 THEN '44-ФЗ' WHEN 1 THEN '223-ФЗ' ELSE 'не определено' END AS law, lpad(o_orderkey::VARCHAR, 19, '0') AS procurement_number, 1::BIGINT AS n_requirements, 1::BIGINT AS n_penalties FROM orders""")
 def offline_extraction(s: SparkSession, d: str) -> DataFrame:
     x = extract.offline(notices(s, d))

@@ -41,10 +41,10 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" города\nМесто поставки: склад\nСрок поставки товара: "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(" дней. Далее по графику."),
     )
     second = F.concat(
-        F.lit("Обеспечение исполнения контракта и обеспечение заявки. Обеспечение заявки: "), spelled(amount(F.col("o_totalprice") * 0.01), F.lit(0)),
-        F.lit(" руб.\nРазмер обеспечения исполнения контракта: "), spelled(amount(F.col("o_totalprice") * 0.05), F.lit(0)),
+        F.lit("Обеспечение исполнения контракта и обеспечение заявки. Обеспечение заявки: "), spelled(amount("o_totalprice") + 1, F.lit(0)),
+        F.lit(" руб.\nРазмер обеспечения исполнения контракта: "), spelled(amount("o_totalprice") + 2, F.lit(0)),
         F.lit(" руб. Дата окончания подачи заявок: "), in_words(F.col("o_orderdate")), F.lit(", протокол "), F.date_format(F.date_add("o_orderdate", 9), "dd.MM.yyyy"),
-        F.lit(". За нарушение поставщик платит штраф в размере "), spelled(amount(F.col("o_totalprice") * 0.1), F.lit(0)), F.lit(" руб. Участник закупки должен иметь опыт аналогичных поставок."),
+        F.lit(". За нарушение поставщик платит штраф в размере "), spelled(amount("o_totalprice") + 3, F.lit(0)), F.lit(" руб. Участник закупки должен иметь опыт аналогичных поставок."),
     )
     both = F.array(F.struct(F.lit(1).alias("page_no"), first.alias("text")), F.struct(F.lit(2).alias("page_no"), second.alias("text")))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.explode(both).alias("p")).select("doc_id", "p.*")
