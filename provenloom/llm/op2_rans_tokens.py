@@ -221,7 +221,8 @@ class Coder:
                 if k:
                     x[low] = (x[low] << np.uint64(32)) | stream[pos : pos + k]
                     pos += k
-            if zlib.crc32(grid[first:last].astype("<u2").tobytes()) != crc:
+            after = np.frombuffer(data, "<u8", lanes, at + (p + 1) * size + 8) if p + 1 < points else LOW
+            if zlib.crc32(grid[first:last].astype("<u2").tobytes()) != crc or (x != after).any():
                 raise ValueError(f"checksum of segment {p} differs")
         if segment is None:
             return grid.reshape(-1)[:n]

@@ -49,7 +49,7 @@ def unpacked(col: pa.Array, dim: int) -> np.ndarray:
 
 def best(edges: DataFrame, k: int) -> DataFrame:
     """The k best edges (src, dst, score) of each src, each dst once."""
-    once = edges.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    once = edges.where("src <> dst").groupBy("src", "dst").agg(F.max("score").alias("score"))
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -1,0 +1,272 @@
+"""Small cases for every operator: edge rows, brute force, round trips and held-out accuracy."""
+
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from provenloom.llm import op1_ordinal_toxicity as op1
+from provenloom.llm import op2_rans_tokens as op2
+from provenloom.llm import op3_simhash_decontam as op3
+from provenloom.llm import op4_line_spread as op4
+from provenloom.llm import op5_html_blocks as op5
+from provenloom.llm import op6_language_evidence as op6
+from provenloom.llm import op7_nn_descent as op7
+from provenloom.llm import op8_ngram_jaccard as op8
+from provenloom.llm import op9_ppm_scoring as op9
+from provenloom.llm import op10_entropy_mixing as op10
+from provenloom.llm.common import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
+
+
+def docs(spark, *texts, source="s"):
+    return spark.createDataFrame([(i, t, "en", source, len(t or ""), "extra") for i, t in enumerate(texts)], DOCS)
+
+
+EDGE = [None, "", " \n\t ", "one", "same words here again and again", "same words here again and again", "long word " * 40_000]
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n)]
+
+
+# --- 1
+
+
+def test_toxicity_learns_and_scores_edge_rows(spark):
+    r = random.Random(1)
+    base = words(300, 2)
+    texts = [" ".join(r.choice(base) for _ in range(60)) + (" vile scumbag" * (1 + i % 3) if i % 4 == 0 else "") for i in range(200)]
+    d = docs(spark, *texts, *EDGE)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(100)] + [(0, 1, "x"), (None, 1, "x"), (9999, 0, "x"), (5, None, "x")], "doc_id long, toxic int, text string")
+    model = op1.fit(d, labels)
+    got = {x["doc_id"]: x for x in op1.score(d, model).collect()}
+    assert all(got[i]["toxic"] == (i % 4 == 0) for i in range(100, 200))
+    assert not any(got[i]["toxic"] for i in range(200, 200 + len(EDGE)))
+    assert list(model.thresholds) == sorted(model.thresholds)
+    assert got[8]["severity"] > got[1]["severity"]
+
+
+def test_toxicity_without_labels_rejects_nothing(spark):
+    d = docs(spark, "a b", None)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert not any(r["toxic"] for r in op1.score(d, op1.fit(d, none)).collect())
+    assert op1.score(d.limit(0), op1.fit(d, none)).count() == 0
+
+
+# --- 2
+
+
+def test_rans_round_trip_segments_and_checksums():
+    r = np.random.default_rng(1)
+    ids = (r.zipf(1.3, 300_000) % op2.VOCABULARY).astype(np.uint16)
+    coder = op2.Coder(op2.scaled(np.bincount(ids, minlength=op2.VOCABULARY)))
+    for part in (ids, ids[:1], ids[:1000]):
+        data = coder.encode(part)
+        assert (coder.decode(data) == part).all()
+    data = coder.encode(ids)
+    assert (np.concatenate([coder.decode(data, k) for k in range(-(-len(ids) // (2048 * 64)))]) == ids).all()
+    broken = bytearray(data)
+    broken[-9] ^= 1
+    with pytest.raises(ValueError):
+        coder.decode(bytes(broken))
+
+
+def test_token_files_match_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*EDGE, "Don't STOP: 3²+x <|endoftext|> Ünïcode’s ﬁ é ǅ Σας\x1c end", "a%%% B*** c'll 'S"]
+    got = {r["doc_id"]: r for r in op2.digest(docs(spark, *texts)).collect()}
+    library, start = Tokenizer.from_file(op2.vocabulary_path()), 0
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert op2.digest(docs(spark, "x").limit(0)).count() == 0
+
+
+# --- 3
+
+
+def test_decontamination_finds_planted_windows(spark):
+    item, other = words(30, 3), words(25, 4)
+    near = item[:15] + ["changed"] + item[16:]
+    texts = [" ".join(words(50, 5) + item + words(9, 6)), " ".join(item).upper() + "!", " ".join(words(80, 7)), " ".join(near), " ".join(other), " ".join(item[:12]), *EDGE]
+    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, ", ".join(other), 0), (3, None, 0), (4, "one", 0)], "item_id long, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in op3.leaks(docs(spark, *texts), bench).collect()}
+    assert got == {(0, 1): 1.0, (1, 1): 1.0, (4, 2): 1.0, (9, 4): 1.0}
+    assert op3.leaks(docs(spark, "x").limit(0), bench).count() == 0 and op3.leaks(docs(spark, "x"), bench.limit(0)).count() == 0
+
+
+def test_multi_index_meets_all_within_radius():
+    masks = set(op3.flips())
+    r = random.Random(8)
+    for _ in range(500):
+        a, b = r.getrandbits(64), 0
+        for bit in r.sample(range(64), op3.RADIUS):
+            b |= 1 << bit
+        assert any(((b >> (8 * k)) & 255) in masks for k in range(8)), a
+
+
+# --- 4
+
+
+def test_line_spread(spark):
+    rows = [(i, f"Common line\nown {i}\n\n  Common line ", f"s{i}", "x") for i in range(6)] + [(6, "Common line", None, "x"), (7, None, "s1", "x"), (8, "", "s1", "x"), (9, "rare\nrare", "s2", "x")]
+    got = {r["doc_id"]: r for r in op4.clean(spark.createDataFrame(rows, "doc_id long, text string, source string, line string")).collect()}
+    assert got[0]["text"] == "own 0\n" and got[0]["n_removed"] == 2 and got[6]["text"] == "" and got[7]["text"] is None and got[8]["text"] == "" and got[9]["text"] == "rare\nrare"
+
+
+# --- 5
+
+
+def test_main_text():
+    page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site name of the day</header><nav><a href=x>Home</a></nav>
+    <div class="cookie-notice">We use cookies for the best of the web and for all of you, as it is the law of the land and of the sea.</div>
+    <article><h1>Head &amp; line</h1><p><b>The first of the blocks is in the middle of a page and it is long enough to be of use to all of us, as it was for the others.</b><br>More
+    of it.<p>Short.</p><aside class=ad>Buy the best of the best</aside></article><div id="comments"><p>The comment of a reader that is long and in the way of the text, as it often is on the web for all.</p></div>
+    <footer>&copy; the owner</footer></body>"""
+    assert op5.main_text(page) == (
+        "Head & line\n\nThe first of the blocks is in the middle of a page and it is long enough to be of use to all of us, as it was for the others. More of it.\n\nShort."
+    )
+    assert op5.main_text(None) == "" and op5.main_text("<p>") == "" and op5.main_text("<!-- open") == ""
+
+
+def test_undecided_blocks_follow_their_neighbours():
+    assert op5.second_pass([None, True, None, None, False, None], [False] * 6) == [True, True, True, False, False, False]
+    assert op5.second_pass([None], [False]) == [False]
+
+
+# --- 6
+
+
+def test_language_evidence(spark):
+    texts = {"en": "the house of the old man and the sea is by the road", "fr": "la maison du vieil homme et de la mer est sur la route"}
+    train = spark.createDataFrame([(i, texts[k], k) for i, k in enumerate(["en", "fr"] * 20)], "doc_id long, text string, lang string")
+    langs, model = op6.fit(train)
+    rows = [(i, f"http://www.a.fr/{i}", f'<html lang="fr"><p>{texts["fr"]}</p>') for i in range(9)] + [(9, "http://www.a.fr/9", "<p>12345</p>"), (10, None, None), (11, "http://b.com/en/x", f"<p>{texts['en']}</p>")]
+    got = {r["page_id"]: r for r in op6.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), langs, model).collect()}
+    assert len(got) == 12 and got[0]["lang"] == "fr" and got[9]["lang"] == "fr" and got[11]["lang"] == "en" and got[10]["lang"] in langs
+    assert op6.identify(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0), langs, model).count() == 0
+
+
+# --- 7
+
+
+def test_neighbours_reach_recall(spark):
+    r = np.random.default_rng(3)
+    v = r.standard_normal((1200, 16))
+    rows = [(i, v[i].tolist(), "x") for i in range(1200)] + [(1200, None, "x"), (1201, [0.0] * 16, "x"), (1202, [1.0, None] + [0.0] * 14, "x"), (1203, [float("nan")] * 16, "x"), (1204, [1.0], "x"), (3, v[3].tolist(), "x")]
+    vectors = op7.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"))
+    got = op7.search(vectors.where("id % 20 = 0").select("id"), op7.build(vectors), vectors, 20).collect()
+    hits, stored = 0, v.astype(float)
+    for q in range(0, 1200, 20):
+        s = stored @ stored[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & {x["vec_id"] for x in got if x["query_id"] == q})
+    assert hits / 1200 >= 0.9 and len(got) == 1200
+    few = op7.usable(spark.createDataFrame(rows[:5], "vec_id long, embedding array<double>, score string"))
+    assert op7.search(few.where("id % 20 = 0").select("id"), op7.build(few), few, 20).count() == 4
+
+
+# --- 8
+
+
+def brute(texts, width, num, den):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return {i: (len(s), group[i]) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_jaccard_join_is_exact(spark, width, num):
+    r, texts = random.Random(num), list(EDGE[:-1])
+    for k in range(12):
+        base = words(r.randint(5, 160), k)
+        for _ in range(12):
+            t = list(base)
+            for _ in range(r.randint(0, 7)):
+                at = r.randrange(len(t))
+                t[at : at + r.randint(0, 2)] = words(1, r.random())
+            texts.append(" ".join(t))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in op8.link(docs(spark, *texts), width, num, 100).collect()}
+    assert got == brute(texts, width, num, 100)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(10, 40)] + [(50, i) for i in range(51, 60)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 10 for i in range(10, 41)} | {i: 50 for i in range(50, 60)}
+
+
+# --- 9
+
+
+def test_ppm_matches_a_plain_model(spark):
+    texts = ["abracadabra abra", "Cadabra abra é", None, "", "abra cadabra!", "zebra", "abracadabra abra", "brazen abbot"]
+    got = {r["doc_id"]: r for r in op9.score(docs(spark, *texts)).collect()}
+    counts = [{} for _ in range(op9.ORDER + 1)]
+    pad = bytes([op9.PAD]) * op9.ORDER
+    for i, t in enumerate(texts):
+        if not op9.held_out(i):
+            b = pad + op9.folded(t) + bytes([op9.END])
+            for p in range(op9.ORDER, len(b)):
+                for o in range(op9.ORDER + 1):
+                    node = counts[o].setdefault(b[p - o : p], {})
+                    node[b[p]] = node.get(b[p], 0) + 1
+
+    def p(context, s, skip=frozenset(), o=op9.ORDER):
+        if o < 0:
+            return 1 / (op9.SYMBOLS - len(skip))
+        left = {k: v for k, v in counts[o].get(context[len(context) - o :] if o else b"", {}).items() if k not in skip}
+        if not left:
+            return p(context, s, skip, o - 1)
+        n = sum(left.values())
+        return (2 * left[s] - 1) / (2 * n) if s in left else len(left) / (2 * n) * p(context, s, skip | left.keys(), o - 1)
+
+    assert math.isclose(sum(p(pad, s) for s in range(256) if s != op9.PAD), 1)
+    for i, t in enumerate(texts):
+        b = pad + op9.folded(t) + bytes([op9.END])
+        assert math.isclose(got[i]["score"], sum(math.log10(p(b[k - op9.ORDER : k], b[k])) for k in range(op9.ORDER, len(b))), rel_tol=1e-5)
+        assert got[i]["held_out"] == op9.held_out(i)
+    assert op9.adaptive("abababab") > 2 * op9.adaptive("abab")
+    assert op9.score(docs(spark, "x").limit(0)).count() == 0
+
+
+# --- 10
+
+
+def test_mixing_meets_targets(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "c", "d", None]), "x") for i in range(600)] + [(600, None, "a", "x"), (601, "w w", "e", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, target string")
+    got = op10.mix(d).collect()
+    again = {x["doc_id"]: x["copies"] for x in op10.mix(d.repartition(7)).collect()}
+    total = sum(x["size"] for x in got)
+    by = {}
+    for x in got:
+        assert 0 <= x["copies"] <= 2 and again[x["doc_id"]] == x["copies"]
+        by.setdefault(x["source"], []).append(x)
+    assert math.isclose(sum(v[0]["target"] for v in by.values()), 1.5 * total)
+    for v in by.values():
+        assert abs(sum(x["size"] * x["copies"] for x in v) - v[0]["target"]) <= 40 and v[0]["target"] <= 2 * v[0]["source_size"]
+    assert op10.mix(d.limit(0)).count() == 0
+
+
+def test_word_counts(spark):
+    x = spark.createDataFrame([(" a\tb\n\nc ",), ("",), (None,), (" ",)], "t string")
+    assert [r[0] for r in x.select(op10.words(F.col("t"))).collect()] == [3, 0, 0, 1]

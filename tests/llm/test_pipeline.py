@@ -1,0 +1,36 @@
+"""The pipeline on a small corpus against what its stages say one by one."""
+
+import corpus_pipeline
+
+
+def test_stages(spark, tmp_path):
+    import random
+
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("aeioubcdfg") for _ in range(6)) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    rows, labels = [], []
+    for i in range(120):
+        bad = i % 6 == 0
+        rows.append((i, text(60) + (" vile scumbag rotten" if bad else ""), "en", f"s{i % 3}", 0))
+        labels.append((i, 1, int(bad)))
+    item = text(30)
+    rows += [(200, rows[1][1], "en", "s0", 0), (201, text(20) + " " + item + " " + text(20), "en", "s1", 0), (202, None, "en", "s2", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names, seen = d.columns, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        d = stage(spark, d, str(tmp_path))
+        d.write.parquet(f"{tmp_path}/out{k}")
+        d = spark.read.parquet(f"{tmp_path}/out{k}")
+        seen[name] = [x["doc_id"] for x in d.collect()]
+        assert name == "tokens" or d.columns == names
+    toxic = {i for i in range(120) if i % 6 == 0}
+    assert set(seen["toxicity"]) == {x[0] for x in rows} - toxic
+    assert set(seen["toxicity"]) - set(seen["ngram_jaccard"]) == {200}
+    assert set(seen["ngram_jaccard"]) - set(seen["decontamination"]) == {201}
+    assert set(seen["mixing"]) <= set(seen["decontamination"]) and max(map(seen["mixing"].count, seen["mixing"])) <= 2
+    assert sorted(seen["tokens"]) == sorted(seen["mixing"])
+    assert sorted(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen["tokens"])
