@@ -5,11 +5,16 @@ size deal their shingles over B buckets by hash. Two linked sets differ in at mo
 buckets at least E + 1 buckets hold the very same shingles in both: a bucket's content is the *token* of this join.
 
 1. One pass over the texts emits a row for each (bucket content, set). Contents met in one set only go.
-2. Sets that agree with the least set of their contents in E + 1 buckets or more are verified against it. What links makes
+2. Contents are led by their most central set (whose contents are the most common). Sets that agree with a leader in
+   E + 1 buckets or more are verified against the one they agree with most. What links makes
    the first *groups* of similar sets: all members are linked already, so no pair within a group is looked at again.
-3. Token-group matrix: a group's token union is the distinct (content, group) rows. The overlap of a query set with the
-   union bounds its overlap with every member; groups of fewer than E + 1 common tokens stay closed. A qualifying
-   group is opened: members that agree in E + 1 buckets are verified on their whole sets.
+3. Sets beside one leader: what a set differs in from the leader is a small set D. If x doesn't link with the leader, x
+   and y can only link if they share more than |D(y)| * num / (num + den) elements of D(x) and D(y) (the symmetric
+   difference is a metric). So y is looked up by its rarest elements up to that count, and copies that were changed
+   each in its own way never meet, however many they are.
+4. Token-group matrix for sets with different leaders: a group's token union is the distinct (content, group) rows. The
+   overlap of a query set with the union bounds its overlap with every member; groups of fewer than E + 1 common tokens
+   stay closed. A qualifying group is opened: members that agree in E + 1 buckets are verified on their whole sets.
 
 All links between different sets are found (the bound is exact, no cap is set), and copies are never paired: equal sets
 are one set, with the documents as its membership. Passages that many documents share don't bring them together, since
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, small, table
+from .common import components, forget, materialise, small, table
 
 SPARE = 5
 CACHED_WORDS = 200_000
@@ -167,13 +172,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "fp long, shingles array<long>").dropDuplicates(["fp"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, with both sizes known exactly."""
+def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) with both whole sets (sa, sb) and whether these link."""
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.withColumn("common", common).where(den * F.col("common") >= num * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return both.withColumn("linked", den * F.col("common") >= num * (F.size("sa") + F.size("sb") - F.col("common")))
 
 
 def _pruned(rows: DataFrame, label: str) -> DataFrame:
@@ -188,34 +192,52 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); num / den: the least similarity."""
     rows = _rows(docs, width, num, den)
     same = Window.partitionBy("content")
-    met = rows.withColumn("leader", F.min("fp").over(same)).withColumn("last", F.max("fp").over(same))
-    met = materialise(met.where("n is not null or leader < last").drop("last"), "jaccard-rows")
+    met = rows.withColumn("least_fp", F.min("fp").over(same)).withColumn("last_fp", F.max("fp").over(same))
+    met = materialise(met.where("n is not null or least_fp < last_fp").drop("least_fp", "last_fp"), "jaccard-rows")
+    forget(docs.sparkSession)
     members = met.where("n is not null").select("doc_id", "fp", "n")
-    shared = met.where("n is null").select("content", "fp", "need", "leader").distinct()
-    once = _pruned(shared.select("content", "fp", "need", F.col("fp").alias("label"), "leader"), "label")
-    shared = materialise(once.select("content", "fp", "need", "leader"), "jaccard-shared")
-
-    stars = shared.where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
-    stars = materialise(stars.groupBy("fp").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader")).select(F.col("leader").alias("a"), F.col("fp").alias("b")), "jaccard-stars")
+    shared = met.where("n is null").select("content", "fp", "need").distinct().withColumn("label", F.col("fp"))
+    shared = materialise(_pruned(shared, "label").select("content", "fp", "need"), "jaccard-shared")
+
+    # the set whose contents are the most common stands in the middle of its copies: it leads
+    fame = shared.join(shared.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
+    leaders = shared.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"))
+    stars = shared.join(leaders, "content").where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
+    stars = materialise(stars.groupBy("fp").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader")), "jaccard-stars")
     # whole sets of what may link: one document for each set
     wanted = shared.select("fp").distinct()
     carriers = materialise(members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-carriers")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(carriers.select("doc_id").distinct(), carriers.count()), "doc_id", "left_semi")
     sets = materialise(_sets(held, width), "jaccard-sets")
-    edges = materialise(_verified(stars, sets, num, den), "jaccard-links")
-    groups = components(edges)
-
-    named = shared.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("content", "fp", "need", F.coalesce("component", "fp").alias("label"))
+    judged = _compared(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), sets, num, den)
+    judged = materialise(judged.select(F.col("a").alias("fp"), F.col("b").alias("leader"), "linked", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("differ")), "jaccard-judged")
+    edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
+    groups = materialise(components(edges).select(F.col("node").alias("fp"), F.col("component").alias("label")), "jaccard-groups")
+
+    # sets under one leader: what they differ in from it decides
+    led = judged.select("fp", "leader", "linked", F.size("differ").alias("n"), F.explode("differ").alias("e")).join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    often = led.groupBy("leader", "e").agg(F.count("*").alias("sets")).where("sets > 1")
+    met = led.join(often, ["leader", "e"], "left").withColumn("place", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("sets", F.lit(1)), "e")))
+    met = materialise(met.where("sets is not null").drop("sets"), "jaccard-differ")
+    rare = met.where(F.col("place") <= F.col("n") - F.floor(F.col("n") * num / (num + den))).select("leader", "e", F.col("fp").alias("other"), F.col("label").alias("other_label"))
+    outside = met.where("not linked").select("leader", "e", "fp", "label")
+    on = (outside["leader"] == rare["leader"]) & (outside["e"] == rare["e"]) & (F.col("label") != F.col("other_label"))
+    close = outside.join(rare, on).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+
+    # sets under different leaders: the token-group matrix
+    named = shared.join(groups, "fp", "left").join(stars, "fp", "left").select("content", "fp", "need", F.coalesce("label", "fp").alias("label"), F.coalesce("leader", "fp").alias("leader"))
     left = materialise(_pruned(_pruned(named, "label"), "label"), "jaccard-left")
-    matrix = left.select("content", F.col("label").alias("group")).distinct()
-    queries = left.join(matrix, "content").where("label > group").groupBy("fp", "group").agg(F.count("*").alias("k"), F.min("need").alias("least"))
-    open_ = queries.where("k >= least").select("fp", "group")
-    inside = left.select("content", F.col("fp").alias("member"), F.col("label").alias("group"))
-    pairs = left.select("content", "fp", "need").join(open_, "fp").join(inside, ["content", "group"])
+    matrix = left.select(F.col("content").alias("token"), F.col("label").alias("group"), F.col("leader").alias("group_leader")).distinct()
+    on = (F.col("content") == F.col("token")) & (F.col("label") > F.col("group")) & (F.col("leader") != F.col("group_leader"))
+    queries = left.join(matrix, on).groupBy("fp", "group", "group_leader").agg(F.count("*").alias("k"), F.min("need").alias("least"))
+    open_ = queries.where("k >= least").select("fp", "group", "group_leader")
+    inside = left.select("content", F.col("fp").alias("member"), F.col("label").alias("group"), F.col("leader").alias("group_leader"))
+    pairs = left.select("content", "fp", "need").join(open_, "fp").join(inside, ["content", "group", "group_leader"])
     pairs = pairs.groupBy("fp", "member").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
-    more = _verified(materialise(pairs.select(F.col("fp").alias("a"), F.col("member").alias("b")), "jaccard-pairs"), sets, num, den)
+    pairs = materialise(pairs.select(F.least("fp", "member").alias("a"), F.greatest("fp", "member").alias("b")).unionByName(close).distinct(), "jaccard-pairs")
+    more = materialise(_compared(pairs, sets, num, den).where("linked").select("a", "b"), "jaccard-links")
 
-    final = components(edges.unionByName(materialise(more, "jaccard-links")).distinct())
+    final = components(edges.unionByName(more).distinct())
     at = members.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("component"))
     least = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return at.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
