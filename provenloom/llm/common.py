@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def forget(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does once the driver has collected what named them."""
     gc.collect()
+    time.sleep(0.5)  # until the driver's JVM has heard of it
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -21,18 +21,20 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, table
 
 ORDER = 5
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 255  # all bytes but PAD
-CHUNK_BYTES = 20_000_000
+CHUNK_BYTES = 40_000_000
 SLICE_BYTES = 2_000_000
 FOLDS, HELD_OUT = 5, 1
 GRAM, WORD = 0, 1
@@ -57,15 +59,15 @@ def grams(texts: list[bytes]) -> np.ndarray:
     return out[flat[ORDER:] != PAD]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= SLICE_BYTES:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(rows: pa.Table) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """ids and folded texts of runs of rows that hold about so many bytes, one row at least; no more is unpacked at once."""
+    sizes = np.cumsum([0, *pc.fill_null(pc.binary_length(rows["text"]), 0).to_pylist()])
+    start = 0
+    while start < rows.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + SLICE_BYTES, "right")) - 1)
+        part = rows.slice(start, end - start)
+        yield part["doc_id"].to_pylist(), [folded(t) for t in part["text"].to_pylist()]
+        start = end
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -88,28 +90,22 @@ def chunk_counts(chunk: pa.Table) -> pa.Table:
     """(chunk, kind, key, n): the chunk's distinct grams and words with their counts in its training documents."""
     if not chunk.num_rows:
         return pa.table({"chunk": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    ids, texts = chunk["doc_id"].to_pylist(), [folded(t) for t in chunk["text"].to_pylist()]
-    held = [held_out(i) for i in ids]
-    parts, words, unseen = [], Counter(), set()
-    for a, b in slices(texts):
+    gram_parts, word_parts = [], []
+    for ids, texts in slices(chunk):
+        held = [held_out(i) for i in ids]
         for learn in (True, False):
-            mine = [t for t, h in zip(texts[a:b], held[a:b], strict=True) if h != learn]
+            mine = [t for t, h in zip(texts, held, strict=True) if h != learn]
             if mine:
                 k, c = np.unique(grams(mine), return_counts=True)
-                parts.append((k, c if learn else np.zeros_like(c)))
-        if len(parts) > 6:
-            parts = [counted(parts)]
-    for t, h in zip(texts, held, strict=True):
-        if h:
-            unseen.update(t.split())
-        else:
-            words.update(t.split())
-    k, c = counted(parts)
-    names = list(words) + list(unseen.difference(words))
-    wk = np.concatenate([word_keys(names), [END_KEY]]).astype(np.int64)
-    wc = np.array([words[w] for w in names] + [held.count(False)], np.int64)
+                gram_parts.append((k, c * learn))
+                words = Counter(chain.from_iterable(map(bytes.split, mine)))
+                word_parts.append((word_keys(list(words)), np.fromiter(words.values(), np.int64, len(words)) * learn))
+                word_parts.append((np.array([END_KEY]), np.array([len(mine) * learn])))
+        if len(gram_parts) > 4:
+            gram_parts, word_parts = [counted(gram_parts)], [counted(word_parts)]
+    (k, c), (wk, wc) = counted(gram_parts), counted(word_parts)
     n = len(k) + len(wk)
-    kind = np.concatenate([np.full(len(k), GRAM), np.full(len(wk), WORD)]).astype(np.int32)
+    kind = np.repeat(np.array([GRAM, WORD], np.int32), [len(k), len(wk)])
     return pa.table({"chunk": np.full(n, chunk["chunk"][0].as_py(), np.int64), "kind": kind, "key": np.concatenate([k, wk]), "n": np.concatenate([c, wc])})
 
 
@@ -166,11 +162,13 @@ def score(docs: DataFrame) -> DataFrame:
     chunks = max(1, -(-bytes_ // CHUNK_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     listed = materialise(dealt.groupBy("chunk").applyInArrow(chunk_counts, "chunk long, kind int, key long, n long"), "ppm-counts")
+    forget(docs.sparkSession)
 
     known = materialise(listed.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ppm-words")
     sums = known.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, vocabulary = sums["n"] or 0, sums["v"]
     trie = materialise(listed.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "ppm-trie")
+    forget(docs.sparkSession)
     pairs = np.zeros((256, 256))
     for r in trie.where("n > 0").groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(255)).alias("a"), F.col("key").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
         pairs[r["a"], r["b"]] = r["n"]
@@ -181,7 +179,8 @@ def score(docs: DataFrame) -> DataFrame:
             keys = np.concatenate([b.column(0).to_numpy() for b in held])
             found = code_lengths(keys, np.concatenate([b.column(1).to_numpy() for b in held]), pairs)
             for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(found[i : i + 100_000])], ["key", "value"])
+                rounded = found[i : i + 100_000].astype(np.float32).astype(np.float64)  # the zeros make the shuffle small
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(rounded)], ["key", "value"])
 
     together = trie.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
     model = together.mapInArrow(lengths, "key long, value double")
@@ -190,34 +189,29 @@ def score(docs: DataFrame) -> DataFrame:
     floor = n_train + 0.5 * (vocabulary + 1)
 
     def add(mine: pa.Table, given: pa.Table) -> pa.Table:
-        ids, texts = mine["doc_id"].to_pylist(), [folded(t) for t in mine["text"].to_pylist()]
-        kind, key, value = given["kind"].to_numpy(), given["key"].to_numpy(), given["value"].to_numpy()
-        order = np.lexsort((key, kind))
-        cut = int((kind == GRAM).sum())
-        gk, gv, wk, wv = key[order][:cut], value[order][:cut], key[order][cut:], value[order][cut:]
-        total = np.zeros(len(texts))
-        for a, b in slices(texts):
-            v = gv[np.searchsorted(gk, grams(texts[a:b]))]
-            starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])[:-1]])
-            total[a:b] = np.add.reduceat(v, starts)
-        at: dict[bytes, float] = {}
-        tokens, seen, base = [], [], []
-        end = float(wv[np.searchsorted(wk, END_KEY)]) if len(wk) else 0.0
-        for t in texts:
-            words = t.split()
-            new = [w for w in set(words) if w not in at]
-            if new:
-                at.update(zip(new, wv[np.searchsorted(wk, word_keys(new))].tolist(), strict=True))
-            c = np.array([at[w] for w in words] + [end])
-            tokens.append(len(c))
-            seen.append(int((c > 0).sum()))
-            base.append(float(np.log10((c + 0.5) / floor).sum()))
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()),
-                "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([n_train] * len(ids), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total),
-            }
-        )
+        kind, key, value = (given[c].to_numpy() for c in ("kind", "key", "value"))
+        tables = []
+        for k in (GRAM, WORD):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(key[at])]
+            tables.append((key[at], value[at]))
+        (gk, gv), (wk, wv) = tables
+        columns: list[list] = [[] for _ in range(7)]
+        for ids, texts in slices(mine):
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+            total = np.add.reduceat(gv[np.searchsorted(gk, grams(texts))], starts)
+            split = [t.split() for t in texts]
+            names = list(set(chain.from_iterable(split)))
+            count = dict(zip(names, wv[np.searchsorted(wk, word_keys(names))].tolist(), strict=True))
+            end = float(wv[np.searchsorted(wk, END_KEY)])
+            for i, words, x in zip(ids, split, total.tolist(), strict=True):
+                c = np.array([count[w] for w in words] + [end])
+                row = (i, held_out(i), len(c), int((c > 0).sum()), n_train, float(np.log10((c + 0.5) / floor).sum()), x)
+                for column, v in zip(columns, row, strict=True):
+                    column.append(v)
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(add, out)
