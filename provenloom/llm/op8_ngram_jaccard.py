@@ -5,13 +5,13 @@ size deal their shingles over B buckets by hash. Two linked sets differ in at mo
 buckets at least E + 1 buckets hold the very same shingles in both: a bucket's content is the *token* of this join.
 
 1. One pass over the texts emits a row for each (bucket content, set). Contents met in one set only go.
-2. Contents are led by their most central set (whose contents are the most common). Sets that agree with a leader in
-   E + 1 buckets or more are verified against the one they agree with most. What links makes
+2. Contents are led by their most central set (whose contents are the most common). A set is verified
+   against the most central leader of its contents, of those that it agrees with in E + 1 buckets or more if there are such. What links makes
    the first *groups* of similar sets: all members are linked already, so no pair within a group is looked at again.
 3. Sets beside one leader: what a set differs in from the leader is a small set D. If x doesn't link with the leader, x
    and y can only link if they share more than |D(y)| * num / (num + den) elements of D(x) and D(y) (the symmetric
-   difference is a metric). So y is looked up by its rarest elements up to that count, and copies that were changed
-   each in its own way never meet, however many they are.
+   difference is a metric). So y is looked up by its rarest elements up to that count, where what follows their first
+   common element suffices; copies that were changed each in its own way never meet, however many they are.
 4. Token-group matrix for sets with different leaders: a group's token union is the distinct (content, group) rows. The
    overlap of a query set with the union bounds its overlap with every member; groups of fewer than E + 1 common tokens
    stay closed. A qualifying group is opened: members that agree in E + 1 buckets are verified on their whole sets.
@@ -201,28 +201,33 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     # the set whose contents are the most common stands in the middle of its copies: it leads
     fame = shared.join(shared.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
-    leaders = shared.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"))
-    stars = shared.join(leaders, "content").where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
-    stars = materialise(stars.groupBy("fp").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader")), "jaccard-stars")
+    leaders = shared.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"), F.col("top.fame").alias("fame"))
+    stars = shared.join(leaders, "content").where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least"), F.first("fame").alias("fame"))
+    stars = materialise(stars.groupBy("fp").agg(F.max_by("leader", F.struct(F.col("k") >= F.col("least"), "fame", -F.col("leader"))).alias("leader")), "jaccard-stars")
     # whole sets of what may link: one document for each set
     wanted = shared.select("fp").distinct()
     carriers = materialise(members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-carriers")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(carriers.select("doc_id").distinct(), carriers.count()), "doc_id", "left_semi")
     sets = materialise(_sets(held, width), "jaccard-sets")
+    forget(docs.sparkSession)
     judged = _compared(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), sets, num, den)
-    judged = materialise(judged.select(F.col("a").alias("fp"), F.col("b").alias("leader"), "linked", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("differ")), "jaccard-judged")
+    judged = materialise(judged.select(F.col("a").alias("fp"), F.col("b").alias("leader"), "linked", F.size("sa").alias("size"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("differ")), "jaccard-judged")
+    forget(docs.sparkSession)
     edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
     groups = materialise(components(edges).select(F.col("node").alias("fp"), F.col("component").alias("label")), "jaccard-groups")
 
     # sets under one leader: what they differ in from it decides
-    led = judged.select("fp", "leader", "linked", F.size("differ").alias("n"), F.explode("differ").alias("e")).join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    led = judged.select("fp", "leader", "linked", "size", F.size("differ").alias("n"), F.explode("differ").alias("e")).join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     often = led.groupBy("leader", "e").agg(F.count("*").alias("sets")).where("sets > 1")
     met = led.join(often, ["leader", "e"], "left").withColumn("place", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("sets", F.lit(1)), "e")))
     met = materialise(met.where("sets is not null").drop("sets"), "jaccard-differ")
-    rare = met.where(F.col("place") <= F.col("n") - F.floor(F.col("n") * num / (num + den))).select("leader", "e", F.col("fp").alias("other"), F.col("label").alias("other_label"))
-    outside = met.where("not linked").select("leader", "e", "fp", "label")
-    on = (outside["leader"] == rare["leader"]) & (outside["e"] == rare["e"]) & (F.col("label") != F.col("other_label"))
-    close = outside.join(rare, on).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    rare = met.where(F.col("place") <= F.col("n") - F.floor(F.col("n") * num / (num + den))).select("leader", "e", *[F.col(c).alias(f"other_{c}") for c in ("fp", "label", "n", "place", "size")])
+    outside = met.where("not linked").select("leader", "e", "fp", "label", "n", "place", "size")
+    # from their first common element on, two sets can't share more than what is left of either
+    may = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    must = F.col("n") + F.col("other_n") - F.floor((F.col("size") + F.col("other_size")) * (den - num) / (den + num))
+    on = (outside["leader"] == rare["leader"]) & (outside["e"] == rare["e"]) & (F.col("label") != F.col("other_label")) & (2 * may >= must)
+    close = outside.join(rare, on).select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"))
 
     # sets under different leaders: the token-group matrix
     named = shared.join(groups, "fp", "left").join(stars, "fp", "left").select("content", "fp", "need", F.coalesce("label", "fp").alias("label"), F.coalesce("leader", "fp").alias("leader"))
