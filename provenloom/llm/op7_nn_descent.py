@@ -3,8 +3,9 @@
 Building: every vector starts with neighbours from TREES random orders (signs of random projections, then one more
 projection), each cut into blocks that are compared whole. Then each round joins neighbours with their neighbours: a
 vector's lists of DEGREE nearest and up to REVERSE vectors that hold it are brought together, all pairs in them are
-compared, and what beats the worst of a vector's list enters it. Rounds end when few lists change. Vectors travel as
-bytes (one scale for all); lists are of fixed length, so groups are bounded whatever the data.
+compared, and what beats the worst of a vector's list enters it. Rounds end when few lists change. Vectors travel in
+single precision, divided by the largest component of all, so that vectors of any length keep their digits; lists are of
+fixed length, so groups are bounded whatever the data.
 
 Searching: a query enters the graph at its own node and spreads greedily: in each hop the best unopened of its nearest
 BEAM are opened through a join with the graph, and scored in double precision on the original vectors, until its nearest
@@ -44,7 +45,7 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def unpacked(col: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
@@ -132,7 +133,7 @@ def build(vectors: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dim)
-            q = np.rint(x * (127.0 / scale)).astype(np.int8)
+            q = (x / scale).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary())], ["id", "q"])
 
     packed = materialise(vectors.select("id", "v").mapInArrow(pack, "id long, q binary"), "ann-packed")

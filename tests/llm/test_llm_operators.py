@@ -175,6 +175,26 @@ def test_neighbours_reach_recall(spark):
     assert op7.search(few.where("id % 20 = 0").select("id"), op7.build(few), few, 20).count() == 4
 
 
+@pytest.mark.parametrize("lengths", ["a few long", "heavy tail"])
+def test_neighbours_of_unequal_lengths_reach_recall(spark, lengths):
+    r = np.random.default_rng(5)
+    v = r.standard_normal((1200, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if lengths == "a few long":
+        v[[7, 307, 607, 907]] *= np.array([[100.0], [200.0], [500.0], [1000.0]])
+    else:
+        v *= r.lognormal(0, 2, (1200, 1))
+    vectors = op7.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    got = op7.search(vectors.where("id % 20 = 0").select("id"), op7.build(vectors), vectors, 20).collect()
+    hits = 0
+    for q in range(0, 1200, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & {x["vec_id"] for x in got if x["query_id"] == q})
+    print(f"recall with {lengths}: {hits / 1200:.4f}")
+    assert hits / 1200 >= 0.9 and len(got) == 1200
+
+
 # --- 8
 
 
