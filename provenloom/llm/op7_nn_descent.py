@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search, by largest inner product.
 
+Equal vectors are one node of the graph, that of their least vec_id; what a search finds is spread to their least vec_ids.
+
 Building: every vector starts with neighbours from TREES random orders (signs of random projections, then one more
 projection), each cut into blocks that are compared whole. Then each round joins neighbours with their neighbours: a
 vector's lists of DEGREE nearest and up to REVERSE vectors that hold it are brought together, all pairs in them are
-compared, and what beats the worst of a vector's list enters it. Rounds end when few lists change. Vectors travel in
+compared, and what beats the worst of a vector's list (or equals it and has a smaller vec_id) enters it. Rounds end when few lists change. Vectors travel in
 single precision, divided by the largest component of all, so that vectors of any length keep their digits; lists are of
 fixed length, so groups are bounded whatever the data.
 
@@ -32,6 +34,7 @@ DEGREE, REVERSE = 24, 20
 TREES, SIGNS, BLOCK = 4, 8, 128
 ROUNDS, STILL = 5, 0.01
 BEAM, OPENED, HOPS = 120, 24, 6
+SALTS = 16
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -44,6 +47,20 @@ def usable(rows: DataFrame) -> DataFrame:
     return x.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
 
+def representatives(vectors: DataFrame) -> DataFrame:
+    """(id, v) of distinct vectors, by the least id of each."""
+    return vectors.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+
+
+def least_members(vectors: DataFrame, n: int) -> DataFrame:
+    """(at, ids) for each distinct vector: its least id and its n least ids, ascending."""
+    part = Window.partitionBy("v", "salt").orderBy("id")
+    x = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    x = x.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n)  # no key brings more than n * SALTS on
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rank") <= n)
+    return x.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("at"), "ids")
+
+
 def unpacked(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
 
@@ -73,12 +90,13 @@ def start(packed: DataFrame, dim: int) -> DataFrame:
         def blocks(t: pa.Table, size: int) -> Iterator[pa.RecordBatch]:
             for i in range(0, t.num_rows, size):
                 part = t.slice(i, size)
+                part = part.sort_by("id")
                 ids, x = part["id"].to_numpy(), unpacked(part["q"].combine_chunks(), dim)
                 s = x @ x.T
                 np.fill_diagonal(s, -np.inf)
                 k = min(DEGREE, len(ids) - 1)
                 if k > 0:
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["src", "dst", "score"])
 
         for b in batches:
@@ -101,8 +119,10 @@ def round_(graph: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
     back = graph.select(F.col("dst").alias("at"), F.col("src").alias("id"), "score")
     back = back.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= REVERSE)
     lists = graph.select(F.col("src").alias("at"), F.col("dst").alias("id")).unionByName(back.select("at", "id")).distinct()
-    worst = graph.groupBy("src").agg(F.min("score").alias("worst"), F.count("*").alias("n")).select(F.col("src").alias("id"), F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(float("-inf")).cast("float").alias("worst"))
-    met = lists.join(packed.join(worst, "id", "left"), "id").groupBy("at").agg(F.collect_list(F.struct("id", "q", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))).alias("l"))
+    last = graph.groupBy("src").agg(F.max_by(F.struct("score", "dst"), F.struct(-F.col("score"), "dst")).alias("w"), F.count("*").alias("n")).where(F.col("n") >= DEGREE)
+    last = last.select(F.col("src").alias("id"), F.col("w.score").cast("float").alias("worst"), F.col("w.dst").alias("last"))
+    entry = F.struct("id", "q", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"), F.coalesce("last", F.lit(-1)).alias("last"))
+    met = lists.join(packed.join(last, "id", "left"), "id").groupBy("at").agg(F.collect_list(entry).alias("l"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = DEGREE + REVERSE
@@ -112,11 +132,12 @@ def round_(graph: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
                 n, flat = np.array([len(x) for x in col]), col.flatten()
                 row, at = np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n])
                 x, ids, worst = np.zeros((len(n), width, dim), np.float32), np.full((len(n), width), -1, np.int64), np.full((len(n), width), np.inf, np.float32)
+                last, there = np.full((len(n), width), -1, np.int64), np.zeros((len(n), width), bool)
                 x[row, at], ids[row, at], worst[row, at] = unpacked(flat.field("q"), dim), flat.field("id").to_numpy(), flat.field("worst").to_numpy()
+                last[row, at], there[row, at] = flat.field("last").to_numpy(), True
                 s = np.matmul(x, x.transpose(0, 2, 1))
-                s[np.broadcast_to(ids[:, None, :] < 0, s.shape)] = -np.inf
-                s[:, np.arange(width), np.arange(width)] = -np.inf
-                g, a, c = np.nonzero(s > worst[:, :, None])
+                pairs = there[:, :, None] & there[:, None, :] & ~np.eye(width, dtype=bool)
+                g, a, c = np.nonzero(pairs & ((s > worst[:, :, None]) | (s == worst[:, :, None]) & (ids[:, None, :] < last[:, :, None])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[g, a]), pa.array(ids[g, c]), pa.array(s[g, a, c])], ["src", "dst", "score"])
 
     found = met.select("l").mapInArrow(compare, "src long, dst long, score float")
@@ -124,7 +145,8 @@ def round_(graph: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
 
 
 def build(vectors: DataFrame) -> DataFrame:
-    """The neighbour graph (src, dst) of vectors (id, v), DEGREE neighbours each."""
+    """The neighbour graph (src, dst) of vectors (id, v), DEGREE neighbours each; of equal vectors the least id is in it."""
+    vectors = materialise(representatives(vectors), "ann-nodes")
     first = vectors.select(F.size("v")).first()
     if first is None:
         return vectors.select(F.col("id").alias("src"), F.col("id").alias("dst"))
@@ -157,7 +179,22 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): up to k nearest of each query (id), which is a node of the graph."""
+    """(query_id, rank, vec_id, score): up to k nearest of each query (id), which is one of the vectors."""
+    members, nodes = least_members(vectors, k + 1), materialise(representatives(vectors), "ann-nodes")
+    of = queries.join(vectors, "id").join(nodes.withColumnRenamed("id", "node"), "v").select("id", "node")
+    of = materialise(of, "ann-queries")
+    found = nearest(of.select(F.col("node").alias("id")).distinct(), graph, nodes, k + 1)
+    # k members and the query's own place: what the next nodes hold is behind them by score, or by vec_id where scores are equal
+    spread = found.join(members, found["id"] == members["at"]).select("query", "score", F.explode("ids").alias("id"))
+    spread = spread.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
+    hits = spread.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("hits"))
+    x = of.withColumnRenamed("id", "query_id").join(hits, F.col("node") == F.col("query"))
+    x = x.select("query_id", F.posexplode(F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)).alias("at", "h"))
+    return x.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("h.id").alias("vec_id"), F.col("h.score").alias("score"))
+
+
+def nearest(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query, id, score): up to k nearest nodes of each query (id), a node of the graph; the query itself is one of them."""
     ways = materialise(graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "ann-ways")
     asked = queries.join(vectors, "id").select(F.col("id").alias("query"), F.col("v").alias("qv"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -166,7 +203,8 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) ->
         return pairs.join(vectors, "id").join(asked, "query").select("query", "id", dot(F.col("qv"), F.col("v")).alias("score"))
 
     first = ways.join(queries.select(F.col("id").alias("src")), "src").select(F.col("src").alias("query"), F.col("dst").alias("id"))
-    state = materialise(scored(first).withColumn("opened", F.lit(False)), "ann-beam")
+    own = asked.select("query", F.col("query").alias("id"), dot(F.col("qv"), F.col("qv")).alias("score"), F.lit(True).alias("opened"))
+    state = materialise(scored(first).withColumn("opened", F.lit(False)).unionByName(own), "ann-beam")
     for _ in range(HOPS):
         ranked = state.withColumn("rank", F.row_number().over(order))
         near = ranked.where((F.col("rank") <= BEAM) & ~F.col("opened"))
@@ -178,7 +216,7 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) ->
         marked = state.join(turn.select("query", F.col("src").alias("id"), F.lit(True).alias("now")), ["query", "id"], "left").select("query", "id", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
         state = materialise(marked.unionByName(scored(new).withColumn("opened", F.lit(False))), "ann-beam")
     found = state.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return found.select("query", "id", "score")
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,25 @@ def test_neighbours_of_unequal_lengths_reach_recall(spark, lengths):
     assert hits / 1200 >= 0.9 and len(got) == 1200
 
 
+def test_neighbours_of_equal_vectors_are_the_least_ids(spark):
+    r = np.random.default_rng(9)
+    v = r.standard_normal((1600, 16))
+    v[300:1300] = v[300]
+    vectors = op7.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    got = op7.search(vectors.where("id % 20 = 0").select("id"), op7.build(vectors), vectors, 20).collect()
+    assert len(got) == 80 * 20
+    right = 0
+    for q in range(300, 1300, 20):
+        s = (v @ v[q]).round(9)
+        expected = [i for i in np.lexsort((np.arange(1600), -s)) if i != q][:20]
+        right += [x["vec_id"] for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == expected
+    print(f"queries among equal vectors with the right ids in order: {right} of 50")
+    assert right == 50
+    same = op7.usable(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<double>"))
+    got = op7.search(same.where("id = 20").select("id"), op7.build(same), same, 20).orderBy("rank").collect()
+    assert [x["vec_id"] for x in got] == list(range(20))
+
+
 # --- 8
 
 
