@@ -232,6 +232,13 @@ def chunk_pack(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.col("chunk_no"), F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def chunk_pack_whole(s: SparkSession, d: str) -> DataFrame:
+    """All lines: chunk_pack is bound by its SQL to lines of up to 1,000 characters, here longer ones are split."""
+    x = chunking.chunks(lines(s, d), 1000, 0, 1_000_000)
+    return x.select("doc_id", "chunk_no", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"), text.pages_label(F.col("pages")).alias("pages"))
+
+
 @query()
 def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
     x = chunking.chunks(lines(s, d), 2000, 200, 12)

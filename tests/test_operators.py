@@ -131,3 +131,28 @@ def test_amount_round_trip(spark, cents, style):
     value = Decimal(cents) / 100
     x = spark.createDataFrame([(value, style)], "v decimal(18,2), s int")
     assert x.select(numbers.parse_amount(spelled(F.col("v"), F.col("s"))).alias("x")).first()["x"] == value
+
+
+def test_whole_documents_are_packed(spark, tmp_path):
+    import hashlib
+
+    from provenloom.plans.queries import QUERIES
+
+    docs = {1: "a" * 400 + "\n" + "b" * 2500 + "\n\n" + "c" * 300, 2: "short\n \nlines", 3: "d" * 1000 + "\n" + "e" * 1001}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, t in docs.items():
+        chunks, size = [], 0
+        for page, line in enumerate(t.split("\n"), 1):
+            for at in range(0, len(line) if line.strip() else 0, 1000):
+                part = f"[СТРАНИЦА {page}]\n" + line[at : at + 1000]
+                if not chunks or size + len(part) > 1000:
+                    chunks.append([])
+                    size = 0
+                chunks[-1].append(part)
+                size += len(part)
+        expected += [(i, n, len(x), hashlib.md5(x.encode()).hexdigest()) for n, c in enumerate(chunks) for x in ["\n\n".join(c)]]
+    got = QUERIES["chunk_pack_whole"](spark, str(tmp_path)).drop("pages").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    letters = sum(n for i, _, n, _ in expected if i == 1)
+    assert letters > 3200
