@@ -296,8 +296,9 @@ def fuzzy_dedupe(s: SparkSession, d: str) -> DataFrame:
   AND (a.t = b.t OR (least(length(a.t), length(b.t)) >= 40 AND (starts_with(a.t, b.t) OR starts_with(b.t, a.t))))""")
 def similar_prefix(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
+    n = n.withColumn("head", F.left("t", F.lit(merge.PREFIX)))  # equal in every pair that passes
     a, b = n.alias("a"), n.alias("b")
-    on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")) & merge.same_by_prefix(F.col("a.t"), F.col("b.t"))
+    on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.turn") < F.col("b.turn")) & merge.same_by_prefix(F.col("a.t"), F.col("b.t"))
     return a.join(b, on).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("first_turn"), F.col("b.turn").alias("second_turn"))
 
 

@@ -156,3 +156,19 @@ def test_whole_documents_are_packed(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(expected)
     letters = sum(n for i, _, n, _ in expected if i == 1)
     assert letters > 3200
+
+
+def test_similar_prefix_joins_on_beginnings(spark, tmp_path):
+    from provenloom.plans.queries import QUERIES
+
+    head = "the same forty characters at the beginning"
+    t = [head, head + " and more", head + " and other", "Short", "short", "short one", None, "", "x" + head, head[:39], head[:40].upper()]
+    rows = [(1, i, x) for i, x in enumerate(t)] + [(2, 0, head)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    low = [None if x is None else x.lower() for x in t]
+    same = lambda a, b: a is not None and b is not None and (a == b or (min(len(a), len(b)) >= 40 and (a.startswith(b) or b.startswith(a))))
+    expected = [(1, i, j) for i in range(len(t)) for j in range(i + 1, len(t)) if same(low[i], low[j])]
+    x = QUERIES["similar_prefix"](spark, str(tmp_path))
+    assert sorted(map(tuple, x.collect())) == expected and len(expected) > 3
+    keys = next(line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert "conv_id" in keys and "head" in keys.split("], [")[0]
