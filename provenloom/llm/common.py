@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; an own one only in local mode."""
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that driver and executors share: spark.checkpoint.dir, else what setCheckpointDir set; an own one only in local mode."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="provenloom-")
     return _own[app]
@@ -37,15 +38,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now: it does once the driver has collected what named them."""
-    gc.collect()
-    time.sleep(0.5)  # until the driver's JVM has heard of it
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+def discard(*steps: DataFrame) -> None:
+    """Deletes the files of materialised steps that nothing reads any more."""
+    for step in steps:
+        if path := _written.pop(step, None):
+            where = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,9 +62,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round maps every node to the least node beside it and contracts the edges, so that a star ends in one round
     and a chain halves; the mappings are then composed. Nodes without edges don't appear. No group is collected.
     """
-    maps, left = [], edges.select("a", "b")
+    maps, left, written = [], edges.select("a", "b"), []
     while True:
         left = materialise(left, "cc-edges")
+        discard(*written)
+        written = [left]
         if left.isEmpty():
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -75,4 +80,6 @@ def components(edges: DataFrame) -> DataFrame:
     out = maps[-1]
     for to in maps[-2::-1]:
         out = to.join(out.select(F.col("a").alias("m"), F.col("m").alias("n")), "m", "left").select("a", F.coalesce("n", "m").alias("m"))
-    return materialise(out.select(F.col("a").alias("node"), F.col("m").alias("component")), "cc")
+    found = materialise(out.select(F.col("a").alias("node"), F.col("m").alias("component")), "cc")
+    discard(*maps, *written)
+    return found

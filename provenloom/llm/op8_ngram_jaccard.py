@@ -4,25 +4,27 @@ A document is its set of word shingles; two documents link where intersection /
 size deal their shingles over B buckets by hash. Two linked sets differ in at most D shingles, so with B = D + 1 + E
 buckets at least E + 1 buckets hold the very same shingles in both: a bucket's content is the *token* of this join.
 
-1. One pass over the texts emits a row for each (bucket content, set). Contents met in one set only go.
-2. Contents are led by their most central set (whose contents are the most common). A set is verified
-   against the most central leader of its contents, of those that it agrees with in E + 1 buckets or more if there are such. What links makes
-   the first *groups* of similar sets: all members are linked already, so no pair within a group is looked at again.
-3. Sets beside one leader: what a set differs in from the leader is a small set D. If x doesn't link with the leader, x
-   and y can only link if they share more than |D(y)| * num / (num + den) elements of D(x) and D(y) (the symmetric
-   difference is a metric). So y is looked up by its rarest elements up to that count, where what follows their first
-   common element suffices; copies that were changed each in its own way never meet, however many they are.
-4. Token-group matrix for sets with different leaders: a group's token union is the distinct (content, group) rows. The
-   overlap of a query set with the union bounds its overlap with every member; groups of fewer than E + 1 common tokens
-   stay closed. A qualifying group is opened: members that agree in E + 1 buckets are verified on their whole sets.
+1. One pass over the texts emits a row for each (token, set). Tokens met in one set only go.
+2. Groups: the sets with the most common tokens lead; a token belongs to the group of the most central set that has it,
+   and a set's overlap with a group's tokens is counted by one join. It is put into the group of the most central leader
+   that it meets in E + 1 tokens or more (any, if there is none) and compared with the leader. Those that link are the first
+   components: no pair within one is looked at again.
+3. Token-group matrix: a component's token union is the distinct (token, group) rows. The overlap of a set with the
+   union bounds its overlap with every member; groups of fewer than E + 1 common tokens stay closed. A qualifying group is
+   opened at its leader first, and only for sets that don't link there its members that agree in E + 1 tokens are compared.
+4. Sets under one leader that don't link with it: what a set differs in from the leader is a small set D. Such an x and y can
+   only link if they share more than |D(y)| * num / (num + den) elements of D(x) and D(y) (the symmetric difference
+   is a metric). So y is looked up by its rarest elements up to that count, where what follows their first common element
+   suffices; copies that were changed each in its own way never meet, however many they are.
 
 All links between different sets are found (the bound is exact, no cap is set), and copies are never paired: equal sets
-are one set, with the documents as its membership. Passages that many documents share don't bring them together, since
-a bucket's content mixes them with the document's own shingles. Sets are 64-bit hashes of shingles, compared whole.
+are one set, with the rows as its membership. Passages that many documents share don't bring them together, since
+a token mixes them with the document's own shingles. Sets are 64-bit hashes of shingles, compared whole.
 
 Defined cases: null, empty or wordless texts have no shingles and link with nothing (component_id is the doc_id);
-documents with fewer words than a shingle have the whole sequence as one; rows of equal doc_id are
-rows of their own, each with its own set; a null doc_id keeps a row (component of its set's least doc_id); empty tables give no rows.
+documents with fewer words than a shingle have the whole sequence as one; rows of equal doc_id are rows of their own, each
+with its own set; a null doc_id keeps a row and carries links (component_id is the least doc_id of its component, null
+if no row has one); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, materialise, small, table
+from .common import components, discard, materialise, small, table
 
 SPARE = 5
 CACHED_WORDS = 200_000
@@ -125,59 +128,76 @@ def bucket_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ROWS = "content long, fp long, need int, doc_id long, n long"
+ROWS = "content long, fp long, need int"
+REMEMBERED = 200_000
 
 
-def _rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """A row with n (and no need) for each document, and rows (content, fp, need) for its set."""
+def _slices(texts: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, texts) of runs of about so many bytes, one text at least; no more is unpacked at once."""
+    held = np.cumsum([0, *pc.fill_null(pc.binary_length(texts), 0).to_pylist()])
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(held, held[start] + chars, "right")) - 1)
+        yield start, texts.slice(start, end - start).to_pylist()
+        start = end
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            start, held, sets = 0, 0, []
-            for i, t in enumerate(texts):
-                sets.append(shingles(t, width))
-                held += len(sets[-1])
-                if held < 500_000 and i + 1 < len(texts):
-                    continue
-                fps = np.array([fingerprint(s) for s in sets], np.int64)
-                mine = ids.slice(start, len(sets))
-                n = np.array([len(s) for s in sets], np.int64)
-                lone = mixed((np.arange(start, start + len(sets)).astype(np.uint64) << np.uint64(20)) ^ fps.view(np.uint64) ^ np.uint64(len(texts))).view(np.int64)
-                empty = pa.nulls(len(sets), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(lone), pa.array(fps), empty, mine, pa.array(n)], [c.split()[0] for c in ROWS.split(", ")])
-                once = np.unique(fps, return_index=True)[1]
-                once = once[n[once] > 0]
-                if len(once):
-                    content, at, need = bucket_rows([sets[k] for k in once], num, den)
-                    k = len(content)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(content), pa.array(fps[once][at]), pa.array(need.astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], [c.split()[0] for c in ROWS.split(", ")]
-                    )
-                start, held, sets = i + 1, 0, []
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(emit, ROWS)
 
+def _rows(keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """For each row of keyed (row, text) one with content = row, its set's fp and need = -1 - size, and the tokens (content, fp, need) of sets.
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, shingles array) of docs, one row for each set."""
+    A task emits the tokens of a set once (as long as it remembers the set), so that copies meet as few rows.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, told = [c.split()[0] for c in ROWS.split(", ")], set()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                sets = {fingerprint(s): s for s in (shingles(t, width) for t in texts[i : i + 256]) if len(s)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    return docs.select("text").mapInArrow(emit, "fp long, shingles array<long>").dropDuplicates(["fp"])
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with both whole sets (sa, sb) and whether these link."""
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.withColumn("linked", den * F.col("common") >= num * (F.size("sa") + F.size("sb") - F.col("common")))
+            for start, texts in _slices(b.column(1)):
+                sets = [shingles(t, width) for t in texts]
+                fps = np.array([fingerprint(s) for s in sets], np.int64)
+                n = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(sets)), pa.array(fps), pa.array((-1 - n).astype(np.int32))], names)
+                once = [k for k in np.unique(fps, return_index=True)[1].tolist() if n[k] and fps[k] not in told]
+                if len(told) > REMEMBERED:
+                    told = set()
+                told.update(fps[once].tolist())
+                if once:
+                    content, at, need = bucket_rows([sets[k] for k in once], num, den)
+                    yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(fps[once][at]), pa.array(need.astype(np.int32))], names)
+
+    return keyed.select("row", "text").mapInArrow(emit, ROWS)
+
+
+def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """pairs (a, b) with linked, the size of a, and what either set has alone (differ); the whole texts of both are compared.
+
+    A text goes to its partner's place once for a pair; the texts of b are made one for each b, and rows come in the order
+    of b, whose set is kept while it lasts.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, np.empty(0, np.uint64)
+        for batch in batches:
+            for start, texts in _slices(batch.column(2)):
+                linked, sizes, differ = [], [], []
+                for i, t in enumerate(texts, start):
+                    if (b := batch.column(1)[i].as_py()) != last:
+                        last, other = b, shingles(batch.column(3)[i].as_py(), width)
+                    mine = shingles(t, width)
+                    apart = np.setxor1d(mine, other, assume_unique=True)
+                    common = (len(mine) + len(other) - len(apart)) // 2
+                    linked.append(den * common >= num * (len(mine) + len(other) - common))
+                    sizes.append(len(mine))
+                    differ.append(apart.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(linked), pa.array(sizes, pa.int32()), pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "differ"]
+                )
+
+    at = pairs.join(carriers.withColumnRenamed("fp", "a"), "a")
+    of = pairs.select("b").distinct().join(carriers.withColumnRenamed("fp", "b"), "b")
+    at, of = materialise(at, "jaccard-left"), materialise(of, "jaccard-right")
+    left = keyed.select("row", "text").join(small(at, at.count()), "row").select("a", "b", F.col("text").alias("ta"))
+    right = keyed.select("row", "text").join(small(of, of.count()), "row").groupBy("b").agg(F.first("text").alias("tb"))
+    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long, linked boolean, size int, differ array<long>")
 
 
 def _pruned(rows: DataFrame, label: str) -> DataFrame:
@@ -188,62 +208,81 @@ def _pruned(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(enough, "fp")
 
 
-def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); num / den: the least similarity."""
-    rows = _rows(docs, width, num, den)
-    same = Window.partitionBy("content")
-    met = rows.withColumn("least_fp", F.min("fp").over(same)).withColumn("last_fp", F.max("fp").over(same))
-    met = materialise(met.where("n is not null or least_fp < last_fp").drop("least_fp", "last_fp"), "jaccard-rows")
-    forget(docs.sparkSession)
-    members = met.where("n is not null").select("doc_id", "fp", "n")
-    shared = met.where("n is null").select("content", "fp", "need").distinct().withColumn("label", F.col("fp"))
-    shared = materialise(_pruned(shared, "label").select("content", "fp", "need"), "jaccard-shared")
-
-    # the set whose contents are the most common stands in the middle of its copies: it leads
-    fame = shared.join(shared.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
-    leaders = shared.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"), F.col("top.fame").alias("fame"))
-    stars = shared.join(leaders, "content").where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least"), F.first("fame").alias("fame"))
-    stars = materialise(stars.groupBy("fp").agg(F.max_by("leader", F.struct(F.col("k") >= F.col("least"), "fame", -F.col("leader"))).alias("leader")), "jaccard-stars")
-    # whole sets of what may link: one document for each set
-    wanted = shared.select("fp").distinct()
-    carriers = materialise(members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-carriers")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(carriers.select("doc_id").distinct(), carriers.count()), "doc_id", "left_semi")
-    sets = materialise(_sets(held, width), "jaccard-sets")
-    forget(docs.sparkSession)
-    judged = _compared(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), sets, num, den)
-    judged = materialise(judged.select(F.col("a").alias("fp"), F.col("b").alias("leader"), "linked", F.size("sa").alias("size"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("differ")), "jaccard-judged")
-    forget(docs.sparkSession)
-    edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
-    groups = materialise(components(edges).select(F.col("node").alias("fp"), F.col("component").alias("label")), "jaccard-groups")
-
-    # sets under one leader: what they differ in from it decides
-    led = judged.select("fp", "leader", "linked", "size", F.size("differ").alias("n"), F.explode("differ").alias("e")).join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    often = led.groupBy("leader", "e").agg(F.count("*").alias("sets")).where("sets > 1")
-    met = led.join(often, ["leader", "e"], "left").withColumn("place", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("sets", F.lit(1)), "e")))
-    met = materialise(met.where("sets is not null").drop("sets"), "jaccard-differ")
+def _beside(judged: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets under one leader that may link though one of them doesn't link with the leader."""
+    open_ = judged.where("not linked").select("leader").distinct()
+    led = judged.join(open_, "leader").select("leader", "fp", "linked", "size", F.size("differ").alias("n"), F.explode("differ").alias("e"))
+    often = led.groupBy("leader", "e").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("free")).where("sets > 1 and free > 0")
+    met = led.join(often.drop("free"), ["leader", "e"])
+    # elements that no other set has, or none that is free, come first in the order of rarity; only the others can be met in
+    kept = met.groupBy("fp").agg(F.count("*").alias("kept"))
+    met = met.join(kept, "fp").withColumn("place", F.col("n") - F.col("kept") + F.row_number().over(Window.partitionBy("fp").orderBy("sets", "e")))
+    met = materialise(met.join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp")).drop("sets", "kept"), "jaccard-differ")
     rare = met.where(F.col("place") <= F.col("n") - F.floor(F.col("n") * num / (num + den))).select("leader", "e", *[F.col(c).alias(f"other_{c}") for c in ("fp", "label", "n", "place", "size")])
     outside = met.where("not linked").select("leader", "e", "fp", "label", "n", "place", "size")
     # from their first common element on, two sets can't share more than what is left of either
     may = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
     must = F.col("n") + F.col("other_n") - F.floor((F.col("size") + F.col("other_size")) * (den - num) / (den + num))
     on = (outside["leader"] == rare["leader"]) & (outside["e"] == rare["e"]) & (F.col("label") != F.col("other_label")) & (2 * may >= must)
-    close = outside.join(rare, on).select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"))
+    return outside.join(rare, on).select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    return components(edges).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+
+
+def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); num / den: the least similarity."""
+    ident = F.col("doc_id").cast("long")
+    keyed = docs.select(ident.alias("doc_id"), "text", F.xxhash64(ident, "text").alias("row"))
+    # one exchange by content serves both sides of this join, since both read all three columns
+    rows = _rows(keyed, width, num, den).repartition("content")
+    alive = rows.groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("need").alias("most")).where("most > 0 and lo < hi")
+    met = rows.join(alive.select("content", F.lit(True).alias("alive")), "content", "left").where("need < 0 or alive")
+    met = materialise(met.select("content", "fp", "need").distinct(), "jaccard-rows")
+    members = met.where("need < 0").groupBy(F.col("content").alias("row")).agg(F.min(F.struct("fp", (-1 - F.col("need")).alias("n"))).alias("m")).select("row", "m.fp", F.col("m.n").cast("long").alias("n"))
+    members = materialise(members, "jaccard-members")
+    tokens = materialise(_pruned(met.where("need > 0").withColumn("label", F.col("fp")), "label").select("content", "fp", "need"), "jaccard-tokens")
+    discard(met)
+    carriers = materialise(members.join(tokens.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row")), "jaccard-carriers")
+
+    # groups: the set whose tokens are the most common stands in the middle of its copies and leads the tokens that it has
+    fame = tokens.join(tokens.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
+    matrix = tokens.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"), F.col("top.fame").alias("fame"))
+    overlap = tokens.join(matrix, "content").where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least"), F.first("fame").alias("fame"))
+    stars = materialise(overlap.groupBy("fp").agg(F.max_by("leader", F.struct(F.col("k") >= F.col("least"), "fame", -F.col("leader"))).alias("leader")), "jaccard-stars")
+    judged = _judged(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), carriers, keyed, width, num, den)
+    judged = materialise(judged.withColumnsRenamed({"a": "fp", "b": "leader"}), "jaccard-judged")
+    edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
+    groups = _labels(edges)
+    close = _beside(judged, groups, num, den)
 
-    # sets under different leaders: the token-group matrix
-    named = shared.join(groups, "fp", "left").join(stars, "fp", "left").select("content", "fp", "need", F.coalesce("label", "fp").alias("label"), F.coalesce("leader", "fp").alias("leader"))
+    # groups that a set doesn't belong to: opened where its tokens meet enough of the group's token union
+    named = tokens.join(groups, "fp", "left").join(stars, "fp", "left").select("content", "fp", "need", F.coalesce("label", "fp").alias("label"), F.coalesce("leader", "fp").alias("leader"))
     left = materialise(_pruned(_pruned(named, "label"), "label"), "jaccard-left")
-    matrix = left.select(F.col("content").alias("token"), F.col("label").alias("group"), F.col("leader").alias("group_leader")).distinct()
+    union = left.select(F.col("content").alias("token"), F.col("label").alias("group"), F.col("leader").alias("group_leader")).distinct()
     on = (F.col("content") == F.col("token")) & (F.col("label") > F.col("group")) & (F.col("leader") != F.col("group_leader"))
-    queries = left.join(matrix, on).groupBy("fp", "group", "group_leader").agg(F.count("*").alias("k"), F.min("need").alias("least"))
-    open_ = queries.where("k >= least").select("fp", "group", "group_leader")
+    bound = left.join(union, on).groupBy("fp", "group", "group_leader").agg(F.count("*").alias("k"), F.min("need").alias("least"))
+    open_ = materialise(bound.where("k >= least").select("fp", "group", "group_leader"), "jaccard-open")
+    # a set that links with the leader needs no other member of the leader's component
+    first = open_.select(F.col("fp").alias("a"), F.col("group_leader").alias("b")).where("a <> b").distinct()
+    first = materialise(_judged(first, carriers, keyed, width, num, den).where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-first")
+    edges = materialise(edges.unionByName(first).distinct(), "jaccard-edges")
+    groups = _labels(edges)
+    open_ = open_.join(groups, "fp", "left").withColumn("mine", F.coalesce("label", "fp")).drop("label")
+    open_ = open_.join(groups.withColumnRenamed("fp", "group"), "group", "left").where(F.col("mine") != F.coalesce("label", "group")).select("fp", "group", "group_leader")
     inside = left.select("content", F.col("fp").alias("member"), F.col("label").alias("group"), F.col("leader").alias("group_leader"))
     pairs = left.select("content", "fp", "need").join(open_, "fp").join(inside, ["content", "group", "group_leader"])
     pairs = pairs.groupBy("fp", "member").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
-    pairs = materialise(pairs.select(F.least("fp", "member").alias("a"), F.greatest("fp", "member").alias("b")).unionByName(close).distinct(), "jaccard-pairs")
-    more = materialise(_compared(pairs, sets, num, den).where("linked").select("a", "b"), "jaccard-links")
+    pairs = pairs.select(F.least("fp", "member").alias("a"), F.greatest("fp", "member").alias("b")).unionByName(close).distinct()
+    pairs = materialise(pairs.join(groups.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a", "left").join(groups.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b", "left")
+                        .where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"), "jaccard-pairs")
+    more = materialise(_judged(pairs, carriers, keyed, width, num, den).where("linked").select("a", "b"), "jaccard-links")
 
     final = components(edges.unionByName(more).distinct())
-    at = members.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("component"))
+    discard(tokens, left, judged, pairs, more, edges, first)
+    of = members.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("row", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("component"))
+    at = keyed.select("doc_id", "row").join(of, "row")
     least = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return at.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

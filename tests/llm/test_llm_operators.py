@@ -233,7 +233,7 @@ def brute(texts, width, num, den):
 
 @pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
 def test_jaccard_join_is_exact(spark, width, num):
-    r, texts = random.Random(num), list(EDGE[:-1])
+    r, texts = random.Random(num), list(EDGE)
     for k in range(12):
         base = words(r.randint(5, 160), k)
         for _ in range(12):
@@ -246,6 +246,20 @@ def test_jaccard_join_is_exact(spark, width, num):
     assert got == brute(texts, width, num, 100)
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    base = words(100, 1)
+    one, two, bridge = list(base), list(base), list(base)
+    one[10] = two[90] = "changed"
+    texts = [" ".join(one), " ".join(two), " ".join(bridge)]
+    expected = brute(texts, 3, 90, 100)
+    assert brute(texts[:2], 3, 90, 100) == {0: (98, 0), 1: (98, 1)} and expected[1] == (98, 0)
+    rows = [(1, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, "alone in the world"), (3, None), (None, None), (4, texts[0].upper()), (4, "x y z")]
+    d = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in rows], "doc_id long, text string, fp int, row int, content int")
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in op8.link(d, 3, 90, 100).collect()), key=repr)
+    assert got == sorted([(1, 98, 1), (2, 98, 1), (None, 98, 1), (None, 98, 1), (None, 2, None), (3, 0, 3), (None, 0, None), (4, 98, 1), (4, 1, 4)], key=repr)
+    assert op8.link(d.limit(0), 3, 90, 100).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(50, i) for i in range(51, 60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
