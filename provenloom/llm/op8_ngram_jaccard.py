@@ -5,17 +5,17 @@ size deal their shingles over B buckets by hash. Two linked sets differ in at mo
 buckets at least E + 1 buckets hold the very same shingles in both: a bucket's content is the *token* of this join.
 
 1. One pass over the texts emits a row for each (token, set). Tokens met in one set only go.
-2. Groups: the sets with the most common tokens lead; a token belongs to the group of the most central set that has it,
-   and a set's overlap with a group's tokens is counted by one join. It is put into the group of the most central leader
-   that it meets in E + 1 tokens or more (any, if there is none) and compared with the leader. Those that link are the first
-   components: no pair within one is looked at again.
-3. Token-group matrix: a component's token union is the distinct (token, group) rows. The overlap of a set with the
+2. Groups: the set whose tokens are the most common leads the tokens that it has; a set follows the most central leader
+   of its tokens, that leader its own, and groups whose token unions overlap in E + 1 tokens become one, so that a family
+   comes under one leader. A set is compared with the leader; those that link are the first components, within which no
+   pair is looked at again.
+3. Token-group matrix: a group's token union is the distinct (token, component, leader) rows. The overlap of a set with the
    union bounds its overlap with every member; groups of fewer than E + 1 common tokens stay closed. A qualifying group is
-   opened at its leader first, and only for sets that don't link there its members that agree in E + 1 tokens are compared.
-4. Sets under one leader that don't link with it: what a set differs in from the leader is a small set D. Such an x and y can
-   only link if they share more than |D(y)| * num / (num + den) elements of D(x) and D(y) (the symmetric difference
-   is a metric). So y is looked up by its rarest elements up to that count, where what follows their first common element
-   suffices; copies that were changed each in its own way never meet, however many they are.
+   opened: members that agree with the set in E + 1 tokens, and are of another component, are compared with it.
+4. Sets of one group that don't link with its leader: by the triangle, two sets x and y that link share at least half
+   of |D(x)| + |D(y)| - apart, where D is what a set differs in from the leader and apart what linked sets may
+   differ in. So x is looked up by its first apart + 1 elements and the one of the smaller D by half as many; what
+   the leader has comes last in that order, and copies that were changed each in its own way never meet, however many.
 
 All links between different sets are found (the bound is exact, no cap is set), and copies are never paired: equal sets
 are one set, with the rows as its membership. Passages that many documents share don't bring them together, since
@@ -130,6 +130,8 @@ def bucket_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
 
 ROWS = "content long, fp long, need int"
 REMEMBERED = 200_000
+SAMPLE = 512
+MET_AT_ONCE = 1_000
 
 
 def _slices(texts: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
@@ -167,37 +169,66 @@ def _rows(keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return keyed.select("row", "text").mapInArrow(emit, ROWS)
 
 
-def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with linked, the size of a, and what either set has alone (differ); the whole texts of both are compared.
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in an ascending array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
-    A text goes to its partner's place once for a pair; the texts of b are made one for each b, and rows come in the order
-    of b, whose set is kept while it lasts.
+
+def most_apart(size: int, num: int, den: int) -> int:
+    """How many shingles a set of this size and one that links with it differ in at most."""
+    return (size + size * den // num) * (den - num) // (den + num)
+
+
+def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int, num: int, den: int, common: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) with linked, the size of a, in how many shingles (n) the two differ, and the rarest of these.
+
+    The whole texts of both are compared. A text goes to its partner's place once for a pair; the texts of b are made one
+    for each b, and rows come in the order of b, whose set is kept while it lasts. With ``common`` (b, usual), ``rarest`` holds the
+    first elements of the difference, as many as another set that links with a may lack: those that b lacks, without the
+    usual ones, then the usual ones, then those that a lacks. Without it, rarest is null.
     """
+    ordered = common is not None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, other = None, np.empty(0, np.uint64)
+        last, other, usual = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
             for start, texts in _slices(batch.column(2)):
-                linked, sizes, differ = [], [], []
+                linked, sizes, n, rarest = [], [], [], []
                 for i, t in enumerate(texts, start):
                     if (b := batch.column(1)[i].as_py()) != last:
                         last, other = b, shingles(batch.column(3)[i].as_py(), width)
+                        usual = np.sort(np.array(batch.column(4)[i].as_py() or [], np.int64).view(np.uint64)) if ordered else usual
                     mine = shingles(t, width)
-                    apart = np.setxor1d(mine, other, assume_unique=True)
-                    common = (len(mine) + len(other) - len(apart)) // 2
-                    linked.append(den * common >= num * (len(mine) + len(other) - common))
+                    own = mine[~_among(mine, other)]
+                    both = len(mine) - len(own)
+                    linked.append(den * both >= num * (len(mine) + len(other) - both))
                     sizes.append(len(mine))
-                    differ.append(apart.view(np.int64))
+                    n.append(len(own) + len(other) - both)
+                    if ordered:
+                        known = _among(own, usual)
+                        need = most_apart(len(mine), num, den) + 1
+                        first = np.concatenate([own[~known], own[known]])
+                        if len(first) < need:
+                            first = np.concatenate([first, other[~_among(other, mine)]])
+                        rarest.append(first[:need].view(np.int64))
+                    else:
+                        rarest.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(linked), pa.array(sizes, pa.int32()), pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "differ"]
+                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(linked), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))],
+                    ["a", "b", "linked", "size", "n", "rarest"],
                 )
 
-    at = pairs.join(carriers.withColumnRenamed("fp", "a"), "a")
-    of = pairs.select("b").distinct().join(carriers.withColumnRenamed("fp", "b"), "b")
+    # a set that is compared with very many meets them in several places
+    split = pairs.groupBy("b").agg(F.ceil(F.count("*") / MET_AT_ONCE).cast("int").alias("parts"))
+    at = pairs.join(split, "b").join(carriers.withColumnRenamed("fp", "a"), "a").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "row")
+    of = split.join(carriers.withColumnRenamed("fp", "b"), "b").select("b", "row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     at, of = materialise(at, "jaccard-left"), materialise(of, "jaccard-right")
-    left = keyed.select("row", "text").join(small(at, at.count()), "row").select("a", "b", F.col("text").alias("ta"))
-    right = keyed.select("row", "text").join(small(of, of.count()), "row").groupBy("b").agg(F.first("text").alias("tb"))
-    return left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long, linked boolean, size int, differ array<long>")
+    left = keyed.select("row", "text").join(small(at, at.count()), "row").select("a", "b", "part", F.col("text").alias("ta"))
+    right = keyed.select("row", "text").join(small(of, of.count()), "row").groupBy("b", "part").agg(F.first("text").alias("tb"))
+    right = right.join(common, "b", "left") if ordered else right.withColumn("usual", F.lit(None).cast("array<long>"))
+    return left.join(right, ["b", "part"]).select("a", "b", "ta", "tb", "usual").mapInArrow(judge, "a long, b long, linked boolean, size int, n int, rarest array<long>")
 
 
 def _pruned(rows: DataFrame, label: str) -> DataFrame:
@@ -208,23 +239,56 @@ def _pruned(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(enough, "fp")
 
 
-def _beside(judged: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+def _families(tokens: DataFrame, stars: DataFrame) -> DataFrame:
+    """(fp, leader) with one leader for the sets whose groups' token unions overlap enough that members may link."""
+    while True:  # from leader to leader's leader, which is more central
+        up = stars.select(F.col("fp").alias("leader"), F.col("leader").alias("higher"))
+        stars, before = materialise(stars.join(up, "leader", "left").select("fp", F.coalesce("higher", "leader").alias("leader"), F.col("higher").isNotNull().alias("moved")), "jaccard-stars"), stars
+        discard(before)
+        if stars.where("moved").isEmpty():
+            break
+    stars = stars.drop("moved")
+    while True:
+        union = tokens.join(stars, "fp", "left").groupBy("content", F.coalesce("leader", "fp").alias("group")).agg(F.min("need").alias("need"))
+        first = union.groupBy("content").agg(F.min("group").alias("first"), F.max("group").alias("last")).where("first < last").select("content", "first")
+        near = union.join(first, "content").where(F.col("group") != F.col("first")).groupBy("group", "first").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
+        to = components(near.select(F.col("first").alias("a"), F.col("group").alias("b")))
+        if to.isEmpty():
+            return stars
+        one = tokens.select("fp").distinct().join(stars, "fp", "left").withColumn("group", F.coalesce("leader", "fp"))
+        one = one.join(to.withColumnsRenamed({"node": "group"}), "group", "left").select("fp", F.coalesce("component", "group").alias("leader"))
+        stars = materialise(one.where("fp <> leader"), "jaccard-stars")
+
+
+def _usual(stars: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(b, usual): shingles that the leader b of a large group lacks and several of up to SAMPLE or so of its sets have.
+
+    They only order what sets differ in, so that the sample decides nothing but speed.
+    """
+    sizes = stars.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > SAMPLE // 4)
+    some = stars.join(sizes, "leader").where(F.pmod(F.xxhash64("fp"), F.greatest(F.lit(4), F.ceil(F.col("m") / SAMPLE))) == 0).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
+    none = keyed.sparkSession.createDataFrame([], "b long, usual array<long>")
+    seen = _judged(some, carriers, keyed, width, num, den, none).select("b", F.explode("rarest").alias("e"))
+    seen = seen.groupBy("b", "e").agg(F.count("*").alias("c")).where("c > 2")
+    return materialise(seen.groupBy("b").agg(F.array_sort(F.collect_list("e")).alias("usual")), "jaccard-usual")
+
+
+def _beside(judged: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of sets under one leader that may link though one of them doesn't link with the leader."""
-    open_ = judged.where("not linked").select("leader").distinct()
-    led = judged.join(open_, "leader").select("leader", "fp", "linked", "size", F.size("differ").alias("n"), F.explode("differ").alias("e"))
-    often = led.groupBy("leader", "e").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("free")).where("sets > 1 and free > 0")
-    met = led.join(often.drop("free"), ["leader", "e"])
-    # elements that no other set has, or none that is free, come first in the order of rarity; only the others can be met in
-    kept = met.groupBy("fp").agg(F.count("*").alias("kept"))
-    met = met.join(kept, "fp").withColumn("place", F.col("n") - F.col("kept") + F.row_number().over(Window.partitionBy("fp").orderBy("sets", "e")))
-    met = materialise(met.join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp")).drop("sets", "kept"), "jaccard-differ")
-    rare = met.where(F.col("place") <= F.col("n") - F.floor(F.col("n") * num / (num + den))).select("leader", "e", *[F.col(c).alias(f"other_{c}") for c in ("fp", "label", "n", "place", "size")])
-    outside = met.where("not linked").select("leader", "e", "fp", "label", "n", "place", "size")
-    # from their first common element on, two sets can't share more than what is left of either
+    mixed_ = judged.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free")).where("m > 1 and free > 0").select("leader")
+    led = judged.join(mixed_, "leader").select("leader", "fp", "linked", "size", "n", F.posexplode("rarest").alias("at", "e"))
+    led = led.select(F.xxhash64("leader", "e").alias("key"), "fp", "linked", "size", "n", (F.col("at") + 1).alias("place"))
+    often = led.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max((~F.col("linked")).cast("int")).alias("free")).where("lo < hi and free = 1").select("key")
+    often = materialise(often, "jaccard-often")
+    met = materialise(led.join(small(often, often.count()), "key"), "jaccard-met")
+    apart = lambda size: F.floor(size * (den - num) / (den + num))
+    half = F.floor(apart(F.col("size") + F.floor(F.col("size") * den / num)) / 2) + 1
+    less = met.where(F.col("place") <= half).select("key", *[F.col(c).alias(f"other_{c}") for c in ("fp", "linked", "n", "place", "size")])
+    # the two share half of what they differ in from the leader beyond what they may differ in; all of it lies behind the first
     may = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
-    must = F.col("n") + F.col("other_n") - F.floor((F.col("size") + F.col("other_size")) * (den - num) / (den + num))
-    on = (outside["leader"] == rare["leader"]) & (outside["e"] == rare["e"]) & (F.col("label") != F.col("other_label")) & (2 * may >= must)
-    return outside.join(rare, on).select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"))
+    must = F.col("n") + F.col("other_n") - apart(F.col("size") + F.col("other_size"))
+    on = (met["key"] == less["key"]) & ((F.col("n") > F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("fp") > F.col("other_fp"))) & ~(F.col("linked") & F.col("other_linked")) & (2 * may >= must)
+    return met.join(less, on).select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -249,13 +313,15 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # groups: the set whose tokens are the most common stands in the middle of its copies and leads the tokens that it has
     fame = tokens.join(tokens.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
     matrix = tokens.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"), F.col("top.fame").alias("fame"))
-    overlap = tokens.join(matrix, "content").where("fp <> leader").groupBy("fp", "leader").agg(F.count("*").alias("k"), F.min("need").alias("least"), F.first("fame").alias("fame"))
-    stars = materialise(overlap.groupBy("fp").agg(F.max_by("leader", F.struct(F.col("k") >= F.col("least"), "fame", -F.col("leader"))).alias("leader")), "jaccard-stars")
-    judged = _judged(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), carriers, keyed, width, num, den)
+    overlap = tokens.join(matrix, "content").where("fp <> leader").groupBy("fp").agg(F.max(F.struct("fame", (-F.col("leader")).alias("back"))).alias("top"))
+    stars = materialise(overlap.select("fp", (-F.col("top.back")).alias("leader")), "jaccard-stars")
+    stars = _families(tokens, stars)
+    usual = _usual(stars, carriers, keyed, width, num, den)
+    judged = _judged(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), carriers, keyed, width, num, den, usual)
     judged = materialise(judged.withColumnsRenamed({"a": "fp", "b": "leader"}), "jaccard-judged")
     edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
     groups = _labels(edges)
-    close = _beside(judged, groups, num, den)
+    close = materialise(_beside(judged, num, den), "jaccard-beside")
 
     # groups that a set doesn't belong to: opened where its tokens meet enough of the group's token union
     named = tokens.join(groups, "fp", "left").join(stars, "fp", "left").select("content", "fp", "need", F.coalesce("label", "fp").alias("label"), F.coalesce("leader", "fp").alias("leader"))
@@ -264,13 +330,6 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     on = (F.col("content") == F.col("token")) & (F.col("label") > F.col("group")) & (F.col("leader") != F.col("group_leader"))
     bound = left.join(union, on).groupBy("fp", "group", "group_leader").agg(F.count("*").alias("k"), F.min("need").alias("least"))
     open_ = materialise(bound.where("k >= least").select("fp", "group", "group_leader"), "jaccard-open")
-    # a set that links with the leader needs no other member of the leader's component
-    first = open_.select(F.col("fp").alias("a"), F.col("group_leader").alias("b")).where("a <> b").distinct()
-    first = materialise(_judged(first, carriers, keyed, width, num, den).where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-first")
-    edges = materialise(edges.unionByName(first).distinct(), "jaccard-edges")
-    groups = _labels(edges)
-    open_ = open_.join(groups, "fp", "left").withColumn("mine", F.coalesce("label", "fp")).drop("label")
-    open_ = open_.join(groups.withColumnRenamed("fp", "group"), "group", "left").where(F.col("mine") != F.coalesce("label", "group")).select("fp", "group", "group_leader")
     inside = left.select("content", F.col("fp").alias("member"), F.col("label").alias("group"), F.col("leader").alias("group_leader"))
     pairs = left.select("content", "fp", "need").join(open_, "fp").join(inside, ["content", "group", "group_leader"])
     pairs = pairs.groupBy("fp", "member").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
@@ -280,7 +339,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     more = materialise(_judged(pairs, carriers, keyed, width, num, den).where("linked").select("a", "b"), "jaccard-links")
 
     final = components(edges.unionByName(more).distinct())
-    discard(tokens, left, judged, pairs, more, edges, first)
+    discard(tokens, left, judged, pairs, more, close)
     of = members.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("row", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("component"))
     at = keyed.select("doc_id", "row").join(of, "row")
     least = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
