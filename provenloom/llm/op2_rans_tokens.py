@@ -83,32 +83,38 @@ class WordTokenizer:
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def split(self, word: str) -> tuple[str, ...] | list[str]:
-        """Pieces of a plain word in lower case; the usual letters-then-marks words need no pattern."""
-        head = word.rstrip(MARKS)
-        if head.isalpha():
-            return (head, word[len(head) :]) if len(head) < len(word) else (head,)
-        return self.PIECES.findall(word)
+    def piece(self, x: str) -> bytes:
+        """Ids of a piece in lower case."""
+        found = self.pieces.get(x)
+        if found is None:
+            spelled = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = self.pieces[x] = array("H", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
+        return found
 
     def learn(self, new: list[str]) -> None:
-        plain, odd = [], []
-        for w in new:
-            (plain if w.isascii() and w.isprintable() and "<|" not in w or max(w) < self.PLAIN and "<|" not in w and len(w.split()) == 1 else odd).append(w)
-        found = [self.split(w.lower()) for w in plain]
-        unseen = set().union(*found).difference(self.pieces)
-        if len(self.pieces) + len(unseen) > CACHED_PIECES:
+        """Ids of new words; letters, or letters and then marks, need no pattern to be cut."""
+        if len(self.pieces) > CACHED_PIECES:
             self.pieces = {}
-            unseen = set().union(*found)
-        model = self.library.model.tokenize
-        for x in unseen:
-            self.pieces[x] = array("H", [t.id for t in model(x.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, f))) for w, f in zip(plain, found, strict=True))
-        self.words.update(zip(odd, self.encoded(odd), strict=True))
+        known, piece, words, odd = self.pieces.get, self.piece, self.words, []
+        for w in new:
+            if "<|" in w or not (w.isascii() and w.isprintable() or max(w) < self.PLAIN and len(w.split()) == 1):
+                odd.append(w)
+                continue
+            low = w.lower()
+            head = low.rstrip(MARKS)
+            if not head.isalpha():
+                words[w] = b"".join(map(piece, self.PIECES.findall(low)))
+            elif len(head) == len(low):
+                words[w] = known(head) or piece(head)
+            else:
+                words[w] = (known(head) or piece(head)) + piece(low[len(head) :])
+        words.update(zip(odd, self.encoded(odd), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text closed by the end id, and the texts' lengths in ids."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(spaced, "<|")).as_py():  # else the case of special tokens would be lost
+            spaced = pc.ascii_lower(spaced)
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
         met = coded.dictionary.to_pylist()
@@ -116,22 +122,17 @@ class WordTokenizer:
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words = {w: self.words[w] for w in met if w in self.words} | {"": b""}
         self.learn(new)
-        entries = list(map(self.words.__getitem__, met))
-        size = np.array(list(map(len, entries)), np.int64) // 2
-        flat = np.frombuffer(b"".join(entries) + array("H", [END_ID]).tobytes(), np.uint16)
         # the end id as one more word after each text
+        entries = [*map(self.words.__getitem__, met), array("H", [END_ID]).tobytes()]
+        size = np.array(list(map(len, entries)), np.int32) // 2
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         closes = np.cumsum(counts + 1) - 1
-        at = np.full(int(counts.sum()) + len(counts), len(met), np.int32)
-        inner = np.ones(len(at), bool)
+        inner = np.ones(int(counts.sum()) + len(counts), bool)
         inner[closes] = False
+        at = np.full(len(inner), len(met), np.int32)
         at[inner] = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.append(size, 1)
-        begin = np.cumsum(size) - size
-        n = size[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(ends[closes], prepend=0)
+        ends = np.cumsum(size[at], dtype=np.int64)[closes]
+        return np.frombuffer(b"".join(map(entries.__getitem__, at.tolist())), np.uint16), np.diff(ends, prepend=0)
 
 
 @lru_cache(1)
@@ -240,27 +241,32 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, shard, block, before, size = tokenizer(path), TaskContext.get().partitionId(), 0, 0, 0
+        tok, shard, block, before = tokenizer(path), TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
+        lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, before, size, ids, held
-            lengths = [len(x) for x in held]
-            row = [shard, block, before, len(ids), size, ids, lengths, zlib.crc32(repr((ids, lengths)).encode()), np.concatenate(held).tobytes()]
-            block, before, size, ids, held = block + 1, before + size, 0, [], []
+            nonlocal block, before, ids, lengths, held
+            every, flat = np.concatenate(lengths).tolist(), np.concatenate(held)
+            row = [shard, block, before, len(ids), len(flat), ids, every, zlib.crc32(repr((ids, every)).encode()), flat.tobytes()]
+            block, before, ids, lengths, held = block + 1, before + len(flat), [], [], []
             types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], COLUMNS)
 
         for b in batches:
             keys = b.column(0).to_pylist()
             for start, end in _slices(b.column(1)):
-                flat, lengths = tok(b.column(1).slice(start, end - start))
-                for k, x in zip(keys[start:end], np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
-                    ids.append(k)
-                    held.append(x)
-                    size += len(x)
-                    if size >= BLOCK_TOKENS:
+                flat, sizes = tok(b.column(1).slice(start, end - start))
+                ends, first = np.cumsum(sizes), 0
+                while first < len(sizes):  # whole documents until the block is full
+                    done = int(ends[first - 1]) if first else 0
+                    last = min(len(sizes), int(np.searchsorted(ends, done + BLOCK_TOKENS - sum(map(len, held)))) + 1)
+                    ids += keys[start + first : start + last]
+                    lengths.append(sizes[first:last])
+                    held.append(flat[done : ends[last - 1]])
+                    first = last
+                    if sum(map(len, held)) >= BLOCK_TOKENS:
                         yield flush()
         if ids:
             yield flush()
