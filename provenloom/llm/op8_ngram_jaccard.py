@@ -184,25 +184,33 @@ def most_apart(size: int, num: int, den: int) -> int:
 def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int, num: int, den: int, common: DataFrame | None = None) -> DataFrame:
     """pairs (a, b) with linked, the size of a, in how many shingles (n) the two differ, and the rarest of these.
 
-    The whole texts of both are compared. A text goes to its partner's place once for a pair; the texts of b are made one
-    for each b, and rows come in the order of b, whose set is kept while it lasts. With ``common`` (b, usual), ``rarest`` holds the
-    first elements of the difference, as many as another set that links with a may lack: those that b lacks, without the
-    usual ones, then the usual ones, then those that a lacks. Without it, rarest is null.
+    The whole texts of both are compared: those of a come behind the one of their b, of which a part of its pairs has a copy.
+    With ``common`` (b, usual), ``rarest`` holds the first elements of the difference, as many as another set that links
+    with a may lack: those that b lacks, without the usual ones, then the usual ones, then those that a lacks. Without it,
+    rarest is null.
     """
     ordered = common is not None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, other, usual = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        last, b, other, usual = None, None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
             for start, texts in _slices(batch.column(2)):
-                linked, sizes, n, rarest = [], [], [], []
+                of, at, linked, sizes, n, rarest = [], [], [], [], [], []
                 for i, t in enumerate(texts, start):
-                    if (b := batch.column(1)[i].as_py()) != last:
-                        last, other = b, shingles(batch.column(3)[i].as_py(), width)
-                        usual = np.sort(np.array(batch.column(4)[i].as_py() or [], np.int64).view(np.uint64)) if ordered else usual
-                    mine = shingles(t, width)
+                    a = batch.column(1)[i].as_py()
+                    if a is None:  # the text that the next ones are compared with
+                        if (here := batch.column(0)[i].as_py()) != b:
+                            b, other = here, shingles(t, width)
+                            usual = np.sort(np.array(batch.column(3)[i].as_py() or [], np.int64).view(np.uint64))
+                        last = None
+                        continue
+                    if a == last:  # a repeated row
+                        continue
+                    last, mine = a, shingles(t, width)
                     own = mine[~_among(mine, other)]
                     both = len(mine) - len(own)
+                    of.append(b)
+                    at.append(a)
                     linked.append(den * both >= num * (len(mine) + len(other) - both))
                     sizes.append(len(mine))
                     n.append(len(own) + len(other) - both)
@@ -216,7 +224,7 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
                     else:
                         rarest.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(linked), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))],
+                    [pa.array(at, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))],
                     ["a", "b", "linked", "size", "n", "rarest"],
                 )
 
@@ -225,10 +233,11 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
     at = pairs.join(split, "b").join(carriers.withColumnRenamed("fp", "a"), "a").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "row")
     of = split.join(carriers.withColumnRenamed("fp", "b"), "b").select("b", "row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     at, of = materialise(at, "jaccard-left"), materialise(of, "jaccard-right")
-    left = keyed.select("row", "text").join(small(at, at.count()), "row").select("a", "b", "part", F.col("text").alias("ta"))
-    right = keyed.select("row", "text").join(small(of, of.count()), "row").groupBy("b", "part").agg(F.first("text").alias("tb"))
+    left = keyed.select("row", "text").join(small(at, at.count()), "row").select("b", "part", "a", "text", F.lit(None).cast("array<long>").alias("usual"))
+    right = keyed.select("row", "text").join(small(of, of.count()), "row").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     right = right.join(common, "b", "left") if ordered else right.withColumn("usual", F.lit(None).cast("array<long>"))
-    return left.join(right, ["b", "part"]).select("a", "b", "ta", "tb", "usual").mapInArrow(judge, "a long, b long, linked boolean, size int, n int, rarest array<long>")
+    met = right.unionByName(left).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return met.select("b", "a", "text", "usual").mapInArrow(judge, "a long, b long, linked boolean, size int, n int, rarest array<long>")
 
 
 def _pruned(rows: DataFrame, label: str) -> DataFrame:
@@ -300,7 +309,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     ident = F.col("doc_id").cast("long")
     keyed = docs.select(ident.alias("doc_id"), "text", F.xxhash64(ident, "text").alias("row"))
     # one exchange by content serves both sides of this join, since both read all three columns
-    rows = _rows(keyed, width, num, den).repartition("content")
+    rows = _rows(keyed, width, num, den).where("content is not null").repartition("content")
     alive = rows.groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("need").alias("most")).where("most > 0 and lo < hi")
     met = rows.join(alive.select("content", F.lit(True).alias("alive")), "content", "left").where("need < 0 or alive")
     met = materialise(met.select("content", "fp", "need").distinct(), "jaccard-rows")
