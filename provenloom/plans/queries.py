@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, numbers, text
 from ..functions import vocab as V
-from ..operators import assemble, chunking, extract, merge, rules, verify
+from ..operators import assemble, chunking, extract, merge, records, rules, verify
 from ..sources import documents as sources
 from .render import amount, in_words, notices, spelled, table
 
@@ -44,7 +45,7 @@ LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnes
 @query("SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS amount FROM orders")
 def money_roundtrip(s: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("Цена: "), spelled(amount("o_totalprice"), F.col("o_orderkey") % 3), F.lit(" (прописью) рублей"))
-    return table(s, d, "orders").select("o_orderkey", numbers.first_money(t)["amount"].cast("decimal(18,2)").alias("amount"))
+    return table(s, d, "orders").select("o_orderkey", numbers.first_money(t)[0]["amount"].cast("decimal(18,2)").alias("amount"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2) AS amount, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
@@ -111,9 +112,8 @@ def price_candidates(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '44-ФЗ' WHEN 1 THEN '223-ФЗ' ELSE 'не определено' END AS law, lpad(o_orderkey::VARCHAR, 19, '0') AS number, 'включён' AS vat FROM orders")
 def law_and_number(s: SparkSession, d: str) -> DataFrame:
-    x = notices(s, d).where("page_no = 1")
-    t = F.col("text")
-    return x.select(F.col("doc_id").alias("o_orderkey"), rules.detect_law(t).alias("law"), rules.procurement_number(t).alias("number"), rules.vat_hint(t).alias("vat"))
+    x = extract.offline(notices(s, d))
+    return x.select(F.col("doc_id").alias("o_orderkey"), "law", F.col("procurement_number").alias("number"), "vat")
 
 
 @query("SELECT o_orderkey, 'Учреждение номер ' || o_custkey || ' города' AS customer, 'Срок поставки товара: ' || (o_orderkey % 90 + 1) || ' дней.' AS duration FROM orders")
@@ -165,9 +165,11 @@ def normalize_pages(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", text.normalize_page(F.col("text")).alias("text"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(translate(text, '«»“”„‟‘’‚–—‐‑−ёЁ', '""""""' || '''''''' || '-----еЕ')), '\s+', ' ', 'g')) AS norm FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(replace(translate(text, '«»“”„‟‘’‚–—‐‑−ёЁ', repeat(chr(34), 6) || repeat(chr(39), 3) || '-----еЕ'), chr(173), '')), '\s+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '«Ёлка»—‘x’ ' || text ELSE text END AS text FROM documents)""")
 def normalize_quotes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", text.normalize_quote(F.col("text")).alias("norm"))
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("«Ёлка»—‘x’ "), F.col("text"))).otherwise(F.col("text"))
+    return table(s, d, "documents").select("doc_id", text.normalize_quote(marked).alias("norm"))
 
 
 @query(r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d[\d .,]*\d|\d')) AS m FROM documents), t AS (SELECT doc_id, regexp_replace(m, '\D', '', 'g') AS token FROM f)
@@ -222,19 +224,19 @@ def document_limits(s: SparkSession, d: str) -> DataFrame:
     return sources.limits(lines(s, d), 20, 2000)
 
 
-@query(f"""WITH RECURSIVE {LINES}, b AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i, length(text) + length('[СТРАНИЦА ' || page_no || ']') + 1 AS n FROM l WHERE trim(text) <> '' AND length(text) <= 1000),
+@query(f"""WITH RECURSIVE {LINES}, cut AS (SELECT doc_id, page_no, text, unnest(range(0, greatest(length(text), 1), 1000)) AS off FROM l WHERE trim(text) <> ''),
+  b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, off) AS i, least(length(text) - off, 1000) + length('[СТРАНИЦА ' || page_no || ']') + 1 AS n FROM cut),
   f AS (SELECT doc_id, i, 0 AS chunk, n AS size FROM b WHERE i = 1 UNION ALL
         SELECT b.doc_id, b.i, CASE WHEN f.size + b.n > 1000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size + b.n > 1000 THEN b.n ELSE f.size + b.n END FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1)
   SELECT doc_id, chunk AS chunk_no, (sum(n) + 2 * (count(*) - 1))::BIGINT AS n_chars FROM (SELECT f.doc_id, f.chunk, b.n FROM f JOIN b ON f.doc_id = b.doc_id AND f.i = b.i) GROUP BY ALL""")
 def chunk_pack(s: SparkSession, d: str) -> DataFrame:
-    short = lines(s, d).where(F.length("text") <= 1000)
-    x = chunking.chunks(short, 1000, 0, 1_000_000)
+    x = chunking.chunks(lines(s, d), 1000, 0, 1_000_000)
     return x.select("doc_id", F.col("chunk_no"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query()
 def chunk_pack_whole(s: SparkSession, d: str) -> DataFrame:
-    """All lines: chunk_pack is bound by its SQL to lines of up to 1,000 characters, here longer ones are split."""
+    """chunk_pack with what the chunks hold and the pages that they come from."""
     x = chunking.chunks(lines(s, d), 1000, 0, 1_000_000)
     return x.select("doc_id", "chunk_no", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"), text.pages_label(F.col("pages")).alias("pages"))
 
@@ -249,18 +251,18 @@ def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT conv_id, trim(role) AS role, turn FROM conversations WHERE trim(role) <> ''), c AS (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM v GROUP BY ALL)
-  SELECT conv_id, arg_max(role, (n, length(role), -f)) AS role, max(n)::BIGINT AS votes FROM c GROUP BY conv_id""")
+  SELECT conv_id, arg_min(role, (-n, -length(role), f, role)) AS role, max(n)::BIGINT AS votes FROM c GROUP BY conv_id""")
 def vote_text(s: SparkSession, d: str) -> DataFrame:
     return merge.vote_text(table(s, d, "conversations"), ["conv_id"], "role", "turn")
 
 
-@query("SELECT conv_id, arg_max(text, (length(text), -turn)) AS text FROM conversations WHERE regexp_matches(text, '\\S') GROUP BY conv_id")
+@query("SELECT conv_id, arg_min(text, (-length(text), turn, text)) AS text FROM conversations WHERE regexp_matches(text, '\\S') GROUP BY conv_id")
 def first_longest(s: SparkSession, d: str) -> DataFrame:
     return merge.first_longest(table(s, d, "conversations"), ["conv_id"], "text", "turn")
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_quantity::DECIMAL(18,2) AS v, count(*) AS n, min(round(l_extendedprice * 100)::BIGINT) AS f FROM lineitem GROUP BY ALL)
-  SELECT l_orderkey, arg_max(v, (n, -f)) AS amount, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
+  SELECT l_orderkey, arg_min(v, (-n, f, v)) AS amount, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
 def merge_money(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "lineitem").select("l_orderkey", amount("l_quantity").alias("amount"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("ord"))
     x = merge.merge_values(x, ["l_orderkey"], "amount", "ord")
@@ -268,7 +270,7 @@ def merge_money(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_shipdate::DATE AS v, count(*) AS n, min(l_partkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
-  SELECT l_orderkey, arg_max(v, (n, -f)) AS value, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
+  SELECT l_orderkey, arg_min(v, (-n, f, v)) AS value, count(*)::BIGINT AS n_distinct, string_agg(v::VARCHAR, '; ' ORDER BY v) AS listed FROM c GROUP BY l_orderkey""")
 def merge_dates(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("value"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
     x = merge.merge_values(x, ["l_orderkey"], "value", "ord")
@@ -291,11 +293,13 @@ def fuzzy_dedupe(s: SparkSession, d: str) -> DataFrame:
     return merge.fuzzy_dedupe(table(s, d, "conversations"), ["conv_id"], "text", ["turn"]).select("conv_id", "kept_no", "turn")
 
 
-@query("""WITH n AS (SELECT conv_id, turn, lower(text) AS t FROM conversations)
+@query("""WITH n AS (SELECT conv_id, turn, lower(text) AS t FROM conversations UNION ALL SELECT conv_id, turn + 1000, lower(left(text, 60)) FROM conversations)
   SELECT a.conv_id, a.turn AS first_turn, b.turn AS second_turn FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn < b.turn
   AND (a.t = b.t OR (least(length(a.t), length(b.t)) >= 40 AND (starts_with(a.t, b.t) OR starts_with(b.t, a.t))))""")
 def similar_prefix(s: SparkSession, d: str) -> DataFrame:
-    n = table(s, d, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
+    """Turns, and turns cut at 60 characters as chunks cut them, that stand for each other."""
+    c = table(s, d, "conversations")
+    n = c.select("conv_id", "turn", F.lower("text").alias("t")).unionByName(c.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.lower(F.left("text", F.lit(60))).alias("t")))
     n = n.withColumn("head", F.left("t", F.lit(merge.PREFIX)))  # equal in every pair that passes
     a, b = n.alias("a"), n.alias("b")
     on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.turn") < F.col("b.turn")) & merge.same_by_prefix(F.col("a.t"), F.col("b.t"))
@@ -306,9 +310,9 @@ def similar_prefix(s: SparkSession, d: str) -> DataFrame:
 
 
 def passages(s: SparkSession, d: str) -> DataFrame:
-    """Quotes (doc_id, quote_id, quote, page_no): the first sentence of each turn's text claimed one page too far."""
+    """Quotes (doc_id, quote_id, quote, page_no): the whole text of each turn, claimed one page too far."""
     c = table(s, d, "conversations")
-    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("quote_id"), F.substring("text", 1, 60).alias("quote"), (F.col("turn") + 1).cast("int").alias("page_no"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("quote_id"), F.col("text").alias("quote"), (F.col("turn") + 1).cast("int").alias("page_no"))
 
 
 def turns(s: SparkSession, d: str) -> DataFrame:
@@ -316,7 +320,7 @@ def turns(s: SparkSession, d: str) -> DataFrame:
 
 
 NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
-QUOTES = f"q AS (SELECT conv_id AS doc_id, turn AS quote_id, (turn + 1)::INTEGER AS claimed, {NORM.format('substr(text, 1, 60)')} AS needle FROM conversations), p AS (SELECT conv_id AS doc_id, turn::INTEGER AS page_no, {NORM.format('text')} AS norm FROM conversations)"
+QUOTES = f"q AS (SELECT conv_id AS doc_id, turn AS quote_id, (turn + 1)::INTEGER AS claimed, {NORM.format('text')} AS needle FROM conversations), p AS (SELECT conv_id AS doc_id, turn::INTEGER AS page_no, {NORM.format('text')} AS norm FROM conversations)"
 
 
 @query(f"""WITH {QUOTES} SELECT q.doc_id, q.quote_id, arg_min(p.page_no, (p.page_no <> q.claimed, p.page_no)) AS found_page FROM q JOIN p ON q.doc_id = p.doc_id AND contains(p.norm, q.needle)
@@ -400,10 +404,17 @@ def quality_warnings(s: SparkSession, d: str) -> DataFrame:
     return _flags(s, d).select("o_orderkey", F.array_join(codes, ",").alias("warnings"))
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS total, count(*) FILTER (WHERE length(text) < 100)::BIGINT AS unverified, count(*) FILTER (WHERE role = 'user')::BIGINT AS mismatches FROM conversations GROUP BY conv_id")
+@query(f"""WITH t AS (SELECT conv_id, turn, {NORM.format('text')} AS norm FROM conversations),
+  q AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'zz' || reverse(norm) WHEN turn % 3 = 2 THEN norm || ' 987654' ELSE norm END AS needle FROM t WHERE length(norm) >= 100),
+  f AS (SELECT q.conv_id, q.turn, arg_min(t.turn, (t.turn <> q.turn + 1, t.turn)) AS page FROM q JOIN t ON q.conv_id = t.conv_id AND contains(t.norm, q.needle) GROUP BY ALL)
+  SELECT conv_id, count(*)::BIGINT AS total, count(*) FILTER (WHERE page IS NULL)::BIGINT AS unverified, count(*) FILTER (WHERE turn % 3 = 2 AND page IS NULL)::BIGINT AS mismatches,
+  count(*) FILTER (WHERE page <> turn + 1)::BIGINT AS page_corrections FROM q LEFT JOIN f USING (conv_id, turn) GROUP BY conv_id""")
 def evidence_counters(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "conversations").groupBy("conv_id")
-    return x.agg(F.count("*").alias("total"), F.count_if(F.length("text") < 100).alias("unverified"), F.count_if(F.col("role") == "user").alias("mismatches"))
+    """Turns quoted as they are, backwards, and with a number that no page has; all claimed one page too far."""
+    q = passages(s, d).withColumn("quote", text.normalize_quote(F.col("quote"))).where(F.length("quote") >= 100)
+    k = F.col("quote_id") % 3
+    q = q.withColumn("quote", F.when(k == 1, F.concat(F.lit("zz"), F.reverse("quote"))).when(k == 2, F.concat("quote", F.lit(" 987654"))).otherwise(F.col("quote")))
+    return verify.counters(verify.check(q, turns(s, d)), q).withColumnRenamed("doc_id", "conv_id")
 
 
 @query("""SELECT o_orderkey, 'Предмет закупки: заказ ' || o_orderkey || '. Заказчик: клиент ' || o_custkey || '. Закупка проводится по 44-ФЗ. Начальная (максимальная) цена контракта — '
@@ -447,7 +458,8 @@ def replayed_answers(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey, sum(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END)::BIGINT AS input_tokens, sum(CASE WHEN o_custkey % 2 = 0 THEN o_orderkey END)::BIGINT AS output_tokens FROM orders GROUP BY o_custkey")
 def usage_sums(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.sum(F.when(k % 3 == 0, k)).alias("input_tokens"), F.sum(F.when(F.col("o_custkey") % 2 == 0, k)).alias("output_tokens"))
+    calls = table(s, d, "orders").select("o_custkey", F.when(k % 3 == 0, k).alias("input_tokens"), F.when(F.col("o_custkey") % 2 == 0, k).alias("output_tokens"))
+    return extract.usage(calls, ["o_custkey"], "input_tokens", "output_tokens")
 
 
 @query("""WITH d AS (SELECT doc_id, 'v1-offline-rules_1-' || substr(sha256(text), 1, 32) AS key FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT key FROM d WHERE doc_id % 3 = 0 AND doc_id % 2 = 0)
@@ -456,7 +468,8 @@ def store_plan(s: SparkSession, d: str) -> DataFrame:
     docs = sources.keyed(table(s, d, "documents"), F.lit("offline"), F.lit("rules/1"))
     stored = docs.where("doc_id % 3 = 0").select("key", F.when(F.col("doc_id") % 2 == 0, '{"ok":1}').otherwise("{broken").alias("result"))
     hits, misses = sources.plan_work(docs, stored)
-    return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
+    both = hits.select(F.lit(True).alias("hit")).unionByName(misses.select(F.lit(False).alias("hit")))
+    return both.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'offline' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'openai' ELSE 'gemini' END AS provider,
@@ -485,3 +498,84 @@ def offline_records(s: SparkSession, d: str) -> DataFrame:
     conf = assemble.confidence(c("price"), c("confirmed"), no, c("deadline").isNotNull(), c("n_requirements"), c("n_penalties"), F.lit(0), F.lit(0), c("price"), F.size("price_candidates"), F.lit(0), F.lit(0), F.lit(True))
     x = x.withColumn("confidence", conf)
     return x.select(c("doc_id").alias("o_orderkey"), c("price").cast("decimal(18,2)").alias("price"), "confirmed", "confidence", assemble.band(c("confidence")).alias("band"))
+
+
+# --- records
+
+
+def chunk_facts(s: SparkSession, d: str) -> DataFrame:
+    """A chunk (doc_id, chunk_no, facts) for each turn, in the form of a model's answer."""
+    n, role = F.length("text"), F.col("role")
+    proof = lambda q: F.struct((F.col("turn") + 1).cast("int").alias("page"), q.alias("quote"))
+    none = F.struct(F.lit(0).alias("page"), F.lit("").alias("quote"))
+    nothing = F.struct(F.lit("").alias("iso_date"), F.lit("").alias("raw_text"), none.alias("evidence"))
+    money = F.struct((n % 3 * 100).cast("double").alias("amount"), F.lit("rub").alias("currency"), F.lit("включён").alias("vat"), F.when(n % 3 == 0, "по смете").otherwise("").alias("raw_text"), none.alias("evidence"))
+    unset = F.struct(F.lit(0.0).alias("amount"), F.lit("").alias("currency"), F.lit("").alias("vat"), F.lit("").alias("raw_text"), none.alias("evidence"))
+    day = F.struct(F.when(n % 2 == 0, F.concat(F.lit("2026-01-0"), (n % 5 + 1).cast("string"))).otherwise("").alias("iso_date"), F.when(n % 7 == 0, "скоро").otherwise("").alias("raw_text"), none.alias("evidence"))
+    asked = F.array(F.struct(F.col("text").alias("text"), F.lit("опыт").alias("category"), F.lit(True).alias("mandatory"), proof(F.col("text")).alias("evidence")))
+    facts = F.struct(
+        role.alias("subject"), F.concat(F.lit(" "), role, F.lit(" ")).alias("customer"), F.lit("").alias("procurement_number"), F.when(n % 2 == 0, "44-ФЗ").otherwise("не определено").alias("law"), money.alias("price"), unset.alias("contract_security"),
+        day.alias("application_deadline"), nothing.alias("contract_start"), nothing.alias("contract_end"), role.alias("duration_text"), F.array().alias("stages"), asked.alias("requirements"), F.array().alias("penalties"),
+    )
+    return table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_no"), facts.cast(T.StructType.fromDDL(extract.SCHEMA)).alias("facts"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, length(text) % 3 * 100 AS amount, CASE WHEN length(text) % 2 = 0 THEN '2026-01-0' || (length(text) % 5 + 1) END AS iso, length(text) % 2 = 0 AS law, length(text) % 7 = 0 AS raw FROM conversations),
+  r AS (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM c GROUP BY ALL), s AS (SELECT conv_id, arg_min(role, (-n, -length(role), f)) AS subject, arg_min(role, (-length(role), f)) AS duration_text FROM r GROUP BY conv_id),
+  m AS (SELECT conv_id, amount, count(*) AS n, min(turn) AS f FROM c WHERE amount > 0 GROUP BY ALL),
+  p AS (SELECT conv_id, arg_min(amount, (-n, f))::DOUBLE AS price, CASE WHEN count(*) > 1 THEN 'Фрагменты документа называют разные значения на цену контракта: ' || string_agg(amount || '.00', ', ' ORDER BY amount) || '. Выбрано наиболее частое, при равенстве — из более раннего фрагмента.' END AS said FROM m GROUP BY conv_id),
+  i AS (SELECT conv_id, iso, count(*) AS n, min(turn) AS f FROM c WHERE iso IS NOT NULL GROUP BY ALL),
+  e AS (SELECT conv_id, arg_min(iso, (-n, f)) AS deadline, CASE WHEN count(*) > 1 THEN 'Фрагменты документа называют разные значения на даты окончания подачи заявок: ' || string_agg(iso, ', ' ORDER BY iso) || '. Выбрано наиболее частое, при равенстве — из более раннего фрагмента.' END AS said FROM i GROUP BY conv_id),
+  w AS (SELECT conv_id, CASE WHEN bool_or(law) THEN '44-ФЗ' END AS law, bool_or(raw) AS raw FROM c GROUP BY conv_id)
+  SELECT s.conv_id, s.subject, s.duration_text, w.law, coalesce(p.price, 0) AS price, coalesce(e.deadline, CASE WHEN raw THEN '' END) AS deadline, nullif(concat_ws(' | ', p.said, e.said), '') AS conflicts
+  FROM s JOIN w USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN e USING (conv_id)""")
+def merged_chunks(s: SparkSession, d: str) -> DataFrame:
+    x = records.merge_chunks(chunk_facts(s, d))
+    return x.select(
+        F.col("doc_id").alias("conv_id"), "subject", "duration_text", "law", F.coalesce("price.amount", F.lit(0.0)).alias("price"), F.col("application_deadline.iso_date").alias("deadline"),
+        F.nullif(F.array_join("conflicts", " | "), F.lit("")).alias("conflicts"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '44-ФЗ' WHEN 1 THEN '223-ФЗ' ELSE 'не определено' END AS law, o_totalprice::DECIMAL(18,2) AS price, (o_totalprice::DECIMAL(18,2) + 2)::DECIMAL(18,2) AS security, 'включён' AS vat, true AS confirmed,
+  o_orderdate::DATE AS deadline, 1::BIGINT AS requirements, 1::BIGINT AS penalties, 5::BIGINT AS quotes, 0::BIGINT AS unverified, 'исполнитель' AS party, true AS proved, 0.6::DOUBLE AS confidence, '' AS warnings FROM orders""")
+def assembled_records(s: SparkSession, d: str) -> DataFrame:
+    """Notices through all steps: extraction by rules with quotes, reduction, quotes checked against the pages, final record."""
+    n = sources.settled(notices(s, d), "notices")
+    found = sources.settled(extract.offline(n), "findings")
+    facts = sources.settled(records.merge_chunks(extract.offline_struct(n, found).select("doc_id", F.lit(0).alias("chunk_no"), "facts")), "facts")
+    x = records.record(facts, found.withColumn("amounts", F.concat("price_candidates", F.array("security"))), n, True)
+    return x.select(
+        F.col("doc_id").alias("o_orderkey"), "law", F.col("price.amount").cast("decimal(18,2)").alias("price"), F.col("contract_security.amount").cast("decimal(18,2)").alias("security"), F.col("price.vat").alias("vat"),
+        F.col("price.confirmed").alias("confirmed"), F.col("application_deadline.date").alias("deadline"), F.size("requirements").cast("long").alias("requirements"), F.size("penalties").cast("long").alias("penalties"),
+        F.col("total").alias("quotes"), "unverified", F.col("penalties")[0]["value"]["party"].alias("party"), F.col("penalties")[0]["verified"].alias("proved"), "confidence", F.array_join("warnings", ",").alias("warnings"),
+    )
+
+
+@query("""SELECT conv_id, count(*)::BIGINT AS chunks, count(*) FILTER (WHERE turn % 2 = 1)::BIGINT AS answered,
+  coalesce(string_agg('Фрагмент ' || (turn + 1) || ' (страницы ' || turn || ') не разобран: timeout', ' | ' ORDER BY turn) FILTER (WHERE turn % 2 = 0), '') AS warnings,
+  CASE WHEN count(*) FILTER (WHERE turn % 2 = 1) = 0 THEN 'Не удалось разобрать ни один фрагмент документа. timeout' END AS error FROM conversations GROUP BY conv_id""")
+def chunk_failures(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), F.col("turn").cast("string").alias("pages_label"), F.when(F.col("turn") % 2 == 0, "timeout").alias("error"))
+    x = records.failures(c)
+    return x.select(F.col("doc_id").alias("conv_id"), "chunks", "answered", F.array_join("warnings", " | ").alias("warnings"), "error")
+
+
+@query(r"""SELECT conv_id, turn::INTEGER AS page_no, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM conversations""")
+def prompt_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Turns as marked pages of a prompt, and the pages read back from it."""
+    c = table(s, d, "conversations")
+    page = F.concat(F.lit("[СТРАНИЦА "), F.col("turn").cast("string"), F.lit("]\n"), F.col("text"))
+    x = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", page.alias("p")))), lambda t: t["p"]), "\n\n").alias("text"))
+    asked = records.prompt(x.select("doc_id", F.lit(0).alias("chunk_no"), "text", F.lit("1").alias("pages_label"), F.lit(2).alias("n_chunks")), F.lit("notice.pdf"))
+    return records.prompt_pages(asked).select(F.col("doc_id").alias("conv_id"), "page_no", "text")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'b.c: expected number' WHEN 2 THEN 'a: missing,b: missing,d: missing' ELSE 'd.1.e: expected boolean' END AS errors FROM events""")
+def answer_errors(s: SparkSession, d: str) -> DataFrame:
+    """Answers with the right shape, a wrong type, missing fields, and a wrong type in the second item of a list."""
+    k = F.col("event_id") % 4
+    flag = F.when(k == 3, '"x"').otherwise("false")
+    whole = F.concat(F.lit('{"a":"'), F.col("event_id").cast("string"), F.lit('","b":{"c":'), F.when(k == 1, '"1"').otherwise("1.5"), F.lit('},"d":[{"e":true},{"e":'), flag, F.lit("}]}"))
+    schema = T.StructType.fromDDL("a string, b struct<c:double>, d array<struct<e:boolean>>")
+    return table(s, d, "events").select("event_id", F.array_join(extract.validation_errors(F.when(k == 2, F.col("props")).otherwise(whole), schema), ",").alias("errors"))

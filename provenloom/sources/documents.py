@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.text import result_key, strip
@@ -69,5 +73,31 @@ def plan_work(docs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def put(results: DataFrame, path: str) -> None:
-    """Appends results (key, result) by the beginning of their keys; Spark's commit makes each write whole or absent."""
-    results.withColumn("part", F.substring("key", -2, 2)).write.mode("append").partitionBy("part").parquet(path)
+    """Appends results (key, result) whose key isn't stored yet, once each, by the end of their keys.
+
+    Spark's commit makes each write whole or absent, and a repeated write adds nothing. One writer at a time.
+    """
+    spark = results.sparkSession
+    new = results.select("key", "result").dropDuplicates(["key"])
+    try:
+        there = spark.read.schema("key string, result string, part string").parquet(path).where(F.try_parse_json("result").isNotNull())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        new = new.join(there.select("key"), "key", "left_anti")
+    new.withColumn("part", F.substring("key", -2, 2)).write.mode("append").partitionBy("part").parquet(path)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back: what follows reads it instead of working it out again."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="settled-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
