@@ -15,9 +15,9 @@ shingle is log(1 + items / items that hold it), other shingles have the weight o
 A pair keeps its most similar window (the first on ties). Items are few beside documents: their shingles are broadcast
 while they count less than BROADCAST_ROWS, else joined by shuffle; the same holds for what the documents' windows need.
 
-Defined cases: null or wordless texts and items match nothing; texts and items shorter than five words have their
-whole sequence as one shingle; repeated items match each; repeated rows of a document give its pairs once; empty tables
-give no rows; other columns are ignored.
+Defined cases: null or wordless texts and items match nothing; an item shorter than five words is one shingle and is found
+wherever its words follow each other; repeated items match each; repeated rows of a document give its pairs once; rows with a
+null doc_id are judged by their texts and reported under a null doc_id; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +42,15 @@ def words(text: Column) -> Column:
     return F.slice(w, first, F.greatest(F.size(w) - first + 1 - last, F.lit(0)))
 
 
-def shingled(df: DataFrame, *keep: str) -> DataFrame:
+def shingled(df: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
     """keep, n_words and s (array of hashes of shingles by position, null without words) of the rows of df.
 
     The words are bound to a lambda variable, so that no rule of the optimiser repeats the split inside the loop.
     """
 
     def hashes(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(w) - WIDTH, F.lit(0)))
-        return F.struct(F.size(w).alias("n"), F.when(F.size(w) > 0, F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]))).alias("s"))
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0)))
+        return F.struct(F.size(w).alias("n"), F.when(F.size(w) > 0, F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))).alias("s"))
 
     x = df.where("text is not null").select(*keep, F.explode(F.transform(F.array(words(F.col("text"))), hashes)).alias("x"))
     return x.select(*keep, F.col("x.n").alias("n_words"), F.col("x.s").alias("s"))
@@ -78,27 +78,34 @@ def flips() -> list[int]:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, start, similarity) of docs (doc_id, text) that hold items (item_id, text)."""
     items = shingled(benchmark.select("item_id", "text").distinct().withColumn("item", F.xxhash64("item_id", "text")), "item", "item_id")
-    items = materialise(items, "decontam-items")
-    spread = items.select("item", "item_id", "n_words", F.size("s").alias("m"), F.posexplode_outer("s").alias("at", "h")).where("at is not null")
+    items = materialise(items.where("n_words > 0"), "decontam-items")
+    spread = items.select("item", "item_id", "n_words", F.size("s").alias("m"), F.posexplode("s").alias("at", "h"))
     n_items = max(1, items.count())
     weights = spread.groupBy("h").agg(F.log(1 + n_items / F.countDistinct("item")).alias("w"))
     spread = materialise(spread.join(weights, "h"), "decontam-shingles")
     n = spread.count()
+    short = [r[0] for r in items.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect()]  # numbers below WIDTH
     other = F.log(F.lit(1.0 + n_items))
 
-    # 1. windows aligned with an item at a common shingle
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    seen = shingled(keyed, "doc_id", "copy").select("doc_id", "copy", F.posexplode_outer("s").alias("pos", "h")).where("pos is not null")
-    hits = seen.join(small(spread.select("h", "at", "m", F.col("n_words").alias("long")), n), "h")
-    windows = materialise(hits.select("doc_id", "copy", (F.col("pos") - F.col("at")).alias("start"), "m", "long").distinct(), "decontam-windows")
-    found = windows.select("doc_id", "copy").distinct()
-    texts = keyed.join(small(found, windows.count()), ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"])
-    held = shingled(texts, "doc_id", "copy").select("doc_id", "copy", "s").join(windows, ["doc_id", "copy"])
+    # 1. windows aligned with an item at a common shingle; rows are known by the hash of id and text, so that a null id is one
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("copy"), "text")
+    seen = shingled(keyed, "copy").select("copy", F.posexplode_outer("s").alias("pos", "h")).where("pos is not null")
+    aligned = spread.where(F.col("n_words") >= WIDTH).select("h", "at", "m", F.col("n_words").alias("long"))
+    hits = seen.join(small(aligned, n), "h")
+    windows = materialise(hits.select("copy", (F.col("pos") - F.col("at")).alias("start"), "m", "long").distinct(), "decontam-windows")
+    found = windows.select("copy").distinct()
+    texts = keyed.join(small(found, windows.count()), "copy", "left_semi").select("copy", "text").dropDuplicates(["copy"])
+    held = shingled(texts, "copy").select("copy", "s").join(windows, "copy")
     first = F.greatest("start", F.lit(0))
     inside = F.slice("s", first + 1, F.greatest(F.least(F.col("start") + F.col("m"), F.size("s")) - first, F.lit(0)))
-    win = ["doc_id", "copy", "start", "m", "long"]
+    win = ["copy", "start", "m", "long"]
     rows = held.select(*win, F.explode(inside).alias("h"))
     known = spread.select("h", "w").distinct()
+    # items below WIDTH words are one shingle, and so are the windows of their length
+    for k in short:
+        grams = shingled(keyed, "copy", width=k).select("copy", "n_words", F.posexplode_outer("s").alias("start", "h")).where(F.col("start").isNotNull() & (F.col("n_words") >= k))
+        those = spread.where(F.col("n_words") == k).select("h").distinct()
+        rows = rows.unionByName(grams.join(small(those, n), "h", "left_semi").select("copy", "start", F.lit(1).alias("m"), F.lit(k).alias("long"), "h").distinct())
     rows = rows.join(small(known, n), "h", "left").select(*win, "h", F.coalesce("w", other).alias("w"))
     rows = materialise(rows.groupBy(*win, "h").agg(F.first("w").alias("w1"), F.count("*").alias("c")).withColumn("w", F.col("w1") * F.col("c")), "decontam-rows")
 
@@ -119,8 +126,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     mine = inner.select("item", "h", F.col("c").alias("item_c"))
     common = near.join(rows, win).join(small(mine, n), ["item", "h"]).groupBy(*win, "item", "item_id").agg(F.sum(F.col("w1") * F.least("c", "item_c")).alias("common"))
     scored = common.join(sizes, win).join(small(item_sizes, n_items), "item")
-    scored = scored.withColumn("similarity", F.col("common") / (F.col("window_w") + F.col("item_w") - F.col("common"))).where(F.col("similarity") >= least - 1e-9)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.round("similarity", 6).alias("similarity"), (-F.col("start")).alias("back"))).alias("b"))
+    scored = scored.select(*win, "item", "item_id", "common", "window_w", "item_w").withColumn("similarity", F.col("common") / (F.col("window_w") + F.col("item_w") - F.col("common"))).where(F.col("similarity") >= least - 1e-9)
+    scored = materialise(scored, "decontam-scored")
+    n_rows = scored.count()
+    ids = keyed.select("copy", "doc_id").join(small(scored.select("copy").distinct(), n_rows), "copy", "left_semi").distinct()
+    best = scored.join(ids, "copy").groupBy("doc_id", "item_id").agg(F.max(F.struct(F.round("similarity", 6).alias("similarity"), (-F.col("start")).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.similarity").alias("similarity"))
 
 
@@ -131,15 +141,16 @@ def op3_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH dw AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 iw AS (SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, text, unnest(range(greatest(len(w) - 4, 1))) AS pos, w FROM dw WHERE len(w) > 0),
-dh AS (SELECT doc_id, text, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS h FROM ds),
-ish AS (SELECT item_id, text AS item_text, len(w) AS n_words, greatest(len(w) - 4, 1) AS m, unnest(range(greatest(len(w) - 4, 1))) AS apos, w FROM iw WHERE len(w) > 0),
-ih AS (SELECT item_id, item_text, m, apos, array_to_string(w[apos + 1 : apos + 5], ' ') AS h FROM ish),
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+ds AS (SELECT doc_id, text, k, unnest(range(greatest(len(w) - k + 1, 1))) AS pos, w FROM dw, widths WHERE len(w) > 0 AND (k = 5 OR len(w) >= k)),
+dh AS (SELECT doc_id, text, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS h FROM ds),
+ish AS (SELECT item_id, text AS item_text, least(len(w), 5) AS k, greatest(len(w) - 4, 1) AS m, unnest(range(greatest(len(w) - 4, 1))) AS apos, w FROM iw WHERE len(w) > 0),
+ih AS (SELECT item_id, item_text, k, m, apos, array_to_string(w[apos + 1 : apos + k], ' ') AS h FROM ish),
 n AS (SELECT count(*) AS n FROM iw WHERE len(w) > 0),
 wt AS (SELECT h, ln(1 + n / count(DISTINCT (item_id, item_text))) AS w FROM ih, n GROUP BY h, n),
-win AS (SELECT DISTINCT dh.doc_id, dh.text, pos - apos AS start, m, ih.item_id, ih.item_text FROM dh JOIN ih USING (h)),
+win AS (SELECT DISTINCT dh.doc_id, dh.text, pos - apos AS start, m, ih.k, ih.item_id, ih.item_text FROM dh JOIN ih ON dh.h = ih.h AND dh.k = ih.k),
 wc AS (SELECT win.doc_id, win.text, win.start, win.item_id, win.item_text, dh.h, count(*) AS c
-       FROM win JOIN dh ON win.doc_id IS NOT DISTINCT FROM dh.doc_id AND win.text = dh.text AND dh.pos >= win.start AND dh.pos < win.start + win.m
+       FROM win JOIN dh ON win.doc_id IS NOT DISTINCT FROM dh.doc_id AND win.text = dh.text AND win.k = dh.k AND dh.pos >= win.start AND dh.pos < win.start + win.m
        GROUP BY ALL),
 ic AS (SELECT item_id, item_text, h, count(*) AS c FROM ih GROUP BY ALL),
 iz AS (SELECT item_id, item_text, sum(c * w) AS item_w FROM ic JOIN wt USING (h) GROUP BY ALL),

@@ -101,9 +101,26 @@ def test_decontamination_finds_planted_windows(spark):
     bench = spark.createDataFrame([(1, " ".join(item), 0), (2, ", ".join(other), 0), (3, None, 0), (4, "one", 0)], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in op3.leaks(docs(spark, *texts), bench).collect()}
     assert got == {(0, 1): 1.0, (1, 1): 1.0, (4, 2): 1.0, (9, 4): 1.0}
+    loose = spark.createDataFrame([(None, texts[0], 1), (None, "far " + " ".join(other) + " off", 2), (7, "she said one two three", 3), (7, "she said one two three", 3), (8, "one two", 4)], "doc_id long, text string, copy int")
+    few = bench.union(spark.createDataFrame([(5, "one, two three", 0)], bench.schema))
+    rows = sorted(((r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in op3.leaks(loose, few).collect()), key=repr)
+    assert rows == sorted([(None, 1, 50, 1.0), (None, 2, 1, 1.0), (7, 4, 2, 1.0), (7, 5, 2, 1.0), (8, 4, 0, 1.0)], key=repr)
     assert op3.leaks(docs(spark, "x").limit(0), bench).count() == 0 and op3.leaks(docs(spark, "x"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_between_the_threshold_and_one(spark):
+    items = [words(60, 100 + i) for i in range(40)]
+    texts, expected = [], {}
+    for i, item in enumerate(items):
+        near = list(item)
+        near[(7 * i) % 50 + 5] = "changed"
+        texts.append(" ".join(words(20, 900 + i) + near + words(20, 950 + i)))
+        expected[i] = 51 / 61  # all shingles of one item weigh the same; five of 56 are lost and five others come in
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["similarity"]) for r in op3.leaks(docs(spark, *texts), bench).collect()}
+    assert got == {i: (i, round(v, 6)) for i, v in expected.items()}
+
+
 def test_multi_index_meets_all_within_radius():
     masks = set(op3.flips())
     r = random.Random(8)
@@ -320,6 +337,25 @@ def test_mixing_meets_targets(spark):
     assert op10.mix(d.limit(0)).count() == 0
 
 
+def test_mixing_splits_rows_that_are_alike(spark):
+    d = spark.createDataFrame([(1, "w " * 10, "a")] * 100 + [(i, "w w w", s) for i in range(2, 40) for s in ("b", "c")], "doc_id long, text string, source string")
+    got = op10.mix(d).collect()
+    assert len(got) == 176
+    for name in "abc":
+        mine = [x for x in got if x["source"] == name]
+        assert abs(sum(x["size"] * x["copies"] for x in mine) - mine[0]["target"]) <= 5 and all(x["copies"] <= 2 for x in mine)
+
+
+def test_mixing_reaches_targets_from_unequal_priors(spark):
+    d = spark.createDataFrame([(i, "w " * 10, s, 0.5 if i % 2 else 4.0) for i in range(200) for s in ("a", "b")], "doc_id long, text string, source string, q double")
+    got = op10.mix(d, weights=(3.0, 1.0), prior="q").collect()
+    for name in "ab":
+        mine = [x for x in got if x["source"] == name]
+        assert abs(sum(x["size"] * x["copies"] for x in mine) - mine[0]["target"]) <= 10
+        rates = {x["doc_id"] % 2: x["rate"] for x in mine}
+        assert math.isclose(rates[0], min(2.0, 8 * rates[1]), rel_tol=1e-9)
+
+
 def test_word_counts(spark):
     x = spark.createDataFrame([(" a\tb\n\nc ",), ("",), (None,), (" ",)], "t string")
     assert [r[0] for r in x.select(op10.words(F.col("t"))).collect()] == [3, 0, 0, 1]
