@@ -5,7 +5,9 @@ characters, whether it is a heading, and whether an element around it is named o
 furniture, link-heavy blocks and blocks without letters are bad; long blocks with enough stop words are good; the
 others are undecided. Second pass: an undecided block takes the label of the nearest decided blocks before and after it
 (where they differ, of the nearer; on a tie the good one); a heading looks at what follows it first.
-An ``article`` or ``main`` element is a clue as well: where a page has one, blocks outside of it are bad.
+Names of elements and an ``article`` or ``main`` are clues as well: where one holds a third of the page's text or more,
+blocks outside of it are bad and long ones in it good. Names that would throw out all of the running text don't count.
+Where no long block has stop words, the language is taken as unknown, and length and links decide.
 
 Defined cases: null or empty html, and pages without a good block, give an empty text; unclosed and nested tags, comments
 without an end and stray angle brackets are read as browsers do in the main; repeated rows and ids are rows of their own;
@@ -31,7 +33,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template svg math iframe object select option textarea button canvas audio video title".split())
+SKIPPED = frozenset("head script style noscript template svg iframe object select option textarea button canvas audio video title".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 FURNITURE_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset(("article", "main"))
@@ -47,10 +49,14 @@ STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their "
     "de la le les des et en un une du que qui dans est pour par sur au aux avec pas plus ne ce se sont il elle "
     "der die das und den von zu mit sich auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach bei um am sind noch wie einem über "
-    "el los las y del por con no una su para es al lo como más o pero sus ha me si sin sobre".split()
+    "el los las y del por con no una su para es al lo como más o pero sus ha me si sin sobre "
+    "и в не на что с он как это по но из за от для о же к бы так все его она они мы или у до при также был была было были".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Parts of names that speak for text, whatever else the name holds.
+TEXT_NAMES = frozenset("article story entry report content".split())
+# a quote counts only behind an equals sign, as browsers read it
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?+)*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 NAME_PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
@@ -66,36 +72,41 @@ class Block:
     linked: int
     heading: bool
     furniture: bool
+    named: bool
     content: bool
 
 
-def furniture(tag: str, attributes: str) -> bool:
-    """Whether a tag or its names say that the element isn't part of the text."""
+def clues(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a tag or its state, and whether its names, say that the element isn't part of the text.
+
+    A class or id says so if half of its parts do and none speaks for text.
+    """
     if tag in FURNITURE_TAGS:
-        return True
+        return True, False
+    named = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and FURNITURE_NAMES.intersection(x.lower() for x in NAME_PART.findall(CAMEL.sub(" ", value))):
-            return True
-    return False
+        if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for word in value.split():
+                parts = [x.lower() for x in NAME_PART.findall(CAMEL.sub(" ", word))]
+                named = named or bool(parts) and 2 * sum(x in FURNITURE_NAMES for x in parts) >= len(parts) and not TEXT_NAMES.intersection(parts)
+    return False, named
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Open elements are kept as a stack of (tag, furniture, content, link, skipped)."""
+    """The page's blocks in order. Open elements are kept as a stack of (tag, furniture, content, link, skipped, named)."""
     out: list[Block] = []
     text: list[str] = []
     linked, at, heading = 0, 0, False
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
 
     def close() -> None:
         nonlocal linked, heading
         flat = " ".join(entities.unescape("".join(text)).split())
         if flat:
-            out.append(Block(flat, linked, heading, stack[-1][1], stack[-1][2]))
+            out.append(Block(flat, linked, heading, stack[-1][1], stack[-1][5], stack[-1][2]))
         text.clear()
         linked, heading = 0, False
 
@@ -134,10 +145,12 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        _, f, c, a, s = stack[-1]
+        _, f, c, a, s, named = stack[-1]
         inside = c or tag in CONTENT_TAGS
         page_header = tag == "header" and not inside
-        stack.append((tag, f or page_header or furniture(tag, m[3]), inside, a or tag == "a", s or tag in SKIPPED))
+        by_tag, by_name = clues(tag, m[3])
+        # names of wrappers end at an article or main
+        stack.append((tag, f or page_header or by_tag, inside, a or tag == "a", s or tag in SKIPPED, by_name or named and tag not in CONTENT_TAGS))
         heading = heading or tag in HEADINGS
         if tag in RAW and (end := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
             at = end.start()
@@ -146,16 +159,21 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block, has_content: bool) -> bool | None:
-    """True: good, False: bad, None: undecided."""
-    n = len(b.text)
+def stop_share(text: str) -> float | None:
+    """The share of stop words among a text's words, None without words."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else None
+
+
+def first_pass(b: Block, stops: float | None, has_content: bool, known: bool) -> bool | None:
+    """True: good, False: bad, None: undecided. known: whether the page's language is one whose stop words are listed."""
+    n, content = len(b.text), has_content and b.content
     if b.furniture or has_content and not b.content or b.linked > LINKS * n:
         return False
-    if not (words := WORD.findall(b.text.lower())):
-        return None if b.content else False
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    if stops is None:
+        return None if content else False
     if n >= LONG:
-        return True if stops >= STOP_HIGH or b.content else None if stops >= STOP_LOW else False
+        return True if stops >= STOP_HIGH or content or not known else None if stops >= STOP_LOW else False
     return True if n >= SHORT and stops >= STOP_HIGH else None
 
 
@@ -184,8 +202,19 @@ def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    has_content = any(b.content and not b.furniture for b in found)
-    good = second_pass([first_pass(b, has_content) for b in found], [b.heading for b in found])
+    stops = [stop_share(b.text) for b in found]
+    plain = [b.linked <= LINKS * len(b.text) and not b.furniture for b in found]
+    dense = [p and (x or 0) >= STOP_LOW and len(b.text) >= SHORT for b, x, p in zip(found, stops, plain, strict=True)]
+    of = lambda chosen: sum(len(b.text) for b, yes in zip(found, chosen, strict=True) if yes)
+    # names that would throw out all of the running text are names of wrappers
+    named = any(d and not b.named for b, d in zip(found, dense, strict=True))
+    for b in found:
+        b.furniture = b.furniture or named and b.named
+    plain = [p and not b.furniture for b, p in zip(found, plain, strict=True)]
+    # an article or main that holds next to nothing of the page's text is no clue
+    has_content = 3 * of(p and b.content for b, p in zip(found, plain, strict=True)) >= max(1, of(plain))
+    known = any((x or 0) >= STOP_LOW for b, x, p in zip(found, stops, plain, strict=True) if p and len(b.text) >= LONG)
+    good = second_pass([first_pass(b, x, has_content, known) for b, x in zip(found, stops, strict=True)], [b.heading for b in found])
     return "\n\n".join(b.text for b, keep in zip(found, good, strict=True) if keep)
 
 

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 DEGREE, REVERSE = 24, 20
 TREES, SIGNS, BLOCK = 4, 8, 128
 ROUNDS, STILL = 5, 0.01
-BEAM, OPENED, HOPS = 120, 24, 6
+BEAM, OPENED, HOLDERS = 120, 24, 64
 SALTS = 16
 
 
@@ -145,11 +145,11 @@ def round_(graph: DataFrame, packed: DataFrame, dim: int) -> DataFrame:
 
 
 def build(vectors: DataFrame) -> DataFrame:
-    """The neighbour graph (src, dst) of vectors (id, v), DEGREE neighbours each; of equal vectors the least id is in it."""
+    """The neighbour graph (src, dst, score) of vectors (id, v), DEGREE neighbours each; of equal vectors the least id is in it."""
     vectors = materialise(representatives(vectors), "ann-nodes")
     first = vectors.select(F.size("v")).first()
     if first is None:
-        return vectors.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+        return vectors.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).cast("float").alias("score"))
     dim, scale = first[0], vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +160,20 @@ def build(vectors: DataFrame) -> DataFrame:
 
     packed = materialise(vectors.select("id", "v").mapInArrow(pack, "id long, q binary"), "ann-packed")
     graph = materialise(best(start(packed, dim), DEGREE).select("src", "dst", "score"), "ann-graph")
-    size = graph.count()
+    size, kept = graph.count(), graph
     for _ in range(ROUNDS):
         found = round_(graph, packed, dim)
         both = graph.withColumn("old", F.lit(1)).unionByName(found.withColumn("old", F.lit(0)))
         once = both.groupBy("src", "dst").agg(F.max("score").alias("score"), F.max("old").alias("old"))
         ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))).where(F.col("rank") <= DEGREE)
-        ranked = materialise(ranked.select("src", "dst", "score", "old"), "ann-graph")
+        ranked, before = materialise(ranked.select("src", "dst", "score", "old"), "ann-graph"), kept
+        discard(before)
+        kept = ranked
         fresh = ranked.where("old = 0").count()
         graph = ranked.drop("old")
         if fresh <= STILL * size:
             break
-    return graph.select("src", "dst")
+    return graph.select("src", "dst", "score")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -195,7 +197,9 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) ->
 
 def nearest(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query, id, score): up to k nearest nodes of each query (id), a node of the graph; the query itself is one of them."""
-    ways = materialise(graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "ann-ways")
+    # a node that very many hold is left to HOLDERS of them at most, so that no way out of it grows with the table
+    back = graph.withColumn("rank", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("score"), "src"))).where(F.col("rank") <= HOLDERS)
+    ways = materialise(graph.select("src", "dst").unionByName(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "ann-ways")
     asked = queries.join(vectors, "id").select(F.col("id").alias("query"), F.col("v").alias("qv"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
 
@@ -205,16 +209,18 @@ def nearest(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) ->
     first = ways.join(queries.select(F.col("id").alias("src")), "src").select(F.col("src").alias("query"), F.col("dst").alias("id"))
     own = asked.select("query", F.col("query").alias("id"), dot(F.col("qv"), F.col("qv")).alias("score"), F.lit(True).alias("opened"))
     state = materialise(scored(first).withColumn("opened", F.lit(False)).unionByName(own), "ann-beam")
-    for _ in range(HOPS):
+    spent: list[DataFrame] = []
+    while True:
         ranked = state.withColumn("rank", F.row_number().over(order))
         near = ranked.where((F.col("rank") <= BEAM) & ~F.col("opened"))
         turn = near.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= OPENED).select("query", F.col("id").alias("src"))
+        discard(*spent)
         turn = materialise(turn, "ann-turn")
         if turn.isEmpty():
             break
         new = turn.join(ways, "src").select("query", F.col("dst").alias("id")).where("query <> id").distinct().join(state.select("query", "id"), ["query", "id"], "left_anti")
         marked = state.join(turn.select("query", F.col("src").alias("id"), F.lit(True).alias("now")), ["query", "id"], "left").select("query", "id", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        state = materialise(marked.unionByName(scored(new).withColumn("opened", F.lit(False))), "ann-beam")
+        state, spent = materialise(marked.unionByName(scored(new).withColumn("opened", F.lit(False))), "ann-beam"), [state, turn]
     found = state.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query", "id", "score")
 

@@ -155,6 +155,38 @@ def test_main_text():
     assert op5.main_text(None) == "" and op5.main_text("<p>") == "" and op5.main_text("<!-- open") == ""
 
 
+PROSE = "The first of the blocks is in the middle of a page and it is long enough to be of use to all of us, as it was for the others in the house by the sea."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p title=it's>{PROSE}</p><p>{PROSE} Two.</p><p>{PROSE} Three.</p></article>", f"{PROSE}\n\n{PROSE} Two.\n\n{PROSE} Three."),
+        (f"<main>x</main><div><p>{PROSE}</p><p>{PROSE} Two.</p></div>", f"x\n\n{PROSE}\n\n{PROSE} Two."),
+        (f"<article><div class='share-holder-report'><p>{PROSE}</p></div><div class=story-tags-body><p>{PROSE} Two.</p></div></article>", f"{PROSE}\n\n{PROSE} Two."),
+        (f"<div class='layout with-sidebar'><article><p>{PROSE}</p></article><div class=sidebar><p>{PROSE}</p></div></div>", PROSE),
+        ("<div><p>" + "Длинный абзац о том, как дом стоял у реки и что люди говорили о нём, когда шли по дороге. " * 3 + "</p></div>", ("Длинный абзац о том, как дом стоял у реки и что люди говорили о нём, когда шли по дороге. " * 3).strip()),
+        ("<div><p>" + "Uzun bir paragraf evin nehir yanında durduğunu anlatır. " * 4 + "</p></div>", ("Uzun bir paragraf evin nehir yanında durduğunu anlatır. " * 4).strip()),
+        (f"<p>{PROSE} Let <math>x = 2</math> be.</p>", f"{PROSE} Let x = 2 be."),
+        (f"<div><nav><a href=a>{PROSE}</a></nav><p>{PROSE}</p><div id=comments><p>{PROSE} I agree.</p></div></div>", PROSE),
+    ],
+)
+def test_main_text_of_odd_pages(page, text):
+    assert op5.main_text(page) == text
+
+
+def test_pages_keep_rows_and_edge_cases(spark, tmp_path):
+    long = "<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"
+    rows = [(1, "u", long, 1), (1, "u", long, 1), (None, None, None, 2), (3, "u", "", 3)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    for name, x in (("all", d), ("none", d.limit(0))):
+        x.write.parquet(f"{tmp_path}/{name}/pages.parquet")
+    got = sorted(((r["page_id"], r["n_chars"]) for r in op5.op5_html_blocks(spark, f"{tmp_path}/all").collect()), key=repr)
+    n = 5000 * len(PROSE) + 2 * 4999
+    assert got == sorted([(1, n), (1, n), (None, 0), (3, 0)], key=repr)
+    assert op5.op5_html_blocks(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_undecided_blocks_follow_their_neighbours():
     assert op5.second_pass([None, True, None, None, False, None], [False] * 6) == [True, True, True, False, False, False]
     assert op5.second_pass([None], [False]) == [False]
