@@ -2,7 +2,7 @@
 
 For each page and language: log prior of the host + tempered log likelihood of the text + log P(declared markup language |
 language) + log P(address suffix | language). The text model is a naive Bayes model of letter trigrams (hashed to
-2**16 bins), fitted on up to FIT_ROWS labelled documents (those with the least hash of doc_id). What the declaration and
+2**16 bins), fitted on up to FIT_ROWS labelled documents (those with the least hash of id and text; a language has a row at least, so there are no more than that). What the declaration and
 the suffix are worth, and the priors, come from grouped sums over all pages of a first posterior (text alone):
 hosts are smoothed towards their domain and domains towards all pages, each with the weight of KAPPA pages.
 
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import materialise, small, table
 
 FIT_ROWS = 4_000
-MOST_LANGUAGES = 64
 BINS = 1 << 16
 TEMPER = 0.2
 KAPPA = 5.0
@@ -42,7 +41,9 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log P(bin | language), one column for each language."""
-    sample = docs.where("lang is not null and text is not null").select("text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sound = docs.where("lang is not null and text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    chosen = materialise(sound.select("key").orderBy("key").limit(fit_rows), "lang-sample")  # keys alone are ordered; the texts stay where they are
+    sample = sound.select("key", "text", "lang").join(F.broadcast(chosen.distinct()), "key")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -52,7 +53,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
                 yield pd.DataFrame({"lang": lang, "bin": at, "n": n[at]})
 
     sums = sample.mapInPandas(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique(), key=lambda x: (-sums.loc[sums["lang"] == x, "n"].sum(), x))[:MOST_LANGUAGES]
+    langs = sorted(sums["lang"].unique(), key=lambda x: (-sums.loc[sums["lang"] == x, "n"].sum(), x))
     counts = np.full((BINS, len(langs)), 0.1)
     for k, lang in enumerate(langs):
         mine = sums[sums["lang"] == lang]

@@ -16,6 +16,7 @@ buckets at least E + 1 buckets hold the very same shingles in both: a bucket's c
    of |D(x)| + |D(y)| - apart, where D is what a set differs in from the leader and apart what linked sets may
    differ in. So x is looked up by its first apart + 1 elements and the one of the smaller D by half as many; what
    the leader has comes last in that order, and copies that were changed each in its own way never meet, however many.
+   Texts are compared only where the parities of the sets (bits that can't differ in more places than the sets do) allow it.
 
 All links between different sets are found (the bound is exact, no cap is set), and copies are never paired: equal sets
 are one set, with the rows as its membership. Passages that many documents share don't bring them together, since
@@ -35,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, materialise, small, table
@@ -176,6 +177,22 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bits, about as many as the set has shingles: whether an odd number of them falls on each. Two sets' bits differ in no more places than the sets."""
+    n = max(64, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((mixed(s + np.uint64(3)) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(a: Column, b: Column, size_a: Column, size_b: Column, num: int, den: int) -> Column:
+    """Whether two sets can still link by their sizes and parities; of unequal numbers of bits the longer are folded."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(x)
+    apart = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    sizes = den * F.least(size_a, size_b) >= num * F.greatest(size_a, size_b)
+    return sizes & (apart <= F.floor((size_a + size_b) * (den - num) / (den + num)))
+
+
 def most_apart(size: int, num: int, den: int) -> int:
     """How many shingles a set of this size and one that links with it differ in at most."""
     return (size + size * den // num) * (den - num) // (den + num)
@@ -186,8 +203,8 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
 
     The whole texts of both are compared: those of a come behind the one of their b, of which a part of its pairs has a copy.
     With ``common`` (b, usual), ``rarest`` holds the first elements of the difference, as many as another set that links
-    with a may lack: those that b lacks, without the usual ones, then the usual ones, then those that a lacks. Without it,
-    rarest is null.
+    with a may lack: those that b lacks, without the usual ones, then the usual ones, then those that a lacks; ``bits``
+    are the parities of a. Without it, both are null.
     """
     ordered = common is not None
 
@@ -195,7 +212,7 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
         last, b, other, usual = None, None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
             for start, texts in _slices(batch.column(2)):
-                of, at, linked, sizes, n, rarest = [], [], [], [], [], []
+                of, at, linked, sizes, n, rarest, bits = [], [], [], [], [], [], []
                 for i, t in enumerate(texts, start):
                     a = batch.column(1)[i].as_py()
                     if a is None:  # the text that the next ones are compared with
@@ -221,11 +238,13 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
                         if len(first) < need:
                             first = np.concatenate([first, other[~_among(other, mine)]])
                         rarest.append(first[:need].view(np.int64))
+                        bits.append(parities(mine))
                     else:
                         rarest.append(None)
+                        bits.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64()))],
-                    ["a", "b", "linked", "size", "n", "rarest"],
+                    [pa.array(at, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    ["a", "b", "linked", "size", "n", "rarest", "bits"],
                 )
 
     # a set that is compared with very many meets them in several places
@@ -237,7 +256,7 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
     right = keyed.select("row", "text").join(small(of, of.count()), "row").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     right = right.join(common, "b", "left") if ordered else right.withColumn("usual", F.lit(None).cast("array<long>"))
     met = right.unionByName(left).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return met.select("b", "a", "text", "usual").mapInArrow(judge, "a long, b long, linked boolean, size int, n int, rarest array<long>")
+    return met.select("b", "a", "text", "usual").mapInArrow(judge, "a long, b long, linked boolean, size int, n int, rarest array<long>, bits array<long>")
 
 
 def _pruned(rows: DataFrame, label: str) -> DataFrame:
@@ -343,8 +362,12 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     pairs = left.select("content", "fp", "need").join(open_, "fp").join(inside, ["content", "group", "group_leader"])
     pairs = pairs.groupBy("fp", "member").agg(F.count("*").alias("k"), F.min("need").alias("least")).where("k >= least")
     pairs = pairs.select(F.least("fp", "member").alias("a"), F.greatest("fp", "member").alias("b")).unionByName(close).distinct()
-    pairs = materialise(pairs.join(groups.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a", "left").join(groups.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b", "left")
-                        .where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"), "jaccard-pairs")
+    pairs = pairs.join(groups.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a", "left").join(groups.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b", "left")
+    pairs = materialise(pairs.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"), "jaccard-pairs")
+    # only what the sets' parities leave open is compared; a leader has none
+    known = judged.select("fp", "size", "bits")
+    both = pairs.join(known.withColumnsRenamed({"fp": "a", "size": "sa", "bits": "ba"}), "a", "left").join(known.withColumnsRenamed({"fp": "b", "size": "sb", "bits": "bb"}), "b", "left")
+    pairs = materialise(both.where(F.coalesce(may_link(F.col("ba"), F.col("bb"), F.col("sa"), F.col("sb"), num, den), F.lit(True))).select("a", "b").distinct(), "jaccard-open-pairs")
     more = materialise(_judged(pairs, carriers, keyed, width, num, den).where("linked").select("a", "b"), "jaccard-links")
 
     final = components(edges.unionByName(more).distinct())

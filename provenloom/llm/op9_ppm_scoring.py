@@ -18,6 +18,8 @@ and all symbols equally likely; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import time
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -156,17 +158,27 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
     return result
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does once the driver has collected what named them."""
+    gc.collect()
+    time.sleep(0.5)  # until the driver's JVM has heard of it
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text)."""
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-bytes_ // CHUNK_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     listed = materialise(dealt.groupBy("chunk").applyInArrow(chunk_counts, "chunk long, kind int, key long, n long"), "ppm-counts")
+    forget(docs.sparkSession)
 
     known = materialise(listed.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ppm-words")
     sums = known.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, vocabulary = sums["n"] or 0, sums["v"]
     trie = materialise(listed.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "ppm-trie")
+    forget(docs.sparkSession)
     pairs = np.zeros((256, 256))
     for r in trie.where("n > 0").groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(255)).alias("a"), F.col("key").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
         pairs[r["a"], r["b"]] = r["n"]

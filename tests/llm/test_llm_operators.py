@@ -205,6 +205,17 @@ def test_language_evidence(spark):
     assert op6.identify(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0), langs, model).count() == 0
 
 
+def test_language_model_is_right_on_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    langs, model = op6.fit(d.where("doc_id % 2 = 0"))
+    rows = [r for r in d.where("doc_id % 2 = 1").collect() if r["text"] and len(r["text"]) > 100]
+    right = sum(langs[int(model[op6.trigrams(r["text"])].sum(axis=0).argmax())] == r["lang"] for r in rows)
+    print(f"held-out languages right: {right} of {len(rows)}")
+    assert right >= 0.9 * len(rows)
+    many = spark.createDataFrame([(i, f"word{i} text", f"l{i}") for i in range(100)], "doc_id long, text string, lang string")
+    assert len(op6.fit(many)[0]) == 100
+
+
 # --- 7
 
 
@@ -309,6 +320,19 @@ def test_jaccard_links_through_rows_without_id(spark):
     assert op8.link(d.limit(0), 3, 90, 100).count() == 0
 
 
+def test_parities_never_exceed_the_difference(spark):
+    r, rows = np.random.default_rng(4), []
+    for _ in range(60):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(r.integers(0, len(a))) // 3 :], r.integers(0, 1 << 62, int(r.integers(0, n // 3 + 1))).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        rows.append((op8.parities(a).tolist(), op8.parities(b).tolist(), len(a), len(b), 100 * common >= 80 * (len(a) + len(b) - common)))
+    d = spark.createDataFrame(rows, "a array<long>, b array<long>, m int, n int, linked boolean")
+    got = d.select("linked", op8.may_link(F.col("a"), F.col("b"), F.col("m"), F.col("n"), 80, 100).alias("may")).collect()
+    assert all(x["may"] for x in got if x["linked"]) and any(x["linked"] for x in got) and not all(x["may"] for x in got)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(50, i) for i in range(51, 60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
