@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -51,6 +53,14 @@ def discard(*steps: DataFrame) -> None:
             where.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does once the driver has collected what named them."""
+    gc.collect()
+    time.sleep(0.5)  # until the driver's JVM has heard of it
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows are within the limit, else left to a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialise, small, table
+from .common import components, discard, forget, materialise, small, table
 
 SPARE = 5
 CACHED_WORDS = 200_000
@@ -332,6 +332,8 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     alive = rows.groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("need").alias("most")).where("most > 0 and lo < hi")
     met = rows.join(alive.select("content", F.lit(True).alias("alive")), "content", "left").where("need < 0 or alive")
     met = materialise(met.select("content", "fp", "need").distinct(), "jaccard-rows")
+    del rows, alive
+    forget(docs.sparkSession)  # the shuffle of all tokens is by far the largest
     members = met.where("need < 0").groupBy(F.col("content").alias("row")).agg(F.min(F.struct("fp", (-1 - F.col("need")).alias("n"))).alias("m")).select("row", "m.fp", F.col("m.n").cast("long").alias("n"))
     members = materialise(members, "jaccard-members")
     tokens = materialise(_pruned(met.where("need > 0").withColumn("label", F.col("fp")), "label").select("content", "fp", "need"), "jaccard-tokens")
