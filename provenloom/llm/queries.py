@@ -19,6 +19,7 @@ from .op7_nn_descent import op7_nn_descent
 from .op8_ngram_jaccard import op8_ngram_jaccard
 from .op9_ppm_scoring import op9_ppm_scoring
 from .op10_entropy_mixing import op10_entropy_mixing
+from .op11_periodic_runs import op11_periodic_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_ppm_scoring": op9_ppm_scoring,
     "op10_entropy_mixing": op10_entropy_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES = {"op3_simhash_decontam": op3.ORACLE, "op4_line_spread": op4.ORACLE, "op10_entropy_mixing": op10.ORACLE}
