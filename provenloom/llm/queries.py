@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op3_simhash_decontam as op3
 from . import op4_line_spread as op4
 from . import op10_entropy_mixing as op10
+from . import op12_phrase_stripes as op12
 from .op1_ordinal_toxicity import op1_ordinal_toxicity
 from .op2_rans_tokens import op2_rans_tokens
 from .op3_simhash_decontam import op3_simhash_decontam
@@ -20,6 +21,7 @@ from .op8_ngram_jaccard import op8_ngram_jaccard
 from .op9_ppm_scoring import op9_ppm_scoring
 from .op10_entropy_mixing import op10_entropy_mixing
 from .op11_periodic_runs import op11_periodic_runs
+from .op12_phrase_stripes import op12_phrase_stripes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
@@ -33,6 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ppm_scoring": op9_ppm_scoring,
     "op10_entropy_mixing": op10_entropy_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_stripes": op12_phrase_stripes,
 }
 
-ORACLES = {"op3_simhash_decontam": op3.ORACLE, "op4_line_spread": op4.ORACLE, "op10_entropy_mixing": op10.ORACLE}
+ORACLES = {
+    "op3_simhash_decontam": op3.ORACLE,
+    "op4_line_spread": op4.ORACLE,
+    "op10_entropy_mixing": op10.ORACLE,
+    "op12_phrase_stripes": op12.ORACLE,
+}

@@ -50,11 +50,11 @@ def test_long_texts_are_whole():
 
 
 def test_find_runs_keeps_columns_and_edge_rows(spark):
-    texts = [None, "", " \t\n", "one", "x " * 9, "x " * 9, "a b c " * 5 + "a d", "café z " * 6]
+    texts = [None, "", " \t\n", "one", "x " * 9, "x " * 9, "a b c " * 5 + "a d", "café\u00a0z " * 6]
     df = spark.createDataFrame([(i, t, "clash", [i]) for i, t in enumerate(texts)], "doc_id long, text string, runs string, extra array<long>")
     got = {r["doc_id"]: r for r in op11.find_runs(df).collect()}
     assert [[tuple(x) for x in got[i]["runs"]] for i in range(8)] == [[], [], [], [], [(0, 9, 1)], [(0, 9, 1)], [(0, 16, 3)], [(0, 6, 1)]]
-    assert [got[i]["collapsed"] for i in range(8)] == ["", "", "", "one", "x", "x", "a b c d", "café z"]
+    assert [got[i]["collapsed"] for i in range(8)] == ["", "", "", "one", "x", "x", "a b c d", "café\u00a0z"]
     assert got[3]["extra"] == [3] and got[0]["text"] is None
     assert op11.find_runs(df.limit(0)).count() == 0
 
