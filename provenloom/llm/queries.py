@@ -10,6 +10,7 @@ from . import op3_simhash_decontam as op3
 from . import op4_line_spread as op4
 from . import op10_entropy_mixing as op10
 from . import op12_phrase_stripes as op12
+from . import op13_warc as op13
 from .op1_ordinal_toxicity import op1_ordinal_toxicity
 from .op2_rans_tokens import op2_rans_tokens
 from .op3_simhash_decontam import op3_simhash_decontam
@@ -22,6 +23,7 @@ from .op9_ppm_scoring import op9_ppm_scoring
 from .op10_entropy_mixing import op10_entropy_mixing
 from .op11_periodic_runs import op11_periodic_runs
 from .op12_phrase_stripes import op12_phrase_stripes
+from .op13_warc import op13_warc_merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
@@ -36,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_entropy_mixing": op10_entropy_mixing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_phrase_stripes": op12_phrase_stripes,
+    "op13_warc_merge": op13_warc_merge,
 }
 
 ORACLES = {
@@ -43,4 +46,5 @@ ORACLES = {
     "op4_line_spread": op4.ORACLE,
     "op10_entropy_mixing": op10.ORACLE,
     "op12_phrase_stripes": op12.ORACLE,
+    "op13_warc_merge": op13.ORACLE,
 }
