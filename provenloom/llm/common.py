@@ -45,12 +45,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*steps: DataFrame) -> None:
     """Deletes the files of materialised steps that nothing reads any more."""
     for step in steps:
         if path := _written.pop(step, None):
-            where = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            delete(step.sparkSession, path)
 
 
 def forget(spark: SparkSession) -> None:

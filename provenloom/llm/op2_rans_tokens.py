@@ -9,11 +9,12 @@ payload) of Parquet files: Spark's commit protocol makes them safe against lost
 Coder: total 2**20, states of 64 bits in [2**32, 2**64), words of 32 bits. Ids are encoded backwards and read forwards.
 
 Defined cases: null text is empty; an empty document is its end id alone; repeated rows and equal doc_ids are documents
-of their own, ordered by text hash; null doc_ids come first; an empty table gives no rows; other columns are ignored.
+of their own, side by side in any order; null doc_ids come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import delete, shared_dir, table
 
 SCALE_BITS = 20
 LANES = 2048
@@ -66,12 +67,13 @@ class WordTokenizer:
 
     The vocabulary's own splitter (PIECES) drops white space and no merge crosses a piece, so a text's ids are those of
     its pieces in a row. Words between white space come from one cache, pieces of new words from another, both of
-    bounded size; only new pieces, and words with characters past PLAIN, go to the library.
+    bounded size; only new pieces, and words with characters that are past PLAIN or don't print, go to the library.
     """
 
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Below this, lower case is by single characters and nothing composes, so that str.lower() is the normaliser.
     PLAIN = "\u0250"
+    COMPOSES = re.compile("[a-z][\u0300-\u036f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -87,7 +89,7 @@ class WordTokenizer:
         """Ids of a piece in lower case."""
         found = self.pieces.get(x)
         if found is None:
-            spelled = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
+            spelled = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
             found = self.pieces[x] = array("H", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
         return found
 
@@ -97,7 +99,7 @@ class WordTokenizer:
             self.pieces = {}
         known, piece, words, odd = self.pieces.get, self.piece, self.words, []
         for w in new:
-            if "<|" in w or not (w.isascii() and w.isprintable() or max(w) < self.PLAIN and len(w.split()) == 1):
+            if "<|" in w or not w.isprintable() or not (w.isascii() or max(w) < self.PLAIN and len(w.split()) == 1):
                 odd.append(w)
                 continue
             low = w.lower()
@@ -113,11 +115,14 @@ class WordTokenizer:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text closed by the end id, and the texts' lengths in ids."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
-        if not pc.any(pc.match_substring(spaced, "<|")).as_py():  # else the case of special tokens would be lost
-            spaced = pc.ascii_lower(spaced)
-        split = pc.split_pattern(spaced, " ")
+        cased = pc.any(pc.match_substring(spaced, "<|")).as_py()  # the case of special tokens counts
+        split = pc.split_pattern(spaced if cased else pc.ascii_lower(spaced), " ")
         coded = split.flatten().dictionary_encode()
         met = coded.dictionary.to_pylist()
+        if not cased and any(self.COMPOSES.search(w) for w in met if not w.isascii()):  # a mark may compose with the small letter alone
+            split = pc.split_pattern(spaced, " ")
+            coded = split.flatten().dictionary_encode()
+            met = coded.dictionary.to_pylist()
         new = [w for w in met if w not in self.words]
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words = {w: self.words[w] for w in met if w in self.words} | {"": b""}
@@ -271,9 +276,9 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         if ids:
             yield flush()
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return ranged.mapInArrow(blocks, BLOCKS)
+    # a draw for each row lets a doc_id that very many rows share lie in several ranges
+    ranged = docs.select("doc_id", "text", F.rand(7).alias("draw")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "draw")
+    return ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "draw").select("doc_id", "text").mapInArrow(blocks, BLOCKS)
 
 
 def frequencies(blocks: DataFrame) -> np.ndarray:
@@ -313,6 +318,7 @@ def write(docs: DataFrame, out: str, path: str | None = None) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([b.column(c).slice(i, 1) for c in COLUMNS[:-1]] + [pa.array([coded], pa.binary())], COLUMNS)
 
     blocks.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(out)
+    delete(spark, plain)
     return freqs
 
 

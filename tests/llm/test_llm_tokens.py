@@ -1,0 +1,51 @@
+"""The word cache against the library itself, over controls, marks and all planes; ids that are null or shared."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from provenloom.llm import op2_rans_tokens as op2
+
+ODD = [chr(c) for c in (*range(0x20), *range(0x7F, 0xA1), 0xAD, 0x85, 0x200B, 0x200D, 0x2028, 0x2029, 0xFEFF, 0x180E)]
+
+
+def character(r):
+    x = r.random()
+    if x < 0.45:
+        return r.choice("abcdefgHIJKLTWY'sé ÀÖßİıſΣς")
+    if x < 0.6:
+        return r.choice(ODD)
+    if x < 0.7:
+        return r.choice(" \n\t\r")
+    c = r.randrange(0x3000 if x < 0.9 else 0x110000)
+    return chr(c) if not 0xD800 <= c < 0xE000 else "̱"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_cache_equals_the_library(seed):
+    tok, r = op2.WordTokenizer(op2.vocabulary_path()), random.Random(seed)
+    for _ in range(40):
+        texts = ["".join(character(r) for _ in range(r.randint(0, 25))) for _ in range(250)]
+        texts += ["abc\x00", "café\x1c", "café\x07", "é\x7f", "H̱ ẖ J̌", "<|startoftext|>A", "A\x1cB"]
+        flat, sizes = tok(pa.array(texts))
+        ends = np.cumsum(sizes)
+        for text, end, size, want in zip(texts, ends, sizes, tok.library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert flat[end - size : end].tolist() == [*want.ids, op2.END_ID], repr(text)
+
+
+def test_null_and_shared_ids_keep_their_texts(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(5, "a shared id"), (5, "another text of it"), (5, "a shared id"), (None, "no id"), (None, None), (1, ""), *[(7, "hot")] * 300]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, start string").repartition(3)
+    got = op2.digest(df).collect()
+    library = Tokenizer.from_file(op2.vocabulary_path())
+    crc = {t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows}
+    assert sorted(((r["doc_id"], r["ids_crc32"]) for r in got), key=str) == sorted(((i, crc[t]) for i, t in rows), key=str)
+    at, before = 0, -1
+    for r in sorted(got, key=lambda x: x["start"]):
+        assert r["start"] == at and (r["doc_id"] or 0) >= before
+        at, before = at + r["n_tokens"], r["doc_id"] or 0
