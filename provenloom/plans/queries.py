@@ -404,14 +404,39 @@ def quality_warnings(s: SparkSession, d: str) -> DataFrame:
     return _flags(s, d).select("o_orderkey", F.array_join(codes, ",").alias("warnings"))
 
 
+def benchmark_parts(s: SparkSession, d: str) -> DataFrame:
+    """Quotes of no known document: each passage of the benchmark (quote_id 3 * item_id), its first half and its second."""
+    b = table(s, d, "benchmark").withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    parts = F.array(F.col("text"), F.expr("left(text, half)"), F.expr("substring(text, half + 1)"))
+    return b.select("item_id", F.posexplode(parts).alias("part", "quote")).select((F.col("item_id") * 3 + F.col("part")).alias("quote_id"), "quote")
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, page_no, {NORM.format('text')} AS norm FROM l WHERE text IS NOT NULL),
+  b AS (SELECT item_id * 3 AS id, text, length(text) // 2 AS half FROM benchmark),
+  q AS (SELECT id + part AS quote_id, {NORM.format("CASE part WHEN 0 THEN text WHEN 1 THEN text[:half] ELSE text[half + 1:] END")} AS needle FROM b, (VALUES (0), (1), (2)) AS v(part))
+  SELECT DISTINCT q.quote_id, p.doc_id, p.page_no FROM q JOIN p ON contains(p.norm, q.needle) WHERE length(q.needle) >= 8""")
+def passage_occurrences(s: SparkSession, d: str) -> DataFrame:
+    """Every line of every document in which a passage of the benchmark, or half of one, stands word for word."""
+    return verify.occurrences(benchmark_parts(s, d), lines(s, d))
+
+
+@query()
+def passage_check(s: SparkSession, d: str) -> DataFrame:
+    """Passages of the benchmark, partly misread (every 'th' read as 'ht' in odd ones), by the whole cascade over the lines of all documents."""
+    q = benchmark_parts(s, d).withColumn("quote", F.when(F.col("quote_id") % 2 == 1, F.regexp_replace("quote", "th", "ht")).otherwise(F.col("quote")))
+    return verify.check(q, lines(s, d), ()).select("quote_id", "method", "verified", "doc_id", "page_no", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH t AS (SELECT conv_id, turn, {NORM.format('text')} AS norm FROM conversations),
-  q AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'zz' || reverse(norm) WHEN turn % 3 = 2 THEN norm || ' 987654' ELSE norm END AS needle FROM t WHERE length(norm) >= 100),
-  f AS (SELECT q.conv_id, q.turn, arg_min(t.turn, (t.turn <> q.turn + 1, t.turn)) AS page FROM q JOIN t ON q.conv_id = t.conv_id AND contains(t.norm, q.needle) GROUP BY ALL)
-  SELECT conv_id, count(*)::BIGINT AS total, count(*) FILTER (WHERE page IS NULL)::BIGINT AS unverified, count(*) FILTER (WHERE turn % 3 = 2 AND page IS NULL)::BIGINT AS mismatches,
+  q AS (SELECT conv_id, turn, norm, CASE WHEN turn % 3 = 1 THEN 'zz' || reverse(norm) WHEN turn % 3 = 2 THEN norm || ' 987654' ELSE norm END AS needle FROM t),
+  f AS (SELECT q.conv_id, q.turn, arg_min(t.turn, (t.turn <> q.turn + 1, t.turn)) FILTER (WHERE length(q.needle) >= 8 AND contains(t.norm, q.needle)) AS page,
+    max(length(q.norm) + CASE WHEN contains(t.norm, q.norm || ' ') THEN 1 ELSE 0 END) FILTER (WHERE contains(t.norm, q.norm)) AS held FROM q JOIN t ON q.conv_id = t.conv_id GROUP BY ALL)
+  SELECT conv_id, count(*)::BIGINT AS total, count(*) FILTER (WHERE page IS NULL)::BIGINT AS unverified,
+  count(*) FILTER (WHERE turn % 3 = 2 AND page IS NULL AND held >= 8 AND held >= 0.75 * length(needle))::BIGINT AS mismatches,
   count(*) FILTER (WHERE page <> turn + 1)::BIGINT AS page_corrections FROM q LEFT JOIN f USING (conv_id, turn) GROUP BY conv_id""")
 def evidence_counters(s: SparkSession, d: str) -> DataFrame:
     """Turns quoted as they are, backwards, and with a number that no page has; all claimed one page too far."""
-    q = passages(s, d).withColumn("quote", text.normalize_quote(F.col("quote"))).where(F.length("quote") >= 100)
+    q = passages(s, d).withColumn("quote", text.normalize_quote(F.col("quote")))
     k = F.col("quote_id") % 3
     q = q.withColumn("quote", F.when(k == 1, F.concat(F.lit("zz"), F.reverse("quote"))).when(k == 2, F.concat("quote", F.lit(" 987654"))).otherwise(F.col("quote")))
     return verify.counters(verify.check(q, turns(s, d)), q).withColumnRenamed("doc_id", "conv_id")
