@@ -35,11 +35,6 @@ def normalize_quote(c: Column) -> Column:
     return collapse(F.lower(F.translate(c, _FROM, _TO)))
 
 
-def flatten(c: Column) -> Column:
-    """Lower case with LF as spaces; positions stay."""
-    return F.lower(F.translate(c, "\n", " "))
-
-
 def digit_tokens(c: Column) -> Column:
     """Distinct numbers of three digits or more, digits only."""
     found = F.regexp_extract_all(c, F.lit(r"\d[\d .,]*\d|\d"), F.lit(0))
