@@ -22,7 +22,7 @@ def to_decimal(c: Column) -> Column:
 
 
 def within(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.lit(TOLERANCE).cast("decimal(38,2)")
+    return F.abs(a - b) <= F.lit(TOLERANCE).cast("decimal(3,2)")  # a wide type would round finer amounts
 
 
 def first_money(c: Column) -> Column:

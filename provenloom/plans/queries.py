@@ -6,6 +6,7 @@ operator to the given texts and rows. Results are flat; arrays are joined into s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from pyspark.sql import types as T
 
 from ..functions import dates, numbers, text
 from ..functions import vocab as V
-from ..operators import assemble, chunking, extract, merge, records, rules, verify
+from ..operators import assemble, chunking, clients, extract, merge, records, rules, verify
 from ..sources import documents as sources
-from .render import amount, in_words, notices, spelled, table
+from ..streaming import assembly, ingest
+from .render import Scripted, amount, in_words, notices, spelled, table, tenders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -604,3 +606,109 @@ def answer_errors(s: SparkSession, d: str) -> DataFrame:
     whole = F.concat(F.lit('{"a":"'), F.col("event_id").cast("string"), F.lit('","b":{"c":'), F.when(k == 1, '"1"').otherwise("1.5"), F.lit('},"d":[{"e":true},{"e":'), flag, F.lit("}]}"))
     schema = T.StructType.fromDDL("a string, b struct<c:double>, d array<struct<e:boolean>>")
     return table(s, d, "events").select("event_id", F.array_join(extract.validation_errors(F.when(k == 2, F.col("props")).otherwise(whole), schema), ",").alias("errors"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders), a AS (SELECT k, CASE WHEN k % 11 = 0 THEN 'llm_refused' WHEN k % 13 = 0 THEN 'llm_unavailable' WHEN k % 5 = 0 THEN 'llm_response_invalid' END AS error,
+  CASE WHEN k % 11 = 0 THEN 1 WHEN k % 13 = 0 THEN 3 WHEN k % 7 = 0 THEN 2 ELSE 1 END::INTEGER AS attempts FROM o)
+  SELECT k AS o_orderkey, error, attempts, CASE WHEN error = 'llm_response_invalid' THEN '["price.vat: not an allowed value"]' END AS details, CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 1 THEN '44-ФЗ' ELSE '223-ФЗ' END END AS law,
+  CASE WHEN error IS NULL THEN k + 0.5 END::DOUBLE AS amount FROM a""")
+def scripted_answers(s: SparkSession, d: str) -> DataFrame:
+    """A prompt for each order, asked of an extractor that fails, passes after a repeat, and answers beside the schema."""
+    prompts = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("chunk_no"), F.concat(F.lit("Заказ "), F.col("o_orderkey").cast("string")).alias("prompt"))
+    schema = extract.with_domains(T.StructType.fromDDL("law string, price struct<amount:double,vat:string>"), extract.DOMAINS)
+    x = clients.checked(clients.ask(prompts, Scripted, wait=0.0), schema)
+    return x.select(F.col("doc_id").alias("o_orderkey"), "error", "attempts", F.col("details")["errors"].alias("details"), F.col("facts.law").alias("law"), F.col("facts.price.amount").alias("amount"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS asked, c_custkey % 3 AS keys FROM customer)
+  SELECT k AS c_custkey, CASE asked WHEN 0 THEN CASE keys WHEN 0 THEN 'offline' WHEN 1 THEN 'openai' ELSE 'anthropic' END WHEN 1 THEN 'offline' WHEN 2 THEN CASE WHEN keys = 1 THEN 'gemini' END WHEN 3 THEN CASE WHEN keys = 2 THEN 'anthropic' END END AS provider,
+  CASE WHEN asked = 2 AND keys <> 1 OR asked = 3 AND keys <> 2 THEN 'provider_not_configured' WHEN asked = 4 THEN 'unknown_provider' END AS error, CASE WHEN asked = 0 AND keys = 0 THEN 'offline_for_want_of_keys' END AS note FROM c""")
+def provider_choice(s: SparkSession, d: str) -> DataFrame:
+    """Who answers, by who is asked for and whose keys are there; a blank key is none."""
+    k = F.col("c_custkey")
+    asked = F.element_at(F.array(*map(F.lit, ("auto", "offline", "gemini", "anthropic", "oracle"))), (k % 5 + 1).cast("int"))
+    key = lambda n: F.when(k % 3 == n, F.concat(F.lit("key "), k.cast("string"))).otherwise("  ")
+    keys = F.create_map(F.lit("gemini"), key(1), F.lit("openai"), key(1), F.lit("anthropic"), key(2))
+    return table(s, d, "customer").select("c_custkey", extract.chosen_provider(asked, keys).alias("c")).select("c_custkey", "c.*")
+
+
+@query("""SELECT 'notice ' || doc_id || '.PDF' AS name, round(n_chars / 1024)::BIGINT AS size_kb, CASE WHEN lang = 'de' THEN 'Bekanntmachung ' || doc_id ELSE 'notice ' || doc_id END AS title FROM documents WHERE doc_id % 2 = 0""")
+def sample_listing(s: SparkSession, d: str) -> DataFrame:
+    """The listing of a folder that holds a file for each document, PDFs for even ids; German ones have titles."""
+    x = table(s, d, "documents")
+    number = F.col("doc_id").cast("string")
+    files = x.select(F.concat(F.lit("s3://samples/../a/notice "), number, F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".pdf.txt")).alias("path"), F.col("n_chars").alias("length"))
+    titles = x.where("lang = 'de'").select(F.concat(F.lit("notice "), number, F.lit(".PDF")).alias("name"), F.concat(F.lit("Bekanntmachung "), number).alias("title"))
+    return sources.listing(files, titles)
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice::DECIMAL(18,3) + (l_linenumber % 4) * 0.006::DECIMAL(18,3) AS claimed FROM lineitem),
+  f AS (SELECT DISTINCT l_orderkey, l_extendedprice::DECIMAL(18,2) AS amount FROM lineitem WHERE l_partkey % 2 = 1),
+  near AS (SELECT DISTINCT c.l_orderkey, c.claimed FROM c JOIN f ON f.l_orderkey = c.l_orderkey AND abs(f.amount - c.claimed) <= 0.01)
+  SELECT c.l_orderkey, count(*)::BIGINT AS n, count(near.claimed)::BIGINT AS confirmed FROM c LEFT JOIN near ON near.l_orderkey = c.l_orderkey AND near.claimed = c.claimed GROUP BY c.l_orderkey""")
+def amounts_confirmed(s: SparkSession, d: str) -> DataFrame:
+    """Amounts of lines, some a little off, confirmed by the amounts of the same order's lines with odd parts."""
+    x = table(s, d, "lineitem")
+    claims = x.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("decimal(18,3)") + (F.col("l_linenumber") % 4) * F.lit("0.006").cast("decimal(18,3)")).cast("decimal(18,3)").alias("claimed"))
+    found = x.where("l_partkey % 2 = 1").select("l_orderkey", amount("l_extendedprice").alias("amount"))
+    near = assemble.near_amounts(claims, found, ["l_orderkey"], "claimed", "amount")
+    return near.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if("confirmed").alias("confirmed"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, (abs(c_acctbal::DECIMAL(18,2)) + 100)::DECIMAL(18,2) AS price, c_custkey % 3 AS way, c_custkey % 4 = 0 AS short FROM customer)
+  SELECT k AS c_custkey, CASE WHEN way <> 1 THEN price::VARCHAR END AS price, CASE WHEN way <> 1 THEN 'true' END AS confirmed, '44-ФЗ' AS law, 'поставка бумаги партии ' || k AS subject, CASE WHEN way = 1 THEN NULL ELSE 'не включён' END AS vat,
+  (DATE '2026-01-10' + (k % 200)::INTEGER)::VARCHAR AS deadline, CASE WHEN short THEN 2 ELSE 3 END::VARCHAR AS pages, 'offline' AS provider, concat_ws('|',
+  CASE WHEN way = 1 THEN 'Цена контракта не найдена — проверьте документ вручную.' END, CASE WHEN short THEN 'Меры ответственности не найдены — это редкость для закупочной документации.' END,
+  CASE WHEN way = 2 THEN 'В документе несколько разных сумм у формулировки цены контракта: ' || replace(format('{:,.2f}', price::DOUBLE), ',', ' ') || ', ' || replace(format('{:,.2f}', (price + 5)::DOUBLE), ',', ' ') || '. Проверьте, какая из них относится к предмету закупки.' END) AS warnings FROM c""")
+def record_json(s: SparkSession, d: str) -> DataFrame:
+    """Notices in three wordings through all steps into one JSON object each, and what it holds."""
+    n = sources.settled(tenders(s, d), "tenders")
+    found = sources.settled(extract.offline(n), "findings")
+    facts = sources.settled(records.merge_chunks(extract.offline_struct(n, found).select("doc_id", F.lit(0).alias("chunk_no"), "facts")), "facts")
+    amounts = rules.money_hits(n).groupBy("doc_id").agg(F.collect_set("amount").alias("amounts"))
+    findings = found.join(amounts, "doc_id", "left").select("doc_id", "price", "price_candidates", "amounts", "law", "procurement_number")
+    whole = n.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("characters"))
+    number = F.col("doc_id").cast("string")
+    about = whole.select("doc_id", F.concat(F.lit("tender "), number, F.lit(".pdf")).alias("filename"), F.sha2(number, 256).alias("sha256"), "pages", "characters", F.lit("text_layer").alias("text_source"), F.array().cast("array<int>").alias("ocr_pages"))
+    runs = whole.select("doc_id", F.lit("offline").alias("provider"), F.lit(None).cast("string").alias("model"), F.lit(1).alias("chunks"), F.lit(0).alias("llm_calls"), *[F.lit(None).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_ms")], F.lit(False).alias("cached"))
+    x = records.report(records.record(facts, findings, n, True), about, runs)
+    at = lambda path: F.get_json_object("json", path)
+    return x.select(
+        F.col("doc_id").alias("c_custkey"), at("$.price.amount").alias("price"), at("$.price.confirmed_by_rules").alias("confirmed"), at("$.law").alias("law"), at("$.subject").alias("subject"), at("$.price.vat").alias("vat"),
+        at("$.timeline.application_deadline.date").alias("deadline"), at("$.document.pages").alias("pages"), at("$.meta.provider").alias("provider"), F.array_join(F.from_json(at("$.warnings"), "array<string>"), "|").alias("warnings"),
+    )
+
+
+# --- streams
+
+
+def streamed(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives until its source has no more, as a table."""
+    out = f"{sources.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) FILTER (WHERE false)::BIGINT AS repeats, max(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
+def stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Documents read as a stream, once for each content within the watermark."""
+    came = assembly.table_stream(s, d, "documents.parquet").where("text IS NOT NULL").withColumn("at", F.timestamp_seconds(F.pmod("doc_id", F.lit(600)) + 1_000_000_000))
+    x = streamed(s, ingest.deduplicated(came, "at").select("sha256", "text"), "ingest")
+    return x.groupBy("sha256").agg((F.count("*") - 1).alias("repeats"), F.max(F.length("text")).cast("long").alias("chars"))
+
+
+@query(f"""WITH {LINES}, a AS (SELECT doc_id, page_no - 1 AS k, CASE WHEN trim(text, ' ' || chr(9) || chr(13)) = '' THEN 'empty' WHEN (doc_id + page_no) % 7 = 0 THEN 'llm_timeout' END AS error, page_no FROM l)
+  SELECT doc_id, count(*)::BIGINT AS chunks, count(*) FILTER (WHERE error IS NULL)::BIGINT AS answered,
+  coalesce(string_agg('Фрагмент ' || (k + 1) || ' (страницы ' || page_no || ') не разобран: ' || error, '|' ORDER BY k) FILTER (WHERE error IS NOT NULL), '') AS warnings,
+  CASE WHEN count(*) FILTER (WHERE error IS NULL) = 0 THEN 'Не удалось разобрать ни один фрагмент документа. ' || arg_min(error, k) END AS error FROM a GROUP BY doc_id""")
+def stream_records(s: SparkSession, d: str) -> DataFrame:
+    """A stream of answers, one or two for each line of each document and some of them errors, gathered until documents are complete."""
+    came = assembly.table_stream(s, d, "documents.parquet").where("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("t"))
+    x = came.select("doc_id", F.size("t").alias("n_chunks"), F.posexplode("t").alias("chunk_no", "line"))
+    page = F.col("chunk_no") + 1
+    failed = F.when(F.trim(F.translate("line", "\t\r", "  ")) == "", "empty").when((F.col("doc_id") + page) % 7 == 0, "llm_timeout")
+    # every third answer is given twice, first as an error
+    said = F.when((page % 3 == 0) & failed.isNull(), F.array(F.lit("llm_rate_limited"), failed)).otherwise(F.array(failed))
+    x = x.select("doc_id", "chunk_no", "n_chunks", page.cast("string").alias("pages_label"), F.explode(said).alias("error"), F.timestamp_seconds(F.pmod("doc_id", F.lit(600)) + 1_000_000_000).alias("at"))
+    rows = assembly.finished(streamed(s, assembly.assembled(x, "at"), "assembly"))
+    return rows.select("doc_id", "chunks", "answered", F.array_join("warnings", "|").alias("warnings"), "error")

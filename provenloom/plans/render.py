@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import MONTHS
+from ..operators.clients import Answer, Passing, Refused
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,44 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     both = F.array(F.struct(F.lit(1).alias("page_no"), first.alias("text")), F.struct(F.lit(2).alias("page_no"), second.alias("text")))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.explode(both).alias("p")).select("doc_id", "p.*")
+
+
+def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (doc_id, page_no, text) for each customer in three wordings: one price, none at all, and two that differ.
+
+    The price is the absolute balance and 100; the deadline is in digits or words; a last page has fines in some.
+    """
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    price = (F.abs(amount("c_acctbal")) + 100).cast("decimal(18,2)")
+    day = F.date_add(F.lit("2026-01-10").cast("date"), (k % 200).cast("int"))
+    named = F.concat(F.lit("Предмет закупки: поставка бумаги партии "), k.cast("string"), F.lit("\nИНН 7700000000\nНаименование заказчика: Учреждение "), F.col("c_name"), F.lit("\nАдрес: город\nПроводится по 44-ФЗ.\n"))
+    one = F.concat(F.lit("НМЦК: "), spelled(price, k % 3), F.lit(" рублей, НДС не облагается."))
+    two = F.concat(one, F.lit("\nЦена контракта составляет "), spelled(price + 5, F.lit(0)), F.lit(" руб."))
+    first = F.concat(named, F.when(k % 3 == 0, one).when(k % 3 == 1, F.lit("Цена не указана.")).otherwise(two))
+    until = F.concat(F.lit("Окончание подачи заявок: "), F.when(k % 2 == 0, F.date_format(day, "dd.MM.yyyy")).otherwise(in_words(day)), F.lit(". Участник закупки должен иметь опыт аналогичных поставок не менее двух лет."))
+    fines = F.lit("За просрочку поставщик уплачивает пени 1/300 ключевой ставки за день. За отказ заказчик платит штраф 5 000 руб. за каждый случай.")
+    pages = F.array(F.struct(F.lit(1).alias("page_no"), first.alias("text")), F.struct(F.lit(2).alias("page_no"), until.alias("text")), F.struct(F.lit(3).alias("page_no"), fines.alias("text")))
+    return c.select(k.alias("doc_id"), F.explode(F.slice(pages, F.lit(1), F.when(k % 4 == 0, 2).otherwise(3))).alias("p")).select("doc_id", "p.*")
+
+
+class Scripted:
+    """An extractor that answers by the number in its prompt, for tests and queries: some answers fail, pass, or don't fit."""
+
+    def __init__(self) -> None:
+        self.failed: set[int] = set()
+
+    def answer(self, prompt: str) -> Answer:
+        k = int(prompt.rsplit(" ", 1)[1])
+        if k % 11 == 0:
+            raise Refused("llm_refused")
+        if k % 13 == 0 or (k % 7 == 0 and k not in self.failed):
+            self.failed.add(k)
+            raise Passing
+        self.failed.discard(k)
+        vat = "вероятно" if k % 5 == 0 else "включён"
+        text = f'{{"law": "{"44-ФЗ" if k % 2 else "223-ФЗ"}", "price": {{"amount": {k}.5, "vat": "{vat}"}}}}'
+        return Answer(f"```json\n{text}\n```" if k % 3 == 0 else text, len(prompt), len(text))
+
+    def close(self) -> None:
+        self.failed.clear()

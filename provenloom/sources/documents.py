@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import result_key, strip
 
 VERSION = "v1"
+RANGE = 1000  # pages that one window of a running sum covers
 MAX_BYTES, MAX_PAGES, MAX_CHARS, OCR_MIN_CHARS, OCR_DPI, MAX_PIXELS = 25 * 1024 * 1024, 400, 1_500_000, 120, 220, 40_000_000
 
 
@@ -44,15 +45,43 @@ def safe_scale(width: Column, height: Column, dpi: int = OCR_DPI, most: int = MA
     return F.when(pixels > most, scale * F.sqrt(most / pixels)).otherwise(scale)
 
 
+def running(rows: DataFrame, by: str, order: str, size: Column, step: int = RANGE) -> DataFrame:
+    """rows with total, the running sum of size within by, in two levels: ranges of ``order`` first, then the sums of the ranges.
+
+    No window holds more than the rows of one range, or one row for each range, so one group may have any number of rows.
+    Null sizes count as 0; rows of one place are summed at once.
+    """
+    x = rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0))).withColumn("_range", F.floor(F.col(order) / step))
+    sums = x.groupBy(by, "_range").agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    x = x.withColumn("_within", F.sum("_size").over(Window.partitionBy(by, "_range").orderBy(order)))
+    x = x.join(sums, x[by].eqNullSafe(sums["_by"]) & x["_range"].eqNullSafe(sums["_at"]))
+    return x.withColumn("total", F.col("_before") + F.col("_within")).select(*rows.columns, "total")
+
+
 def limits(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, pages, chars, first_over, error): the first page past the budget of characters, and the document's error."""
-    run = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = pages.withColumn("total", F.sum(F.length("text")).over(run))
-    x = x.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"), F.min(F.when(F.col("total") > max_chars, F.col("page_no"))).alias("first_over"))
+    x = running(pages.select("doc_id", "page_no", F.length("text").alias("n")), "doc_id", "page_no", F.col("n"))
+    x = x.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"), F.min(F.when(F.col("total") > max_chars, F.col("page_no"))).alias("first_over"))
     error = F.when(F.col("pages") > max_pages, "document_too_long").when(F.col("first_over").isNotNull(), "document_too_long").when(F.col("chars") == 0, "empty_document")
     return x.withColumn("error", error)
 
 
+def listing(files: DataFrame, titles: DataFrame) -> DataFrame:
+    """(name, size_kb, title) of the PDFs among files (path, length); titles (name, title) name those that have one, others go by their stem."""
+    name = F.regexp_extract("path", r"([^/\\\\]*)$", 1)
+    x = files.where(F.lower("path").endswith(".pdf")).select(name.alias("name"), F.round(F.col("length") / 1024).cast("long").alias("size_kb"))
+    return x.join(titles.select("name", "title"), "name", "left").withColumn("title", F.coalesce("title", F.regexp_replace("name", r"\.[^.]*$", "")))
+
+
+def requested(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(request, name, path, error) for names asked for from outside: only the last part of a name counts, so none leads out of the folder."""
+    x = asked.select("request", F.regexp_extract("request", r"([^/\\\\]*)$", 1).alias("name"))
+    there = files.where(F.lower("path").endswith(".pdf")).select(F.regexp_extract("path", r"([^/\\\\]*)$", 1).alias("name"), "path")
+    return x.join(there, "name", "left").select("request", "name", "path", F.when(F.col("path").isNull(), "not_found").alias("error"))
+
+
 def document_stats(pages: DataFrame) -> DataFrame:
     """(doc_id, pages, chars, source_summary, ocr_pages)."""
     sources = F.collect_set(F.when(F.col("source") != "empty", F.col("source")))
@@ -89,15 +118,19 @@ def put(results: DataFrame, path: str) -> None:
     new.withColumn("part", F.substring("key", -2, 2)).write.mode("append").partitionBy("part").parquet(path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back: what follows reads it instead of working it out again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where all run on this machine."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="settled-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back: what follows reads it instead of working it out again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

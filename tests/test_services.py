@@ -1,0 +1,149 @@
+"""Extractors with scripted failures, streams with late and missing answers, sources and records in full."""
+
+import json
+import os
+from datetime import UTC, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from provenloom.functions.numbers import within
+from provenloom.operators import assemble, clients, extract, records
+from provenloom.plans.render import Scripted
+from provenloom.sources import documents as sources
+from provenloom.streaming import assembly
+
+ANSWERS = "doc_id long, chunk_no int, n_chunks int, pages_label string, error string, at timestamp"
+
+
+def closing(folder):
+    class Closing(Scripted):
+        """Leaves a mark when it is closed, and can't be made without its folder."""
+
+        def __init__(self):
+            super().__init__()
+            if not os.path.isdir(folder):
+                raise OSError("no folder")
+
+        def close(self):
+            open(f"{folder}/{os.getpid()}-{id(self)}", "w").close()
+
+    return Closing
+
+
+def prompts(spark, *keys):
+    return spark.createDataFrame([(k, 0, f"Заказ {k}", "clash") for k in keys], "doc_id long, chunk_no int, prompt string, extra string")
+
+
+def test_extractors_repeat_fail_and_are_closed(spark, tmp_path):
+    folder = str(tmp_path)
+    got = {r["doc_id"]: r for r in clients.ask(prompts(spark, 1, 7, 11, 13, 3).repartition(2), closing(folder), wait=0.0).collect()}
+    assert {k: (r["error"], r["attempts"]) for k, r in got.items()} == {1: (None, 1), 7: (None, 2), 11: ("llm_refused", 1), 13: ("llm_unavailable", 3), 3: (None, 1)}
+    assert got[3]["json"].startswith("```json") and got[1]["input_tokens"] == len("Заказ 1") and got[11]["output_tokens"] is None and got[1]["extra"] == "clash"
+    assert len(os.listdir(folder)) == 2
+    one = clients.ask(prompts(spark, 7), closing(folder), attempts=1, wait=0.0).first()
+    assert (one["error"], one["attempts"]) == ("llm_unavailable", 1)
+
+
+def test_a_client_that_cannot_be_made_fails_its_rows(spark):
+    rows = clients.ask(prompts(spark, 1, 2), closing("/nowhere"), wait=0.0).collect()
+    assert [r["error"] for r in rows] == ["client_unavailable: no folder"] * 2
+    assert clients.ask(prompts(spark, 1).limit(0), closing("/nowhere")).count() == 0
+
+
+def test_answers_beside_the_schema_are_errors_with_details(spark):
+    schema = extract.with_domains(T.StructType.fromDDL("law string, price struct<amount:double,vat:string>"), extract.DOMAINS)
+    x = spark.createDataFrame([(1, '{"law":"44-ФЗ","price":{"amount":1,"vat":"включён"}}', None), (2, '{"law":"x","price":{"amount":"1","vat":null}}', None), (3, "no JSON", None), (4, None, "llm_refused")], "doc_id long, json string, error string")
+    got = {r["doc_id"]: r for r in clients.checked(x, schema).collect()}
+    assert got[1]["error"] is None and got[1]["facts"]["price"]["vat"] == "включён"
+    assert json.loads(got[2]["details"]["errors"]) == ["law: not an allowed value", "price.amount: expected number", "price.vat: expected string"]
+    assert (got[3]["error"], got[3]["details"], got[4]["error"], got[4]["facts"]) == ("llm_response_invalid", None, "llm_refused", None)
+
+
+def test_schemas_name_domains_and_lose_unknown_keys():
+    whole = extract.strict_schema(extract.with_domains(T.StructType.fromDDL(extract.SCHEMA), extract.DOMAINS))
+    assert whole["properties"]["requirements"]["items"]["properties"]["category"]["enum"][-1] == "прочее"
+    assert len(whole["properties"]["penalties"]["items"]["properties"]["kind"]["enum"]) == 3
+    plain = extract.without_keys(whole, "additionalProperties")
+    assert "additionalProperties" not in json.dumps(plain) and json.dumps(whole).count("additionalProperties") > 5
+    assert extract.without_keys({"properties": {"enum": {"enum": [1]}}}, "enum") == {"properties": {"enum": {}}}
+
+
+def stream_of(spark, folder, *files):
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, ANSWERS).coalesce(1).write.mode("append").parquet(f"{folder}/in/{n}")
+    return spark.readStream.schema(ANSWERS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+
+
+def run(stream, folder):
+    rows = assembly.assembled(stream, "at", "1 minute", timedelta(minutes=30))
+    q = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def at(minute):
+    return datetime(2026, 1, 1, tzinfo=UTC) + timedelta(minutes=minute)
+
+
+def test_streamed_documents_complete_time_out_and_go_on_after_a_restart(spark, tmp_path):
+    folder = str(tmp_path)
+    first = [(1, 0, 2, "1", None, at(1)), (2, 0, 2, "1", "llm_timeout", at(2)), (3, 0, 1, "1", "b", at(2)), (4, 1, 3, "2", None, at(3))]
+    run(stream_of(spark, folder, first), folder)
+    read = lambda: {(r["doc_id"], r["state"]): r for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert set(read()) == {(3, "complete")}
+    later = [(1, 1, 2, "2-3", "llm_refused", at(5)), (1, 1, 2, "2-3", None, at(6)), (2, 1, 2, "2", "a", at(7)), (3, 0, 1, "1", None, at(8))]
+    for n, rows in enumerate((later, [(9, 0, 2, "1", None, at(200))], [(9, 1, 2, "2", None, at(300))]), 1):
+        spark.createDataFrame(rows, ANSWERS).coalesce(1).write.parquet(f"{folder}/in/{n}")
+        run(spark.readStream.schema(ANSWERS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in"), folder)
+    got = read()
+    assert set(got) == {(1, "complete"), (2, "complete"), (3, "complete"), (3, "late"), (4, "timed_out"), (9, "complete")}
+    assert (got[1, "complete"]["answered"], got[1, "complete"]["warnings"]) == (2, [])
+    assert got[2, "complete"]["error"] == "Не удалось разобрать ни один фрагмент документа. llm_timeout"
+    assert got[3, "late"]["chunks"] == 1
+    assert (got[4, "timed_out"]["answered"], len(got[4, "timed_out"]["warnings"])) == (1, 2)
+
+
+def test_streamed_documents_equal_the_batch(spark, tmp_path):
+    rows = [(d, k, 4, str(k + 1), e, at(1)) for d in range(30) for k in range(4) for e in ([None], ["x"], ["y", None])[(d + k) % 3]]
+    folder = str(tmp_path)
+    run(stream_of(spark, folder, rows[::2], rows[1::2]), folder)
+    best = spark.createDataFrame(rows, ANSWERS).groupBy("doc_id", "chunk_no", "pages_label").agg(F.min_by("error", F.struct(F.col("error").isNotNull(), "error")).alias("error"))
+    want = records.failures(best).collect()
+    done = assembly.finished(spark.read.parquet(f"{folder}/out"))
+    closed_early = {r["doc_id"]: r for r in done.collect()}
+    assert len(closed_early) == 30
+    same = [r for r in want if closed_early[r["doc_id"]] == r]
+    assert len(same) >= 10  # a document may close on an error before the repeated answer comes
+
+
+def test_running_sums_in_two_levels(spark):
+    rows = [(d, p, n) for d in (1, None) for p, n in [(1, 5), (2, None), (999, 7), (1000, 1), (5000, 2)]]
+    x = sources.running(spark.createDataFrame(rows, "doc_id long, page_no int, n int"), "doc_id", "page_no", F.col("n"), 3)
+    assert sorted((r["page_no"], r["total"]) for r in x.where("doc_id = 1").collect()) == [(1, 5), (2, 5), (999, 12), (1000, 13), (5000, 15)]
+    assert x.count() == 10
+
+
+def test_listing_and_names_from_outside(spark):
+    files = spark.createDataFrame([("s3://a/b/roof.pdf", 1536), ("s3://a/b/x.PDF", 10), ("s3://a/notes.txt", 5)], "path string, length long")
+    titles = spark.createDataFrame([("roof.pdf", "Roof")], "name string, title string")
+    assert sorted(map(tuple, sources.listing(files, titles).collect())) == [("roof.pdf", 2, "Roof"), ("x.PDF", 0, "x")]
+    asked = spark.createDataFrame([("../../etc/passwd",), ("../b/roof.pdf",), ("notes.txt",)], "request string")
+    assert {r["request"]: (r["path"], r["error"]) for r in sources.requested(asked, files).collect()} == {"../../etc/passwd": (None, "not_found"), "../b/roof.pdf": ("s3://a/b/roof.pdf", None), "notes.txt": (None, "not_found")}
+
+
+def test_amounts_confirm_within_a_hundredth(spark):
+    claims = spark.createDataFrame([(1, "10.00"), (1, "10.012"), (1, "-0.004"), (2, "10.00"), (None, "1"), (1, None)], "k long, v string").withColumn("v", F.col("v").cast("decimal(38,3)"))
+    found = spark.createDataFrame([(1, "10.01"), (1, "0.00"), (2, "10.02"), (None, "1")], "k long, a string").withColumn("a", F.col("a").cast("decimal(38,2)"))
+    got = {(r["k"], str(r["v"])): r["confirmed"] for r in assemble.near_amounts(claims, found, ["k"], "v", "a").collect()}
+    assert got == {(1, "10.000"): True, (1, "10.012"): True, (1, "-0.004"): True, (2, "10.000"): False, (None, "1.000"): False, (1, "None"): False}
+    assert not spark.range(1).select(within(F.lit("10.012").cast("decimal(18,3)"), F.lit("10.00").cast("decimal(18,2)"))).first()[0]
+
+
+@pytest.mark.parametrize(("asked", "keys", "want"), [
+    ("auto", {"openai": "k"}, ("openai", None, None)), ("auto", {"openai": " "}, ("offline", None, "offline_for_want_of_keys")), (None, {}, ("offline", None, "offline_for_want_of_keys")),
+    ("gemini", {"openai": "k"}, (None, "provider_not_configured", None)), ("gemini", {"gemini": "k"}, ("gemini", None, None)), ("offline", {}, ("offline", None, None)), ("other", {"other": "k"}, (None, "unknown_provider", None)),
+])
+def test_named_providers_must_be_there(spark, asked, keys, want):
+    df = spark.createDataFrame([(asked, keys)], "asked string, keys map<string,string>")
+    assert tuple(df.select(extract.chosen_provider(F.col("asked"), F.col("keys")).alias("c")).first()["c"]) == want
