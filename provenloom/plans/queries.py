@@ -17,6 +17,7 @@ from ..functions import dates, numbers, text
 from ..functions import vocab as V
 from ..operators import assemble, chunking, clients, extract, merge, records, rules, verify
 from ..sources import documents as sources
+from ..sources.store import register
 from ..streaming import assembly, ingest
 from .render import Scripted, amount, in_words, notices, spelled, table, tenders
 
@@ -236,14 +237,31 @@ def chunk_pack(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.col("chunk_no"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+def packed_sql(limit: int, overlap: int) -> str:
+    """The fold over the blocks of lines as a recursive query: f (doc_id, i, page_no, block, chunk, text, size, pages) has a row for each block."""
+    return f"""WITH RECURSIVE {LINES}, cut AS (SELECT doc_id, page_no, text, unnest(range(0, greatest(length(text), 1), {limit})) AS off FROM l WHERE trim(text) <> ''),
+  b AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, off) AS i, '[СТРАНИЦА ' || page_no || ']' || chr(10) || substr(text, off + 1, {limit}) AS block FROM cut),
+  e AS (SELECT *, substr(block, strpos(block, chr(10)) + 1) AS body, right(substr(block, strpos(block, chr(10)) + 1), {overlap}) AS t FROM b),
+  v AS (SELECT doc_id, i, page_no, block, CASE WHEN {overlap} = 0 THEN '' WHEN length(body) <= {overlap} THEN block ELSE split_part(block, chr(10), 1) || chr(10) || '(продолжение предыдущего фрагмента)' || chr(10)
+    || CASE WHEN strpos(t, '. ') BETWEEN 1 AND {overlap // 2} THEN substr(t, strpos(t, '. ') + 2) ELSE t END END AS tail FROM e),
+  f AS (SELECT doc_id, i, page_no, tail, 0 AS chunk, block AS text, length(block) AS size, [page_no] AS pages FROM v WHERE i = 1 UNION ALL
+    SELECT v.doc_id, v.i, v.page_no, v.tail, CASE WHEN f.size + length(v.block) > {limit} THEN f.chunk + 1 ELSE f.chunk END,
+      CASE WHEN f.size + length(v.block) <= {limit} THEN f.text || chr(10) || chr(10) || v.block WHEN f.tail = '' THEN v.block ELSE f.tail || chr(10) || chr(10) || v.block END,
+      CASE WHEN f.size + length(v.block) > {limit} THEN length(f.tail) ELSE f.size END + length(v.block),
+      CASE WHEN f.size + length(v.block) <= {limit} THEN list_append(f.pages, v.page_no) WHEN f.tail = '' THEN [v.page_no] ELSE [f.page_no, v.page_no] END
+    FROM f JOIN v ON v.doc_id = f.doc_id AND v.i = f.i + 1),
+  c AS (SELECT doc_id, chunk AS chunk_no, arg_max(text, i) AS text, arg_max(pages, i) AS p FROM f GROUP BY ALL),
+  d AS (SELECT doc_id, chunk_no, text, CASE WHEN list_min(p) = list_max(p) THEN list_min(p)::VARCHAR ELSE list_min(p) || '–' || list_max(p) END AS pages, max(chunk_no) OVER (PARTITION BY doc_id) + 1 AS n FROM c)"""
+
+
+@query(packed_sql(1000, 0) + " SELECT doc_id, chunk_no, length(text)::BIGINT AS n_chars, md5(text) AS md5, pages FROM d")
 def chunk_pack_whole(s: SparkSession, d: str) -> DataFrame:
     """chunk_pack with what the chunks hold and the pages that they come from."""
     x = chunking.chunks(lines(s, d), 1000, 0, 1_000_000)
     return x.select("doc_id", "chunk_no", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"), text.pages_label(F.col("pages")).alias("pages"))
 
 
-@query()
+@query(packed_sql(2000, 200) + " SELECT doc_id, chunk_no, text, pages, greatest(n - 12, 0)::INTEGER AS dropped FROM d WHERE chunk_no < 12")
 def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
     x = chunking.chunks(lines(s, d), 2000, 200, 12)
     return x.select("doc_id", "chunk_no", "text", text.pages_label(F.col("pages")).alias("pages"), "dropped")
@@ -499,6 +517,20 @@ def store_plan(s: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
+@query("""SELECT substr(sha256(text), 31, 2) AS part, count(DISTINCT sha256(text))::BIGINT AS results, min(doc_id)::BIGINT AS least FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0 GROUP BY 1""")
+def store_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Results of all documents put into a store by two writers, every fifth one spoilt, and what the store then has."""
+    register(s)
+    path = f"{sources.shared_folder(s)}/store-{uuid.uuid4().hex}"
+    docs = sources.keyed(table(s, d, "documents").where("text IS NOT NULL"), F.lit("offline"), F.lit("rules/1"))
+    least = docs.where("doc_id % 5 <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    both = docs.join(least, "key", "left").select("doc_id", "key", F.when(F.col("doc_id") % 5 == 0, '{"least": ').otherwise(F.to_json(F.struct("least"))).alias("result"))
+    for writer in (both.where("doc_id % 2 = 0"), both):
+        writer.select("key", "result").write.format("results").mode("append").save(path)
+    x = s.read.format("results").load(path)
+    return x.groupBy("part").agg(F.count("*").alias("results"), F.min(F.get_json_object("result", "$.least").cast("long")).alias("least"))
+
+
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'offline' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'openai' ELSE 'gemini' END AS provider,
   CASE s_suppkey % 4 WHEN 0 THEN 'eng' WHEN 1 THEN 'rus' WHEN 2 THEN 'eng+rus' ELSE 'deu' END AS lang FROM supplier""")
 def choices(s: SparkSession, d: str) -> DataFrame:
