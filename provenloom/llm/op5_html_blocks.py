@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -35,13 +37,15 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template svg iframe object select option textarea button canvas audio video title".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
-FURNITURE_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
+FURNITURE_TAGS = frozenset("nav aside footer menu dialog".split())
+FORM_TAGS = frozenset(("form", "fieldset"))  # count as names do: some pages are one form as a whole
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer "
     "header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended recommendations comment comments disqus reply replies respond pagination pager copyright legal disclaimer toolbar skip search tags metadata byline".split()
+    "recommended recommendations comment comments disqus reply replies respond response responses discussion pagination pager copyright legal disclaimer toolbar skip search tags metadata byline".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 # Frequent function words of the languages met.
@@ -55,9 +59,12 @@ STOP_WORDS = frozenset(
 #: Parts of names that speak for text, whatever else the name holds.
 TEXT_NAMES = frozenset("article story entry report content".split())
 # a quote counts only behind an equals sign, as browsers read it
+SIMPLE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?+)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 NAME_PART = re.compile(r"[A-Za-z]+")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,10 +90,10 @@ def clues(tag: str, attributes: str) -> tuple[bool, bool]:
     """
     if tag in FURNITURE_TAGS:
         return True, False
-    named = False
+    named = tag in FORM_TAGS
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+        if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name == "style" and UNSEEN.search(value):
             return True, False
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
@@ -95,12 +102,34 @@ def clues(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, named
 
 
+def tokens(page: str) -> Iterator[re.Match[str]]:
+    """Tags, comments and declarations in order, in one scan; the caller may send on the place to go on from.
+
+    A quote that is never closed is no quote, from there on to the page's end: so a tag is read to the end in vain once at most.
+    """
+    at, pattern = 0, TOKEN
+    while (at := page.find("<", at)) >= 0:
+        m = pattern.match(page, at)
+        if m is None and pattern is TOKEN and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+            pattern = SIMPLE
+            m = pattern.match(page, at)
+        if m is None:
+            if page.find(">", at) < 0:
+                return
+            at += 1
+            continue
+        at = (yield m) or m.end()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. Open elements are kept as a stack of (tag, furniture, content, link, skipped, named)."""
     out: list[Block] = []
     text: list[str] = []
     linked, at, heading = 0, 0, False
     stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
+    # open elements by tag, and for each open block where it stands and what inline elements are open in it
+    opened: Counter[str] = Counter()
+    frames: list[tuple[int, Counter[str]]] = [(0, Counter())]
 
     def close() -> None:
         nonlocal linked, heading
@@ -117,7 +146,25 @@ def blocks(page: str) -> list[Block]:
             if stack[-1][3]:
                 linked += len(" ".join(entities.unescape(piece).split()))
 
-    while m := TOKEN.search(page, at):
+    def pop(tag: str) -> None:
+        """Closes elements up to the last open one of a tag."""
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last in BLOCK:
+                frames.pop()
+            else:
+                frames[-1][1][last] -= 1
+            if last == tag:
+                return
+
+    scan, jump, endless = tokens(page), None, set()
+    while True:
+        try:
+            m = scan.send(jump)
+        except StopIteration:
+            break
+        jump = None
         take(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -129,31 +176,33 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             close()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag doesn't reach out of its block
+            # an inline end tag doesn't reach out of its block
+            if (opened if tag in BLOCK else frames[-1][1])[tag] > 0:
+                pop(tag)
             continue
+        if stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            pop("head")  # its end tag may be left out
         if tag in VOID:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # ends an open one of its kind
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[frames[-1][0]][0] == tag:
+            pop(tag)  # ends an open one of its kind
         _, f, c, a, s, named = stack[-1]
         inside = c or tag in CONTENT_TAGS
         page_header = tag == "header" and not inside
         by_tag, by_name = clues(tag, m[3])
         # names of wrappers end at an article or main
         stack.append((tag, f or page_header or by_tag, inside, a or tag == "a", s or tag in SKIPPED, by_name or named and tag not in CONTENT_TAGS))
+        opened[tag] += 1
+        if tag in BLOCK:
+            frames.append((len(stack) - 1, Counter()))
+        else:
+            frames[-1][1][tag] += 1
         heading = heading or tag in HEADINGS
-        if tag in RAW and (end := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
-            at = end.start()
+        if tag in RAW and tag not in endless:
+            if end := RAW_END[tag].search(page, at):
+                jump = at = end.start()
+            else:
+                endless.add(tag)
     take(page[at:])
     close()
     return out
@@ -214,7 +263,15 @@ def main_text(page: str | None) -> str:
     # an article or main that holds next to nothing of the page's text is no clue
     has_content = 3 * of(p and b.content for b, p in zip(found, plain, strict=True)) >= max(1, of(plain))
     known = any((x or 0) >= STOP_LOW for b, x, p in zip(found, stops, plain, strict=True) if p and len(b.text) >= LONG)
-    good = second_pass([first_pass(b, x, has_content, known) for b, x in zip(found, stops, strict=True)], [b.heading for b in found])
+    labels = [first_pass(b, x, has_content, known) for b, x in zip(found, stops, strict=True)]
+    if True not in labels:
+        # a page of short paragraphs: what is undecided is judged as one block; in an article or main nothing speaks against it
+        open_ = [i for i, label in enumerate(labels) if label is None and not found[i].heading and stops[i] is not None]
+        joined = " ".join(found[i].text for i in open_)
+        if has_content or len(joined) >= LONG and (stop_share(joined) or 0) >= STOP_HIGH:
+            for i in open_:
+                labels[i] = True
+    good = second_pass(labels, [b.heading for b in found])
     return "\n\n".join(b.text for b, keep in zip(found, good, strict=True) if keep)
 
 
