@@ -4,15 +4,15 @@ P(grade <= k) = sigmoid(theta_k - w.x) for ordered thresholds theta_1 < theta_2
 all thresholds and sparse features x_j = log(1 + count of word or word beginning j). A document's expected severity is the sum over k of
 P(grade > k); it is rejected where P(grade > 0) reaches one half.
 
-Fitting takes labelled rows up to FIT_ROWS (those with the least hash of doc_id). Words count as features if at least
-MIN_DOCS of these documents hold them and the likelihood ratio of their counts in toxic and clean documents reaches GAIN;
-at most MAX_WORDS of them are kept, the surest first. Only these words' counts in the labelled rows reach the driver.
+Fitting takes labelled documents up to FIT_ROWS (those with the least hash of doc_id), one row of each. Words count as features
+if at least MIN_DOCS of these documents hold them and the likelihood ratio of their counts in toxic and clean documents
+reaches GAIN; with 1 and 0 in their place every word does. Only these words' counts in the labelled rows reach the driver.
 Labels that say toxic or not are graded by how often a toxic document uses words that lean to toxic: grade 1 up to
 the median of the toxic documents, grade 2 beyond. Scoring reads every whole text with the fixed-size model.
 
 Defined cases: null or empty text scores as a document without features; labels that are null, or for unknown documents,
 are left out; contradicting labels of a document count as the highest; with no labels or one class the model rejects
-nothing (severity 0); repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+nothing (severity 0); of a doc_id on several rows the greatest text is learned from; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 FIT_ROWS = 16_000
 MIN_DOCS = 4
 GAIN = 14.0
-MAX_WORDS = 20_000
 L2 = 0.1
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,11 +93,12 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
     return w, thresholds(t)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least_docs: int = MIN_DOCS, least_gain: float = GAIN) -> OrdinalModel:
     """The model from labels (doc_id, toxic) on docs (doc_id, text)."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    held = materialise(held, "labelled")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Document counts of words by label, added up within a batch."""
@@ -117,8 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal
     df = held.select("text", "toxic").mapInArrow(distinct, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n, share = F.col("bad") + F.col("good"), bad / (bad + good)
     gain = 2 * (F.col("bad") * F.log(F.greatest("bad", F.lit(0.5)) / (n * share)) + F.col("good") * F.log(F.greatest("good", F.lit(0.5)) / (n * (1 - share))))
-    chosen = df.where(n >= MIN_DOCS).withColumn("gain", gain).where(F.col("gain") >= GAIN).withColumn("up", F.col("bad") > n * share)
-    found = chosen.orderBy(F.col("gain").desc(), "word").limit(MAX_WORDS).select("word", "up").collect()
+    chosen = df.where(n >= least_docs).withColumn("gain", gain).where(F.col("gain") >= least_gain).withColumn("up", F.col("bad") > n * share)
+    found = chosen.orderBy(F.col("gain").desc(), "word").select("word", "up").collect()
     vocabulary = {r["word"]: i for i, r in enumerate(found)}
     positive = np.array([r["up"] for r in found], bool)
     if not vocabulary:
