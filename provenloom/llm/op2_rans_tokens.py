@@ -14,7 +14,6 @@ of their own, side by side in any order; null doc_ids come first; an empty table
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -40,8 +39,8 @@ LOW = np.uint64(1 << 32)
 MAGIC = b"rANS"
 VOCABULARY = 49408
 END_ID = 1
-CACHED_WORDS = 500_000
-CACHED_PIECES = 500_000
+CACHED_WORDS = 800_000
+CACHED_PIECES = 800_000
 #: Marks of which a run behind letters is one piece by itself.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -73,7 +72,7 @@ class WordTokenizer:
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Below this, lower case is by single characters and nothing composes, so that str.lower() is the normaliser.
     PLAIN = "\u0250"
-    COMPOSES = re.compile("[a-z][\u0300-\u036f]")
+    COMPOSES = "[a-z][\u0300-\u036f]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,28 +85,29 @@ class WordTokenizer:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def piece(self, x: str) -> bytes:
-        """Ids of a piece in lower case."""
+        """Ids of a piece in lower case whose characters all print."""
         found = self.pieces.get(x)
         if found is None:
-            spelled = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
+            spelled = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
             found = self.pieces[x] = array("H", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
         return found
 
-    def learn(self, new: list[str]) -> None:
-        """Ids of new words; letters, or letters and then marks, need no pattern to be cut."""
+    def learn(self, new: list[str], special: bool) -> None:
+        """Ids of new words; letters, or letters and then marks, need no pattern to be cut. special: some may hold special tokens."""
         if len(self.pieces) > CACHED_PIECES:
             self.pieces = {}
         known, piece, words, odd = self.pieces.get, self.piece, self.words, []
         for w in new:
-            if "<|" in w or not w.isprintable() or not (w.isascii() or max(w) < self.PLAIN and len(w.split()) == 1):
+            if not w.isprintable() or not (w.isascii() or max(w) < self.PLAIN and len(w.split()) == 1) or special and "<|" in w:
                 odd.append(w)
                 continue
             low = w.lower()
+            if low.isalpha():
+                words[w] = known(low) or piece(low)
+                continue
             head = low.rstrip(MARKS)
             if not head.isalpha():
                 words[w] = b"".join(map(piece, self.PIECES.findall(low)))
-            elif len(head) == len(low):
-                words[w] = known(head) or piece(head)
             else:
                 words[w] = (known(head) or piece(head)) + piece(low[len(head) :])
         words.update(zip(odd, self.encoded(odd), strict=True))
@@ -119,14 +119,14 @@ class WordTokenizer:
         split = pc.split_pattern(spaced if cased else pc.ascii_lower(spaced), " ")
         coded = split.flatten().dictionary_encode()
         met = coded.dictionary.to_pylist()
-        if not cased and any(self.COMPOSES.search(w) for w in met if not w.isascii()):  # a mark may compose with the small letter alone
+        if not cased and pc.any(pc.match_substring_regex(coded.dictionary, self.COMPOSES)).as_py():  # a mark may compose with the small letter alone
             split = pc.split_pattern(spaced, " ")
             coded = split.flatten().dictionary_encode()
             met = coded.dictionary.to_pylist()
         new = [w for w in met if w not in self.words]
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words = {w: self.words[w] for w in met if w in self.words} | {"": b""}
-        self.learn(new)
+        self.learn(new, cased)
         # the end id as one more word after each text
         entries = [*map(self.words.__getitem__, met), array("H", [END_ID]).tobytes()]
         size = np.array(list(map(len, entries)), np.int32) // 2
