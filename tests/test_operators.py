@@ -173,3 +173,10 @@ def test_similar_prefix_joins_on_beginnings(spark, tmp_path):
     assert sorted(map(tuple, x.collect())) == expected and len(expected) > 3
     keys = next(line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
     assert "conv_id" in keys and "head" in keys.split("], [")[0]
+
+
+def test_fuzzy_dedupe_is_dealt_over_all_tasks(spark):
+    rows = spark.createDataFrame([(k, i, f"text {k} {i}") for k in range(40) for i in range(3)], "k long, i int, text string")
+    got = merge.fuzzy_dedupe(rows, ["k"], "text", ["i"])
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert got.select("k").distinct().count() == 40
