@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, forget, materialise, small, table
+from .common import arrow_batches, components, discard, forget, materialise, small, table
 
 SPARE = 5
 CACHED_WORDS = 200_000
@@ -93,6 +93,12 @@ def classes(num: int, den: int, upto: int = 1 << 31) -> tuple[np.ndarray, np.nda
     return starts, differ + 1 + spare, spare
 
 
+def let_go() -> None:
+    """Frees what a worker holds for the texts of a task: workers live on through steps that need none of it."""
+    word_hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def fingerprint(s: np.ndarray) -> int:
     if not len(s):
         return 0
@@ -166,6 +172,7 @@ def _rows(keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 if once:
                     content, at, need = bucket_rows([sets[k] for k in once], num, den)
                     yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(fps[once][at]), pa.array(need.astype(np.int32))], names)
+        let_go()
 
     return keyed.select("row", "text").mapInArrow(emit, ROWS)
 
@@ -246,6 +253,7 @@ def _judged(pairs: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
                     [pa.array(at, pa.int64()), pa.array(of, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(n, pa.int32()), pa.array(rarest, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                     ["a", "b", "linked", "size", "n", "rarest", "bits"],
                 )
+        let_go()
 
     # a set that is compared with very many meets them in several places
     split = pairs.groupBy("b").agg(F.ceil(F.count("*") / MET_AT_ONCE).cast("int").alias("parts"))
@@ -298,7 +306,8 @@ def _usual(stars: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
     none = keyed.sparkSession.createDataFrame([], "b long, usual array<long>")
     seen = _judged(some, carriers, keyed, width, num, den, none).select("b", F.explode("rarest").alias("e"))
     seen = seen.groupBy("b", "e").agg(F.count("*").alias("c")).where("c > 2")
-    return materialise(seen.groupBy("b").agg(F.array_sort(F.collect_list("e")).alias("usual")), "jaccard-usual")
+    with arrow_batches(keyed.sparkSession):
+        return materialise(seen.groupBy("b").agg(F.array_sort(F.collect_list("e")).alias("usual")), "jaccard-usual")
 
 
 def _beside(judged: DataFrame, num: int, den: int) -> DataFrame:
@@ -306,9 +315,10 @@ def _beside(judged: DataFrame, num: int, den: int) -> DataFrame:
     mixed_ = judged.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free")).where("m > 1 and free > 0").select("leader")
     led = judged.join(mixed_, "leader").select("leader", "fp", "linked", "size", "n", F.posexplode("rarest").alias("at", "e"))
     led = led.select(F.xxhash64("leader", "e").alias("key"), "fp", "linked", "size", "n", (F.col("at") + 1).alias("place"))
-    often = led.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max((~F.col("linked")).cast("int")).alias("free")).where("lo < hi and free = 1").select("key")
-    often = materialise(often, "jaccard-often")
-    met = materialise(led.join(small(often, often.count()), "key"), "jaccard-met")
+    # one exchange by key: counts of keys that are nearly all different would only fill the heap, and the rows would be dealt again
+    same = Window.partitionBy("key")
+    met = led.select("*", F.min("fp").over(same).alias("lo"), F.max("fp").over(same).alias("hi"), F.max(~F.col("linked")).over(same).alias("free"))
+    met = materialise(met.where("lo < hi and free").drop("lo", "hi", "free"), "jaccard-met")
     apart = lambda size: F.floor(size * (den - num) / (den + num))
     half = F.floor(apart(F.col("size") + F.floor(F.col("size") * den / num)) / 2) + 1
     less = met.where(F.col("place") <= half).select("key", *[F.col(c).alias(f"other_{c}") for c in ("fp", "linked", "n", "place", "size")])
@@ -327,12 +337,13 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); num / den: the least similarity."""
     ident = F.col("doc_id").cast("long")
     keyed = docs.select(ident.alias("doc_id"), "text", F.xxhash64(ident, "text").alias("row"))
-    # one exchange by content serves both sides of this join, since both read all three columns
+    # one exchange and one sort by content: a join of the rows with the contents of several sets would sort and hold both sides in each task
     rows = _rows(keyed, width, num, den).where("content is not null").repartition("content")
-    alive = rows.groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("need").alias("most")).where("most > 0 and lo < hi")
-    met = rows.join(alive.select("content", F.lit(True).alias("alive")), "content", "left").where("need < 0 or alive")
-    met = materialise(met.select("content", "fp", "need").distinct(), "jaccard-rows")
-    del rows, alive
+    same = Window.partitionBy("content")
+    met = rows.select("*", F.min("fp").over(same).alias("lo"), F.max("fp").over(same).alias("hi"), F.max("need").over(same).alias("most")).where("need < 0 or most > 0 and lo < hi")
+    with arrow_batches(docs.sparkSession):
+        met = materialise(met.select("content", "fp", "need").distinct(), "jaccard-rows")
+    del rows
     forget(docs.sparkSession)  # the shuffle of all tokens is by far the largest
     members = met.where("need < 0").groupBy(F.col("content").alias("row")).agg(F.min(F.struct("fp", (-1 - F.col("need")).alias("n"))).alias("m")).select("row", "m.fp", F.col("m.n").cast("long").alias("n"))
     members = materialise(members, "jaccard-members")
@@ -348,7 +359,8 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     stars = _families(tokens, stars)
     usual = _usual(stars, carriers, keyed, width, num, den)
     judged = _judged(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), carriers, keyed, width, num, den, usual)
-    judged = materialise(judged.withColumnsRenamed({"a": "fp", "b": "leader"}), "jaccard-judged")
+    with arrow_batches(docs.sparkSession):
+        judged = materialise(judged.withColumnsRenamed({"a": "fp", "b": "leader"}), "jaccard-judged")
     edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
     groups = _labels(edges)
     close = materialise(_beside(judged, num, den), "jaccard-beside")
@@ -370,7 +382,9 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     known = judged.select("fp", "size", "bits")
     both = pairs.join(known.withColumnsRenamed({"fp": "a", "size": "sa", "bits": "ba"}), "a", "left").join(known.withColumnsRenamed({"fp": "b", "size": "sb", "bits": "bb"}), "b", "left")
     pairs = materialise(both.where(F.coalesce(may_link(F.col("ba"), F.col("bb"), F.col("sa"), F.col("sb"), num, den), F.lit(True))).select("a", "b").distinct(), "jaccard-open-pairs")
-    more = materialise(_judged(pairs, carriers, keyed, width, num, den).where("linked").select("a", "b"), "jaccard-links")
+    more = _judged(pairs, carriers, keyed, width, num, den).where("linked").select("a", "b")
+    with arrow_batches(docs.sparkSession):
+        more = materialise(more, "jaccard-links")
 
     final = components(edges.unionByName(more).distinct())
     discard(tokens, left, judged, pairs, more, close)

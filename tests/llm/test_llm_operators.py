@@ -306,6 +306,25 @@ def test_jaccard_join_is_exact(spark, width, num):
     assert got == brute(texts, width, num, 100)
 
 
+def test_jaccard_sorts_once_and_passes_texts_in_small_batches(spark, monkeypatch):
+    """Tasks of the token step and of the keys beside a leader hold one sorted side; batches of texts are bounded, and the session's setting stays."""
+    key, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", {}, op8.materialise
+
+    def noted(df, name):
+        seen[name] = (spark.conf.get(key), df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(op8, "materialise", noted)
+    before = spark.conf.get(key)
+    words = [f"w{k}" for k in range(120)]
+    op8.link(docs(spark, *[" ".join(words[:k] + ["x", "y"] * (k % 2) + words[k + 1 :]) for k in range(0, 60, 3)]), 3, 90, 100).count()
+    assert spark.conf.get(key) == before
+    for name in ("jaccard-rows", "jaccard-usual", "jaccard-judged", "jaccard-links"):
+        assert int(seen[name][0]) <= 8_000_000
+    assert seen["jaccard-rows"][1].count("Join") == 0 and seen["jaccard-rows"][1].count("RepartitionByExpression") == 1
+    assert seen["jaccard-met"][1].count("Window") and "jaccard-often" not in seen
+
+
 def test_jaccard_links_through_rows_without_id(spark):
     base = words(100, 1)
     one, two, bridge = list(base), list(base), list(base)
