@@ -117,6 +117,23 @@ def test_streamed_documents_equal_the_batch(spark, tmp_path):
     assert len(same) >= 10  # a document may close on an error before the repeated answer comes
 
 
+def test_streamed_documents_of_one_group_keep_their_own_times(spark, tmp_path):
+    """Python is called once for a group of documents; each of them closes, waits and is given up by its own times, one without an id too."""
+    folder, big = str(tmp_path), (1 << 53) + 1
+    files = [
+        [(1, 0, 2, "1", None, at(1)), (2, 0, 1, "1", None, at(1)), (None, 0, 1, "1", "x", at(1)), (big, 0, 2, "1", None, at(20))],
+        [(big, 1, 2, "2", None, at(45)), (3, 0, 2, "1", None, at(45)), (2, 0, 1, "1", None, at(45))],
+        [(4, 0, 1, "1", None, at(200))],
+    ]
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, ANSWERS).coalesce(1).write.parquet(f"{folder}/in/{n}")
+        came = spark.readStream.schema(ANSWERS).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        rows = assembly.assembled(came, "at", "1 minute", timedelta(minutes=30), groups=1)
+        rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["doc_id"], r["state"]): (r["chunks"], r["answered"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {(1, "timed_out"): (2, 1), (2, "complete"): (1, 1), (2, "late"): (1, 0), (None, "complete"): (1, 0), (big, "complete"): (2, 2), (3, "timed_out"): (2, 1), (4, "complete"): (1, 1)}
+
+
 def test_running_sums_in_two_levels(spark):
     rows = [(d, p, n) for d in (1, None) for p, n in [(1, 5), (2, None), (999, 7), (1000, 1), (5000, 2)]]
     x = sources.running(spark.createDataFrame(rows, "doc_id long, page_no int, n int"), "doc_id", "page_no", F.col("n"), 3)
