@@ -89,7 +89,8 @@ def classes(num: int, den: int, upto: int = 1 << 31) -> tuple[np.ndarray, np.nda
         first.append(first[-1] * den // num + 1)
     starts = np.array(first, np.int64)
     differ = 2 * (starts[1:] - 1) * (den - num) // (den + num)
-    spare = np.minimum(SPARE, differ // 4)
+    # many small buckets are empty: the spare ones outnumber those, or agreeing in one bucket by chance would be enough
+    spare = np.maximum(np.minimum(SPARE, differ // 4), differ * 5 * (den - num) // (4 * den))
     return starts, differ + 1 + spare, spare
 
 
@@ -106,8 +107,8 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mixed(whole + np.uint64(len(s))).view(np.int64)[0])
 
 
-def bucket_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(content, position of the set, agreements needed) for the sets' own classes and the next ones."""
+def bucket_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(content, position of the set, agreements needed, whether it is of its own class) for the sets' own classes and the next ones."""
     starts, buckets, spare = classes(num, den)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
@@ -131,11 +132,11 @@ def bucket_rows(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         where = (np.arange(base[-1]) - base[at]).astype(np.uint64)
         content = mixed(mixed(low.astype(np.uint64) + (where << np.uint64(40))) + high.astype(np.uint64) * M2 + mixed(c.astype(np.uint64))[at] + count.astype(np.uint64))
         kept = (count > 0) | (empty > spare[c])[at]
-        out.append((content.view(np.int64)[kept], at[kept], need[at][kept]))
+        out.append((content.view(np.int64)[kept], at[kept], need[at][kept], np.full(np.count_nonzero(kept), up == 0)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ROWS = "content long, fp long, need int"
+ROWS = "content long, fp long, need int, own boolean"
 REMEMBERED = 200_000
 SAMPLE = 512
 MET_AT_ONCE = 1_000
@@ -152,7 +153,7 @@ def _slices(texts: pa.Array, chars: int = 4_000_000) -> Iterator[tuple[int, list
 
 
 def _rows(keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """For each row of keyed (row, text) one with content = row, its set's fp and need = -1 - size, and the tokens (content, fp, need) of sets.
+    """For each row of keyed (row, text) one with content = row, its set's fp and need = -1 - size, and the tokens (content, fp, need, own) of sets.
 
     A task emits the tokens of a set once (as long as it remembers the set), so that copies meet as few rows.
     """
@@ -164,14 +165,14 @@ def _rows(keyed: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 sets = [shingles(t, width) for t in texts]
                 fps = np.array([fingerprint(s) for s in sets], np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(sets)), pa.array(fps), pa.array((-1 - n).astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(sets)), pa.array(fps), pa.array((-1 - n).astype(np.int32)), pa.array(np.ones(len(sets), bool))], names)
                 once = [k for k in np.unique(fps, return_index=True)[1].tolist() if n[k] and fps[k] not in told]
                 if len(told) > REMEMBERED:
                     told = set()
                 told.update(fps[once].tolist())
                 if once:
-                    content, at, need = bucket_rows([sets[k] for k in once], num, den)
-                    yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(fps[once][at]), pa.array(need.astype(np.int32))], names)
+                    content, at, need, own = bucket_rows([sets[k] for k in once], num, den)
+                    yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(fps[once][at]), pa.array(need.astype(np.int32)), pa.array(own)], names)
         let_go()
 
     return keyed.select("row", "text").mapInArrow(emit, ROWS)
@@ -312,8 +313,8 @@ def _usual(stars: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
 
 def _beside(judged: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of sets under one leader that may link though one of them doesn't link with the leader."""
-    mixed_ = judged.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free")).where("m > 1 and free > 0").select("leader")
-    led = judged.join(mixed_, "leader").select("leader", "fp", "linked", "size", "n", F.posexplode("rarest").alias("at", "e"))
+    mixed_ = materialise(judged.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free")).where("m > 1 and free > 0").select("leader"), "jaccard-mixed")
+    led = judged.join(small(mixed_, mixed_.count()), "leader").select("leader", "fp", "linked", "size", "n", F.posexplode("rarest").alias("at", "e"))
     led = led.select(F.xxhash64("leader", "e").alias("key"), "fp", "linked", "size", "n", (F.col("at") + 1).alias("place"))
     # one exchange by key: counts of keys that are nearly all different would only fill the heap, and the rows would be dealt again
     same = Window.partitionBy("key")
@@ -340,7 +341,9 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # one exchange and one sort by content: a join of the rows with the contents of several sets would sort and hold both sides in each task
     rows = _rows(keyed, width, num, den).where("content is not null").repartition("content")
     same = Window.partitionBy("content")
-    met = rows.select("*", F.min("fp").over(same).alias("lo"), F.max("fp").over(same).alias("hi"), F.max("need").over(same).alias("most")).where("need < 0 or most > 0 and lo < hi")
+    met = rows.select("*", F.min("fp").over(same).alias("lo"), F.max("fp").over(same).alias("hi"), F.max("need").over(same).alias("most"), F.max("own").over(same).alias("owned"))
+    # two sets of one class meet by the tokens of that class: what only sets of the class below have brings nobody together
+    met = met.where("need < 0 or most > 0 and lo < hi and owned")
     with arrow_batches(docs.sparkSession):
         met = materialise(met.select("content", "fp", "need").distinct(), "jaccard-rows")
     del rows

@@ -306,6 +306,57 @@ def test_jaccard_join_is_exact(spark, width, num):
     assert got == brute(texts, width, num, 100)
 
 
+def agreements(a, b, num):
+    """In how many tokens two sets agree that one of them has for its own class, and how many are needed."""
+    content, at, need, own = op8.bucket_rows([a, b], num, 100)
+    have = [{int(c): (int(k), bool(o)) for c, k, o in zip(content[at == i], need[at == i], own[at == i], strict=True)} for i in (0, 1)]
+    met = [c for c in have[0] if c in have[1] and (have[0][c][1] or have[1][c][1])]
+    return len(met), min((min(have[0][c][0], have[1][c][0]) for c in met), default=1)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_tokens_of_linked_sets_agree_and_of_unlike_sets_do_not(num):
+    """Sets that link agree in enough tokens, whatever their sizes; sets that have a third in common are no candidates."""
+    r = np.random.default_rng(num)
+    fresh = lambda n: r.integers(0, 1 << 62, n).astype(np.uint64)
+    for n in (1, 2, 5, 9, 17, 40, 90, 200, 350, 700, 1500, 3000):
+        for _ in range(8):
+            a = np.unique(fresh(n))
+            gone = int(r.integers(0, n * (100 - num) // 100 + 1))
+            added = max(0, ((n - gone) * 100 - num * n) // num)
+            b = np.unique(np.concatenate([a[gone:], fresh(int(r.integers(0, added + 1)) if r.random() < 0.5 else added)]))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= num * (len(a) + len(b) - both)
+            k, least = agreements(a, b, num)
+            assert k >= least
+            if n >= 200:
+                common = fresh(n * 45 // 100)  # similarity 0.29
+                k, least = agreements(*(np.unique(np.concatenate([common, fresh(n - len(common))])) for _ in range(2)), num)
+                assert k < least
+
+
+def test_jaccard_of_documents_with_common_passages(spark, monkeypatch):
+    """Documents that share a passage make no family, and the links among long ones of other sizes are exact."""
+    seen, plain = {}, op8.materialise
+
+    def noted(df, name):
+        seen[name] = plain(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(op8, "materialise", noted)
+    monkeypatch.setattr(op8, "discard", lambda *steps: None)
+    passage, r = words(140, 5), random.Random(6)
+    texts = [" ".join(passage + words(200, 100 + k)) for k in range(60)]
+    pairs = []
+    for k in range(8):
+        t = words(400, 300 + k)
+        at = r.randrange(200)
+        pairs += [" ".join(t), " ".join(t[:at] + words(r.randint(1, 60), k) + t[at + r.randint(1, 40) :]), " ".join(t[: r.randint(300, 360)])]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in op8.link(docs(spark, *texts, *pairs), 5, 80, 100).collect()}
+    assert got == brute(texts + pairs, 5, 80, 100)
+    assert seen["jaccard-carriers"].count() <= len(pairs) + len(texts) // 10 and seen["jaccard-beside"].count() <= len(pairs)
+
+
 def test_jaccard_sorts_once_and_passes_texts_in_small_batches(spark, monkeypatch):
     """Tasks of the token step and of the keys beside a leader hold one sorted side; batches of texts are bounded, and the session's setting stays."""
     key, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", {}, op8.materialise
