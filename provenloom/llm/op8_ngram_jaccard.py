@@ -7,15 +7,17 @@ buckets at least E + 1 buckets hold the very same shingles in both: a bucket's c
 1. One pass over the texts emits a row for each (token, set). Tokens met in one set only go.
 2. Groups: the set whose tokens are the most common leads the tokens that it has; a set follows the most central leader
    of its tokens, that leader its own, and groups whose token unions overlap in E + 1 tokens become one, so that a family
-   comes under one leader. A set is compared with the leader; those that link are the first components, within which no
-   pair is looked at again.
+   comes under one leader. A set is compared with the leader; what doesn't link with it is grouped once more by its own
+   tokens, under leaders of a second level. Those that link with a leader are the first components, within which no pair
+   is looked at again.
 3. Token-group matrix: a group's token union is the distinct (token, component, leader) rows. The overlap of a set with the
    union bounds its overlap with every member; groups of fewer than E + 1 common tokens stay closed. A qualifying group is
    opened: members that agree with the set in E + 1 tokens, and are of another component, are compared with it.
-4. Sets of one group that don't link with its leader: by the triangle, two sets x and y that link share at least half
+4. Sets of one group that aren't of one component: by the triangle, two sets x and y that link share at least half
    of |D(x)| + |D(y)| - apart, where D is what a set differs in from the leader and apart what linked sets may
    differ in. So x is looked up by its first apart + 1 elements and the one of the smaller D by half as many; what
    the leader has comes last in that order, and copies that were changed each in its own way never meet, however many.
+   Sets that follow one leader of the second level meet by what they differ in from that one, others by the first.
    Texts are compared only where the parities of the sets (bits that can't differ in more places than the sets do) allow it.
 
 All links between different sets are found (the bound is exact, no cap is set), and copies are never paired: equal sets
@@ -276,6 +278,14 @@ def _pruned(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(enough, "fp")
 
 
+def _stars(tokens: DataFrame) -> DataFrame:
+    """(fp, leader): of the sets that lead a token of fp, the one whose tokens are the most common; a set leads the tokens in which it is that one."""
+    fame = tokens.join(tokens.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
+    matrix = tokens.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"), F.col("top.fame").alias("fame"))
+    overlap = tokens.join(matrix, "content").where("fp <> leader").groupBy("fp").agg(F.max(F.struct("fame", (-F.col("leader")).alias("back"))).alias("top"))
+    return materialise(overlap.select("fp", (-F.col("top.back")).alias("leader")), "jaccard-stars")
+
+
 def _families(tokens: DataFrame, stars: DataFrame) -> DataFrame:
     """(fp, leader) with one leader for the sets whose groups' token unions overlap enough that members may link."""
     while True:  # from leader to leader's leader, which is more central
@@ -311,22 +321,42 @@ def _usual(stars: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int,
         return materialise(seen.groupBy("b").agg(F.array_sort(F.collect_list("e")).alias("usual")), "jaccard-usual")
 
 
-def _beside(judged: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets under one leader that may link though one of them doesn't link with the leader."""
-    mixed_ = materialise(judged.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free")).where("m > 1 and free > 0").select("leader"), "jaccard-mixed")
-    led = judged.join(small(mixed_, mixed_.count()), "leader").select("leader", "fp", "linked", "size", "n", F.posexplode("rarest").alias("at", "e"))
-    led = led.select(F.xxhash64("leader", "e").alias("key"), "fp", "linked", "size", "n", (F.col("at") + 1).alias("place"))
+def _compared(stars: DataFrame, carriers: DataFrame, keyed: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+    """What _judged tells of the sets in stars (fp, leader) and their leaders."""
+    usual = _usual(stars, carriers, keyed, width, num, den)
+    judged = _judged(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), carriers, keyed, width, num, den, usual)
+    with arrow_batches(keyed.sparkSession):
+        return materialise(judged.withColumnsRenamed({"a": "fp", "b": "leader"}), name)
+
+
+def _beside(judged: DataFrame, nearer: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets under one leader that may link and aren't of one component.
+
+    A set follows its leader of the second level if it is nearer to it than to the first. ``part`` tells what is settled
+    elsewhere: under the first leader, the sets that follow one of the second level (they meet under that one) and those
+    that link with the leader; under one of the second level, those of one component.
+    """
+    labelled = lambda sets: sets.join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    nearer = nearer.join(judged.select("fp", F.col("n").alias("first_n")), "fp").where("n < first_n").drop("first_n")
+    follows = nearer.select("fp", F.col("leader").alias("second"))
+    first = labelled(judged.join(follows, "fp", "left")).withColumn("part", F.coalesce("second", F.when(F.col("linked"), F.col("leader")), "fp"))
+    columns = ["leader", "fp", "part", "label", "size", "n"]
+    led = first.select(*columns, "rarest").unionByName(labelled(nearer).withColumn("part", F.col("label")).select(*columns, "rarest"))
+    mixed_ = materialise(led.groupBy("leader").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("leader"), "jaccard-mixed")
+    led = led.join(small(mixed_, mixed_.count()), "leader").select(*columns, F.posexplode("rarest").alias("at", "e"))
+    led = led.select(F.xxhash64("leader", "e").alias("key"), *columns[1:], (F.col("at") + 1).alias("place"))
     # one exchange by key: counts of keys that are nearly all different would only fill the heap, and the rows would be dealt again
     same = Window.partitionBy("key")
-    met = led.select("*", F.min("fp").over(same).alias("lo"), F.max("fp").over(same).alias("hi"), F.max(~F.col("linked")).over(same).alias("free"))
-    met = materialise(met.where("lo < hi and free").drop("lo", "hi", "free"), "jaccard-met")
+    met = led.select("*", F.min("part").over(same).alias("lo"), F.max("part").over(same).alias("hi"), F.min("label").over(same).alias("least"), F.max("label").over(same).alias("most"))
+    met = materialise(met.where("lo < hi and least < most").drop("lo", "hi", "least", "most"), "jaccard-met")
     apart = lambda size: F.floor(size * (den - num) / (den + num))
     half = F.floor(apart(F.col("size") + F.floor(F.col("size") * den / num)) / 2) + 1
-    less = met.where(F.col("place") <= half).select("key", *[F.col(c).alias(f"other_{c}") for c in ("fp", "linked", "n", "place", "size")])
+    less = met.where(F.col("place") <= half).select("key", *[F.col(c).alias(f"other_{c}") for c in ("fp", "part", "label", "n", "place", "size")])
     # the two share half of what they differ in from the leader beyond what they may differ in; all of it lies behind the first
     may = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
     must = F.col("n") + F.col("other_n") - apart(F.col("size") + F.col("other_size"))
-    on = (met["key"] == less["key"]) & ((F.col("n") > F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("fp") > F.col("other_fp"))) & ~(F.col("linked") & F.col("other_linked")) & (2 * may >= must)
+    open_ = (F.col("part") != F.col("other_part")) & (F.col("label") != F.col("other_label")) & (2 * may >= must)
+    on = (met["key"] == less["key"]) & ((F.col("n") > F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("fp") > F.col("other_fp"))) & open_
     return met.join(less, on).select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
 
 
@@ -355,18 +385,15 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     carriers = materialise(members.join(tokens.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row")), "jaccard-carriers")
 
     # groups: the set whose tokens are the most common stands in the middle of its copies and leads the tokens that it has
-    fame = tokens.join(tokens.groupBy("content").agg(F.count("*").alias("sets")), "content").groupBy("fp").agg(F.sum("sets").alias("fame"))
-    matrix = tokens.join(fame, "fp").groupBy("content").agg(F.max(F.struct("fame", (-F.col("fp")).alias("back"))).alias("top")).select("content", (-F.col("top.back")).alias("leader"), F.col("top.fame").alias("fame"))
-    overlap = tokens.join(matrix, "content").where("fp <> leader").groupBy("fp").agg(F.max(F.struct("fame", (-F.col("leader")).alias("back"))).alias("top"))
-    stars = materialise(overlap.select("fp", (-F.col("top.back")).alias("leader")), "jaccard-stars")
-    stars = _families(tokens, stars)
-    usual = _usual(stars, carriers, keyed, width, num, den)
-    judged = _judged(stars.select(F.col("fp").alias("a"), F.col("leader").alias("b")), carriers, keyed, width, num, den, usual)
-    with arrow_batches(docs.sparkSession):
-        judged = materialise(judged.withColumnsRenamed({"a": "fp", "b": "leader"}), "jaccard-judged")
-    edges = judged.where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
+    stars = _families(tokens, _stars(tokens))
+    judged = _compared(stars, carriers, keyed, width, num, den, "jaccard-judged")
+    # a family may hold clusters far from its leader: leaders of a second level, from among the sets that don't link with it
+    far = materialise(judged.where("not linked").select("fp"), "jaccard-far")
+    second = _stars(tokens.join(small(far, far.count()), "fp", "left_semi"))
+    nearer = _compared(second, carriers, keyed, width, num, den, "jaccard-nearer")
+    edges = judged.unionByName(nearer).where("linked").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
     groups = _labels(edges)
-    close = materialise(_beside(judged, num, den), "jaccard-beside")
+    close = materialise(_beside(judged, nearer, groups, num, den), "jaccard-beside")
 
     # groups that a set doesn't belong to: opened where its tokens meet enough of the group's token union
     named = tokens.join(groups, "fp", "left").join(stars, "fp", "left").select("content", "fp", "need", F.coalesce("label", "fp").alias("label"), F.coalesce("leader", "fp").alias("leader"))
@@ -390,7 +417,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         more = materialise(more, "jaccard-links")
 
     final = components(edges.unionByName(more).distinct())
-    discard(tokens, left, judged, pairs, more, close)
+    discard(tokens, left, judged, nearer, far, second, pairs, more, close)
     of = members.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("row", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("component"))
     at = keyed.select("doc_id", "row").join(of, "row")
     least = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

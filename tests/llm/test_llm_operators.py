@@ -357,6 +357,37 @@ def test_jaccard_of_documents_with_common_passages(spark, monkeypatch):
     assert seen["jaccard-carriers"].count() <= len(pairs) + len(texts) // 10 and seen["jaccard-beside"].count() <= len(pairs)
 
 
+def test_jaccard_of_a_cluster_that_does_not_link_with_its_leader(spark, monkeypatch):
+    """Copies of a text that is too far from the leader of its family come under that text: their pairs aren't listed, and links to others stay."""
+    seen, plain = {}, op8.materialise
+
+    def noted(df, name):
+        seen[name] = plain(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(op8, "materialise", noted)
+    monkeypatch.setattr(op8, "discard", lambda *steps: None)
+    base, r, texts = words(200, 1), random.Random(3), []
+    other = base[:160] + words(40, 2)
+    between = base[:160] + base[160:180] + words(40, 2)[20:]
+
+    def changed(text, n, seed):
+        t = list(text)
+        for k in range(n):
+            t[r.randrange(len(t))] = words(1, 1000 * seed + k)[0]
+        return " ".join(t)
+
+    texts += [changed(base, 1, k) for k in range(1, 50)] + [" ".join(base)]
+    texts += [changed(other, 1, k) for k in range(100, 130)] + [" ".join(other)] + [changed(other, 6, k) for k in range(200, 206)]
+    without = brute(texts, 5, 80, 100)
+    assert without[0][1] != without[60][1]
+    for more in ([], [" ".join(between)]):  # a text that links with both makes them one
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in op8.link(docs(spark, *texts, *more), 5, 80, 100).collect()}
+        assert got == brute(texts + more, 5, 80, 100)
+        assert seen["jaccard-judged"].where("not linked").count() >= 30 and seen["jaccard-nearer"].where("linked").count() >= 30
+        assert seen["jaccard-beside"].count() <= len(texts)
+
+
 def test_jaccard_sorts_once_and_passes_texts_in_small_batches(spark, monkeypatch):
     """Tasks of the token step and of the keys beside a leader hold one sorted side; batches of texts are bounded, and the session's setting stays."""
     key, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", {}, op8.materialise
