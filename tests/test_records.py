@@ -136,3 +136,13 @@ def test_stream_keeps_the_first_row_of_a_content(spark, tmp_path):
     stream = ingest.deduplicated(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "at")
     ingest.run(stream, lambda b: b, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     assert sorted(r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["text 0", "text 1", "text 2"]
+
+
+def test_joins_of_what_grows_with_the_input_are_shuffled(spark):
+    pages = spark.range(60).selectExpr("id as doc_id", "1 as page_no", "concat(repeat('the same words over and over ', 40), id) as text")
+    claims = spark.range(60).selectExpr("id as doc_id", "'q' as quote_id", "concat('words over and over ', id) as quote", "2 as page_no")
+    checks = verify.check(claims, pages)
+    both = verify.counters(checks, claims)
+    assert [(r["total"], r["unverified"], r["page_corrections"]) for r in both.where("doc_id < 2").collect()] == [(1, 0, 1)] * 2
+    for x in (checks, both):
+        assert "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()  # the files' bytes are few, whatever they hold
