@@ -21,7 +21,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ TREES, SIGNS, BLOCK = 4, 8, 128
 ROUNDS, STILL = 5, 0.01
 BEAM, OPENED, HOLDERS = 120, 24, 64
 SALTS = 16
+ASKED_BYTES = 64_000_000  # of queries' vectors that go to all tasks
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -195,34 +196,63 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) ->
     return x.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("h.id").alias("vec_id"), F.col("h.score").alias("score"))
 
 
+def scorer(asked: DataFrame, vectors: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from pairs (query, id) to (query, id, score); asked: (query, qv).
+
+    Pairs meet the vectors by id, so that a vector travels once for all queries that ask for it. The queries' own
+    vectors go to all tasks if they fit in ASKED_BYTES; else pairs are shuffled once more, with both vectors.
+    """
+    size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
+    if size[0] * size[1] * 8 > ASKED_BYTES:
+        return lambda pairs: pairs.join(vectors, "id").join(asked, "query").select("query", "id", dot(F.col("qv"), F.col("v")).alias("score"))
+    own = asked.orderBy("query").toArrow()
+    known, across = own["query"].to_numpy(), np.ascontiguousarray(own["qv"].combine_chunks().flatten().to_numpy().reshape(size).T)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):  # a list holds all queries at most
+                part = b.slice(i, 256)
+                ids, lists = part["id"].to_numpy(), part["queries"]
+                of = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+                query = lists.flatten().to_numpy()
+                v, at, total = part["v"].flatten().to_numpy().reshape(len(ids), -1).T, np.searchsorted(known, query), np.zeros(len(of))
+                for x, q in zip(v, across, strict=True):  # in the order of components, as dot() sums
+                    total += x[of] * q[at]
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids[of]), pa.array(total)], ["query", "id", "score"])
+
+    return lambda pairs: pairs.groupBy("id").agg(F.collect_list("query").alias("queries")).join(vectors, "id").select("id", "v", "queries").mapInArrow(score, "query long, id long, score double")
+
+
 def nearest(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, id, score): up to k nearest nodes of each query (id), a node of the graph; the query itself is one of them."""
+    """(query, id, score): up to k nearest nodes of each query (id), a node of the graph; the query itself is one of them.
+
+    Only a query's nearest BEAM are kept: what falls behind them stays behind, as they only get nearer, so it needn't be
+    known when it is met again.
+    """
     # a node that very many hold is left to HOLDERS of them at most, so that no way out of it grows with the table
     back = graph.withColumn("rank", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("score"), "src"))).where(F.col("rank") <= HOLDERS)
-    ways = materialise(graph.select("src", "dst").unionByName(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "ann-ways")
-    asked = queries.join(vectors, "id").select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    ways = graph.select("src", "dst").unionByName(back.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ways = materialise(ways.groupBy("src").agg(F.collect_set("dst").alias("to")), "ann-ways")
+    asked = materialise(queries.join(vectors, "id").select(F.col("id").alias("query"), F.col("v").alias("qv")), "ann-asked")
+    scored = scorer(asked, vectors)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "id").join(asked, "query").select("query", "id", dot(F.col("qv"), F.col("v")).alias("score"))
+    def beam(met: DataFrame) -> DataFrame:
+        """The nearest BEAM of each query among met (query, id, score, opened), with those that are opened next."""
+        near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BEAM)
+        turn = F.count_if(~F.col("opened")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return materialise(near.select("query", "id", "score", "opened", "rank", (~F.col("opened") & (turn <= OPENED)).alias("turn")), "ann-beam")
 
-    first = ways.join(queries.select(F.col("id").alias("src")), "src").select(F.col("src").alias("query"), F.col("dst").alias("id"))
     own = asked.select("query", F.col("query").alias("id"), dot(F.col("qv"), F.col("qv")).alias("score"), F.lit(True).alias("opened"))
-    state = materialise(scored(first).withColumn("opened", F.lit(False)).unionByName(own), "ann-beam")
-    spent: list[DataFrame] = []
-    while True:
-        ranked = state.withColumn("rank", F.row_number().over(order))
-        near = ranked.where((F.col("rank") <= BEAM) & ~F.col("opened"))
-        turn = near.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= OPENED).select("query", F.col("id").alias("src"))
-        discard(*spent)
-        turn = materialise(turn, "ann-turn")
-        if turn.isEmpty():
-            break
-        new = turn.join(ways, "src").select("query", F.col("dst").alias("id")).where("query <> id").distinct().join(state.select("query", "id"), ["query", "id"], "left_anti")
-        marked = state.join(turn.select("query", F.col("src").alias("id"), F.lit(True).alias("now")), ["query", "id"], "left").select("query", "id", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        state, spent = materialise(marked.unionByName(scored(new).withColumn("opened", F.lit(False))), "ann-beam"), [state, turn]
-    found = state.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query", "id", "score")
+    first = queries.select(F.col("id").alias("src")).distinct().join(ways, "src").select(F.col("src").alias("query"), F.explode("to").alias("id"))
+    state = beam(scored(first).withColumn("opened", F.lit(False)).unionByName(own))
+    while not (turn := state.where("turn")).isEmpty():
+        new = turn.select("query", F.col("id").alias("src")).join(ways, "src").select("query", F.explode("to").alias("id")).where("query <> id").distinct()
+        new = new.join(state.select("query", "id"), ["query", "id"], "left_anti")
+        marked = state.select("query", "id", "score", (F.col("opened") | F.col("turn")).alias("opened"))
+        before, state = state, beam(marked.unionByName(scored(new).withColumn("opened", F.lit(False))))
+        discard(before)
+    return state.where(F.col("rank") <= k).select("query", "id", "score")
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

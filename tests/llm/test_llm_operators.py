@@ -274,6 +274,24 @@ def test_neighbours_of_equal_vectors_are_the_least_ids(spark):
     assert [x["vec_id"] for x in got] == list(range(20))
 
 
+def test_a_search_keeps_no_more_than_its_beam(spark, monkeypatch):
+    v = np.random.default_rng(4).standard_normal((900, 16))
+    vectors = op7.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    graph, queries, kept, real = op7.materialise(op7.build(vectors), "ann-test"), vectors.where("id % 100 = 0").select("id"), [], op7.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "ann-beam":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(op7, "materialise", counted)
+    got = [tuple(r) for r in op7.search(queries, graph, vectors, 20).orderBy("query_id", "rank").collect()]
+    assert len(got) == 9 * 20 and max(kept) <= 9 * op7.BEAM
+    monkeypatch.setattr(op7, "ASKED_BYTES", 0)  # queries too many to be sent
+    assert [tuple(r) for r in op7.search(queries, graph, vectors, 20).orderBy("query_id", "rank").collect()] == got
+
+
 # --- 8
 
 
