@@ -33,7 +33,7 @@ from .common import discard, materialise, table
 DEGREE, REVERSE = 24, 20
 TREES, SIGNS, BLOCK = 4, 8, 128
 ROUNDS, STILL = 5, 0.01
-BEAM, OPENED, HOLDERS = 120, 24, 64
+BEAM, OPENED, HOLDERS = 480, 96, 64
 SALTS = 16
 ASKED_BYTES = 64_000_000  # of queries' vectors that go to all tasks
 
